@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, packing, quality, rules, tokenfile, toxicity
+from graphloom.llm import bpe, jaccard, packing, quality, rules, tokenfile, toxicity
 from graphloom.llm.common import held_out, new_path
 
 #: The public tokenizer of the token queries, and the ids of its end markers.
@@ -50,6 +50,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), size=3, per_cent=90)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
     ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode("text", path).alias("ids"))
@@ -81,7 +85,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_quality_rules, op6_bpe, op7_token_files, op8_packing)
+    f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_quality_rules, op5_ngram_jaccard, op6_bpe, op7_token_files, op8_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
