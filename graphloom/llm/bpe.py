@@ -1,13 +1,12 @@
 """BPE encoding and decoding with a contiguous rank array.
 
 The vocabulary file is that of a public tokenizer (JSON, byte-level BPE with a word-end
-suffix); its path is a parameter. A text falls into pieces between ASCII white space,
-which no pre-token crosses, so a piece is encoded once and its ids are remembered up to
-a bound. A pre-token is encoded by holding its parts and the merge ranks of adjacent
+suffix); its path is a parameter. A text is normalised and falls into pre-tokens, whose
+ids are remembered up to a bound. A pre-token is encoded by holding its parts and the merge ranks of adjacent
 parts in two short arrays: scan for the smallest rank, merge there (delete a boundary),
 refresh the two neighbouring ranks, until no pair has a rank.
 
-Defined results: a null or blank text gives no ids; a piece of any length is encoded
+Defined results: a null or blank text gives no ids; a pre-token of any length is encoded
 whole (long ones with a heap over the same ranks, which gives the same merges); ids are
 unsigned 32-bit little-endian integers in a BINARY column.
 """
@@ -28,8 +27,8 @@ from graphloom.llm.common import raw
 
 #: Parts beyond which scanning for the minimum gives way to a heap.
 SHORT = 256
-#: Pieces remembered per worker.
-REMEMBERED = 300_000
+#: Pre-tokens remembered per worker and generation; texts encoded at once.
+REMEMBERED, AT_ONCE = 250_000, 128
 NONE = 1 << 60
 
 
@@ -66,7 +65,6 @@ class Vocabulary:
         self.last = [ids[c + self.end] for c in chars]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pre_tokens = regex.compile(split["pattern"]["Regex"]).findall
-        self.spaces = regex.compile(r"\s+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def word(self, data: bytes) -> list[int]:
@@ -117,62 +115,58 @@ class Vocabulary:
                 offer(left[i])
         return [p for p in parts if p >= 0]
 
-    def piece(self, text: str) -> list[int]:
-        """Ids of a piece of text, from normalisation to merges."""
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text in which strings of special tokens may stand for these."""
         out: list[int] = []
         for k, part in enumerate(self.specials.split(text) if self.specials else [text]):
             if k % 2:
                 out.append(self.special[part])
-            elif part:
+            else:
                 for token in self.pre_tokens(self.normal(part)):
                     out += self.word(token.encode())
         return out
 
     def normal(self, text: str) -> str:
-        """NFC, white space to single spaces, and lower case letter by letter (no final sigma)."""
+        """NFC and lower case letter by letter (no final sigma). White space needs no care: no pre-token holds any."""
         if text.isascii():
-            return self.spaces.sub(" ", text).lower()
-        return self.spaces.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+            return text.lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by single spaces, which is how a vocabulary without a decoder is read back."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-class Recent(dict):
-    """key -> make(key), for the keys used lately: two generations, of `limit` keys each."""
-
-    def __init__(self, make, limit: int):
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
-class Pieces:
-    """Texts to ids (little-endian unsigned 32-bit integers), by pieces between white space and then by pre-tokens."""
-
-    def __init__(self, vocabulary: Vocabulary, word):
-        self.vocabulary = vocabulary
-        self.words = Recent(lambda token: np.array(word(token), "<u4").tobytes(), REMEMBERED * 2 // 3)
-        self.pieces = Recent(self.piece, REMEMBERED)
-
-    def piece(self, data: bytes) -> bytes:
-        v, text = self.vocabulary, data.decode()
-        if v.specials and v.specials.search(text):
-            return np.array(v.piece(text), "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, v.pre_tokens(v.normal(text))))
-
-    def ids(self, text: bytes) -> bytes:
-        """bytes.split() parts at ASCII white space, and only there."""
-        return b"".join(map(self.pieces.__getitem__, text.split()))
+class Words:
+    """Texts to ids (little-endian unsigned 32-bit integers) by way of pre-tokens.
+
+    Pre-tokens met lately are remembered in two generations, of about REMEMBERED each;
+    `encode` gives the ids of a list of new ones.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, encode):
+        self.vocabulary, self.encode = vocabulary, encode
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        v, out = self.vocabulary, []
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        docs = [t.decode() for t in texts]
+        docs = [None if v.specials and v.specials.search(t) else v.pre_tokens(v.normal(t)) for t in docs]
+        new = []
+        for token in set().union(*filter(None, docs)).difference(self.young):
+            if token in self.old:
+                self.young[token] = self.old[token]
+            else:
+                new.append(token)
+        if new:
+            self.young.update(zip(new, self.encode(new)))
+        get = self.young.__getitem__
+        for text, doc in zip(texts, docs):
+            out.append(np.array(v.whole(text.decode()), "<u4").tobytes() if doc is None else b"".join(map(get, doc)))
+        return out
 
 
 @functools.lru_cache(2)
@@ -181,31 +175,36 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 @functools.lru_cache(2)
-def pieces(path: str) -> Pieces:
+def own_words(path: str) -> Words:
+    """Pre-tokens encoded by the rank arrays of this module."""
     v = vocabulary(path)
-    return Pieces(v, lambda token: v.word(token.encode()))
+    return Words(v, lambda tokens: [np.array(v.word(t.encode()), "<u4").tobytes() for t in tokens])
 
 
 @functools.lru_cache(2)
-def library_pieces(path: str) -> Pieces:
-    """The same with every new pre-token encoded by the tokenizers library."""
+def library_words(path: str) -> Words:
+    """Pre-tokens encoded by the tokenizers library, many in one text: the word-end suffix tells where each ends."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
+    t, v = Tokenizer.from_file(path), vocabulary(path)
     t.no_truncation()
     t.no_padding()
-    return Pieces(vocabulary(path), lambda token: t.encode(token, add_special_tokens=False).ids)
+    ends = np.array([bool(v.end) and token.endswith(v.end) for token in v.tokens])
 
+    def encode(tokens: list[str]) -> list[bytes]:
+        ids = np.array(t.encode(" ".join(tokens), add_special_tokens=False).ids, "<u4")
+        cut = 4 * (np.flatnonzero(ends[ids]) + 1)
+        if len(cut) != len(tokens):
+            return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in tokens]
+        data, cut = ids.tobytes(), cut.tolist()
+        return [data[i:j] for i, j in zip([0, *cut[:-1]], cut)]
 
-def library_encode(text: Column | str, path: str) -> Column:
-    """Ids of each text by the tokenizers library, as BINARY; null and blank texts give an empty value."""
+    return Words(v, encode)
 
-    @F.arrow_udf("binary")
-    def encode_by_library(texts: pa.Array) -> pa.Array:
-        ids = library_pieces(path).ids
-        return pa.array([ids(t.as_py()) for t in texts], pa.binary())
 
-    return encode_by_library(raw(text))
+def _column(texts: pa.Array, words: Words) -> pa.Array:
+    parts = [pa.array(words.ids(texts.slice(i, AT_ONCE).to_pylist()), pa.binary()) for i in range(0, len(texts), AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
 def encode(text: Column | str, path: str) -> Column:
@@ -213,12 +212,21 @@ def encode(text: Column | str, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def bpe_encode(texts: pa.Array) -> pa.Array:
-        ids = pieces(path).ids
-        return pa.array([ids(t.as_py()) for t in texts], pa.binary())
+        return _column(texts, own_words(path))
 
     return bpe_encode(raw(text))
 
 
+def library_encode(text: Column | str, path: str) -> Column:
+    """The same ids by way of the tokenizers library."""
+
+    @F.arrow_udf("binary")
+    def encode_by_library(texts: pa.Array) -> pa.Array:
+        return _column(texts, library_words(path))
+
+    return encode_by_library(raw(text))
+
+
 def decode(ids: Column | str, path: str) -> Column:
     """Text of ids in BINARY; no ids, or null, give the empty text."""
 
@@ -228,3 +236,16 @@ def decode(ids: Column | str, path: str) -> Column:
         return pa.array([text(np.frombuffer(v.as_py(), "<u4").tolist()) for v in values], pa.string())
 
     return bpe_decode(F.coalesce(F.col(ids) if isinstance(ids, str) else ids, F.lit(b"")))
+
+
+def round_trip(text: Column | str, path: str) -> Column:
+    """STRUCT of ids and decoded: encode and decode in one pass, which holds one vocabulary per worker."""
+
+    @F.arrow_udf("ids binary, decoded string")
+    def bpe_round_trip(texts: pa.Array) -> pa.Array:
+        ids = _column(texts, own_words(path))
+        decode_ids = vocabulary(path).decode
+        decoded = pa.array([decode_ids(np.frombuffer(v.as_py(), "<u4").tolist()) for v in ids], pa.string())
+        return pa.StructArray.from_arrays([ids, decoded], names=["ids", "decoded"])
+
+    return bpe_round_trip(raw(text))

@@ -54,6 +54,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Hand whole texts to Python in batches of few rows: a batch of long documents stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 # --- columns ----------------------------------------------------------------
 def held_out(doc_id: Column | str) -> Column:
     """Fold 0 of 5 by crc32 of the id as text; a null id counts as the empty text."""

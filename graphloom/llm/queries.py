@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, jaccard, packing, quality, rules, tokenfile, toxicity
-from graphloom.llm.common import held_out, new_path
+from graphloom.llm import bpe, embeddings, jaccard, packing, quality, rules, tokenfile, toxicity
+from graphloom.llm.common import held_out, new_path, small_batches
 
 #: The public tokenizer of the token queries, and the ids of its end markers.
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,7 @@ def tokenizer_path() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +43,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.join(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = rules.ledger(table(spark, sf_dir, "documents"))
     return ledger.select(
@@ -56,12 +61,12 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode("text", path).alias("ids"))
-    return ids.select(
+    both = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip("text", path).alias("t"))
+    return both.select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decode("ids", path).cast("binary"), 256).alias("decoded_sha256"),
+        (F.octet_length("t.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("t.ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("t.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
@@ -85,7 +90,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op4_quality_rules, op5_ngram_jaccard, op6_bpe, op7_token_files, op8_packing)
+    f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_embedding_dedup, op4_quality_rules, op5_ngram_jaccard, op6_bpe, op7_token_files, op8_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
