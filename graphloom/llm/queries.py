@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, embeddings, jaccard, packing, quality, rules, tokenfile, toxicity
+from graphloom.llm import bpe, embeddings, jaccard, licenses, packing, quality, rules, substring, tokenfile, toxicity
 from graphloom.llm.common import held_out, new_path, small_batches
 
 #: The public tokenizer of the token queries, and the ids of its end markers.
@@ -89,8 +89,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_embedding_dedup, op4_quality_rules, op5_ngram_jaccard, op6_bpe, op7_token_files, op8_packing)
+    f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_embedding_dedup, op4_quality_rules, op5_ngram_jaccard, op6_bpe, op7_token_files, op8_packing, op9_license_scan, op10_substring_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
