@@ -20,6 +20,7 @@ repeated rows count as one document's windows; an empty table gives an empty res
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -102,11 +103,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEM
     table = template_table(spark, templates)
     lengths = sorted({class_length(len(template_shingles(t))) for _, t in templates})
     low = F.lower(F.col(text))
-    asked = None
-    for w in needed_words(templates):
-        asked = low.contains(w) if asked is None else asked | low.contains(w)
+    needed = needed_words(templates)
+    asked = functools.reduce(lambda a, b: a | b, [low.contains(w) for w in needed])
     words = docs.filter(asked).select(F.col(key).alias("doc_id"), F.split(normal(F.col(text)), " ").alias("words"))
-    hashed = words.filter(F.size("words") >= SHINGLE).select("doc_id", shingles(F.col("words")).alias("h"))
+    words = words.filter((F.size("words") >= SHINGLE) & F.arrays_overlap("words", F.array(*map(F.lit, needed))))
+    hashed = words.select("doc_id", shingles(F.col("words")).alias("h"))
     ready = hashed.select("doc_id", "h", permuted(F.col("h")).alias("p"))
 
     # windows of each class's length, with their signatures
