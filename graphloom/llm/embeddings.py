@@ -184,7 +184,7 @@ def _joiner(axes: np.ndarray, cosine: float):
 def join(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """vec_id long, n_links long, component_id long, kept boolean: one row per vector."""
     spark = vectors.sparkSession
-    longest = vectors.agg(F.max(F.size(vector))).first()[0] or 0
+    longest = max(0, vectors.agg(F.max(F.size(vector))).first()[0] or 0)
     column = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), column.alias("v"))
     filled = F.when(F.size("v") < longest, F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v")))).otherwise(F.col("v"))
@@ -194,12 +194,12 @@ def join(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cos
     classes = materialize(classes, "vector-classes")
     total = classes.count()
     sample = classes.orderBy("same").limit(SAMPLE).select("unit").collect()  # a bounded sample
-    axes = principal_axes(np.array([np.frombuffer(r[0]) for r in sample]).reshape(len(sample), -1))
+    axes = principal_axes(np.array([np.frombuffer(r[0]) for r in sample]).reshape(len(sample), longest))
     width = float(np.sqrt(2 - 2 * cosine))
 
     @F.arrow_udf("binary")
     def cells(units: pa.Array) -> pa.Array:
-        x = np.array([np.frombuffer(u.as_py()) for u in units]).reshape(len(units), -1)
+        x = np.array([np.frombuffer(u.as_py()) for u in units]).reshape(len(units), len(axes))
         c = np.floor(x @ axes / width).astype(np.int64) + 128
         return pa.array([row.tobytes() for row in c.astype(np.uint8)], pa.binary())  # bytes compare like the cells
 

@@ -94,7 +94,8 @@ def test_minimal_perfect_hash(n):
 
 
 def test_differencing_is_near_equal():
-    sizes = [random.Random(3).randint(1, 1000) for _ in range(500)]
+    rng = random.Random(3)
+    sizes = [rng.randint(1, 1000) for _ in range(500)]
     window = packing.differencing(sizes, 16)
     sums = np.bincount(window, sizes, 16)
     assert sums.sum() == sum(sizes) and sums.max() - sums.min() <= 20
