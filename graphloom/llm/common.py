@@ -74,6 +74,32 @@ def raw(text: Column | str) -> Column:
     return F.coalesce(c.cast("string"), F.lit("")).cast("binary")
 
 
+#: Bits of the filter of may_hold: a megabyte, whatever the tables.
+FILTER_BITS = 1 << 23
+
+
+def may_hold(ids: DataFrame, of: str, key: Column | str) -> Column:
+    """False only for keys that are not in ids[of]: a one-hash filter of fixed size, put before a shuffle of wide rows.
+
+    The filter is made by bit_or on the executors and has FILTER_BITS bits however many
+    ids there are; when it fills up, more rows pass and the join behind it still decides.
+    """
+    h = F.pmod(F.xxhash64(F.col(of).cast("long")), F.lit(FILTER_BITS))
+    words = ids.groupBy(F.shiftright(h, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast(`{of}` as long)), {FILTER_BITS}) & 63 as int))")).alias("bits"))
+    table = np.zeros(FILTER_BITS >> 6, np.int64)
+    for r in words.collect():  # at most FILTER_BITS / 64 rows
+        table[r["word"]] = r["bits"]
+    table = table.view(U64)
+
+    @F.arrow_udf("boolean")
+    def held(h: pa.Array) -> pa.Array:
+        x = h.to_numpy(zero_copy_only=False).astype(U64)
+        return pa.array((table[(x >> U64(6)).astype(np.int64)] >> (x & U64(63)) & U64(1)).astype(bool))
+
+    c = F.col(key) if isinstance(key, str) else key
+    return held(F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_BITS)))
+
+
 def slices(batch: pa.RecordBatch, size: int = SLICE):
     for i in range(0, batch.num_rows, size):
         yield batch.slice(i, size)

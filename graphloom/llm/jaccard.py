@@ -46,6 +46,7 @@ from graphloom.llm.common import (
     forest,
     forget,
     materialize,
+    may_hold,
     mix64,
     raw,
     shingle_hashes,
@@ -54,7 +55,7 @@ from graphloom.llm.common import (
 )
 
 #: Documents of a group's block; bounds what a task opens at once.
-BLOCK = 128
+BLOCK = 256
 #: Ratio of the largest to the smallest size in a class of sizes.
 RATIO = 1.7
 #: Columns of the 0/1 matrices multiplied at a time.
@@ -232,10 +233,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
 
     # groups of similar documents, in blocks
     best = F.max(F.struct("sets", "token")).alias("m")
-    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("m.sets") / F.lit(float(BLOCK))))
-    grouped = materialize(
-        shared.groupBy("doc").agg(best).select("doc", F.xxhash64("m.token", block).alias("grp")), "jaccard-groups"
-    )
+    chosen = materialize(shared.groupBy("doc").agg(best).select("doc", "m.token"), "jaccard-chosen")
+    counts = materialize(chosen.groupBy("token").agg(F.count("*").alias("docs")), "jaccard-counts")
+    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("docs") / F.lit(float(BLOCK))))
+    grouped = materialize(chosen.join(counts, "token").select("doc", F.xxhash64("token", block).alias("grp")), "jaccard-groups")
     matrix = shared.join(grouped, "doc").select("token", "grp").distinct()
     matrix = materialize(matrix, "jaccard-matrix")
     cross = (
@@ -251,12 +252,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     )
 
     # shingles of the grouped documents, brought to each pair their group is in
-    sets = rows.join(grouped, "doc").select("doc", "grp", _shingler(size)("text").alias("shingles"))
-    sets = materialize(sets.join(sides.select("grp").distinct(), "grp", "left_semi"), "jaccard-members")
+    opened_groups = grouped.join(sides.select("grp").distinct(), "grp", "left_semi")
+    sets = rows.filter(may_hold(opened_groups, "doc", "doc")).join(opened_groups, "doc").select("doc", "grp", _shingler(size)("text").alias("shingles"))
+    sets = materialize(sets, "jaccard-members")
     opened = sides.join(sets, "grp").select("pair", "side", "doc", "shingles")
     opened = opened.repartition(n, "pair").sortWithinPartitions("pair", "side", "doc")
     links = materialize(opened.mapInArrow(_opener(per_cent), "a long, b long"), "jaccard-links")
-    forget(shared, matrix, sides, sets)
+    forget(shared, chosen, counts, matrix, sides, sets)
 
     roots = components(links, "jaccard-components")
     named = materialize(
