@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import importlib
+
+FAMILIES = ("graph",)
+
+
+def _all() -> dict:
+    out = {}
+    for family in FAMILIES:
+        out |= importlib.import_module(f"graphloom.plans.{family}").QUERIES
+    return out
+
 
 def queries():
-    return {}
+    return {name: run for name, (run, _) in _all().items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return queries()["gp01_wo_maintenance"](spark, sf_dir)
