@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("graph",)
+FAMILIES = ("graph", "text",)
 
 
 def _all() -> dict:
