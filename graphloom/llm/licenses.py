@@ -9,8 +9,9 @@ m' < 2m being the class's length, and is missed with a probability of (1 - J)**B
 under 1e-3 for c = 0.8. Windows whose bands collide with a template's are verified: the
 share of the template's distinct shingles found in the window must be 0.8 or more.
 
-Before all that, documents go that hold none of the words that every template shingle
-needs one of; they can't hold a shingle of any template. The template table is a fixed
+Only windows are hashed that hold one of the words of which every template shingle has
+one at least: the others can't hold a shingle of any template, and documents without
+such a word are passed over unread. The template table is a fixed
 list in this module, so it may be broadcast.
 
 Defined results: null, blank and short texts match nothing; texts are read whole; a
@@ -47,6 +48,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+#: Words too common to tell a notice by (fixed values).
+COMMON = frozenset("a an and any are as at be by can for from in is it its may not of on or that the this to under use with without you".split())
+
+
 def normal_words(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
@@ -58,12 +63,12 @@ def template_shingles(text: str) -> list[str]:
 
 
 def needed_words(templates) -> list[str]:
-    """A small set of words of which every shingle of every template has one, long words first."""
+    """A small set of words of which every shingle of every template has one, rare and long words first."""
     left = {s for _, t in templates for s in template_shingles(t)}
     out = []
     while left:
         words = {w for s in left for w in s.split()}
-        best = max(words, key=lambda w: (len(w) >= 5, sum(w in s.split() for s in left) * len(w), w))
+        best = max(words, key=lambda w: (w not in COMMON and not w.isdigit(), len(w) >= 5, sum(w in s.split() for s in left) * len(w), w))
         out.append(best)
         left = {s for s in left if best not in s.split()}
     return out
@@ -84,9 +89,9 @@ def shingles(words: Column) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " ")))
 
 
-def permuted(hashes: Column) -> Column:
-    """BANDS arrays of the hashes, each under another hash function."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.transform(hashes, lambda x: F.xxhash64(x, k)))
+def signature(hashes: Column) -> Column:
+    """Least hash of the array under each of BANDS hash functions."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, k))))
 
 
 def template_table(spark, templates=TEMPLATES) -> DataFrame:
@@ -94,7 +99,7 @@ def template_table(spark, templates=TEMPLATES) -> DataFrame:
     rows = [(name, class_length(len(s)), s) for name, t in templates if (s := template_shingles(t))]
     table = spark.createDataFrame(rows, "license string, length int, texts array<string>")
     hashed = table.select("license", "length", F.transform("texts", lambda s: F.xxhash64(s)).alias("hashes"))
-    return hashed.withColumn("signature", F.transform(permuted(F.col("hashes")), lambda p: F.array_min(p)))
+    return hashed.withColumn("signature", signature(F.col("hashes")))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES) -> DataFrame:
@@ -105,20 +110,22 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEM
     low = F.lower(F.col(text))
     needed = needed_words(templates)
     asked = functools.reduce(lambda a, b: a | b, [low.contains(w) for w in needed])
-    words = docs.filter(asked).select(F.col(key).alias("doc_id"), F.split(normal(F.col(text)), " ").alias("words"))
-    words = words.filter((F.size("words") >= SHINGLE) & F.arrays_overlap("words", F.array(*map(F.lit, needed))))
-    hashed = words.select("doc_id", shingles(F.col("words")).alias("h"))
-    ready = hashed.select("doc_id", "h", permuted(F.col("h")).alias("p"))
-
-    # windows of each class's length, with their signatures
-    classed = ready.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("length"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("h") - 1 - F.col("length"), F.lit(0)), F.col("length"))
-
-    def window(s: Column) -> Column:
-        part = lambda a: F.slice(a, s + 1, 2 * F.col("length"))
-        return F.struct(s.alias("start"), part(F.col("h")).alias("w"), F.transform("p", lambda a: F.array_min(part(a))).alias("bands"))
-
-    rows = classed.select("doc_id", "length", F.explode(F.transform(starts, window)).alias("x")).select("doc_id", "length", "x.*")
+    # explode(array(x)) keeps x: the optimizer would else put its expression into each lambda that reads it
+    words = docs.filter(asked).select(F.col(key).alias("doc_id"), F.explode(F.array(F.split(normal(F.col(text)), " "))).alias("words"))
+    at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(needed), i)), lambda i: i.isNotNull())
+    words = words.filter(F.size("words") >= SHINGLE).select("doc_id", "words", F.explode(F.array(at)).alias("at")).filter(F.size("at") > 0)
+
+    # windows of each class's length that hold a needed word; the others hold no shingle of a template
+    length = F.col("length")
+    classed = words.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("length"))
+    first = lambda p: F.greatest(F.ceil((p - 2 * length - (SHINGLE - 2)) / length), F.lit(0))
+    steps = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(first(p).cast("int"), F.floor(p / length).cast("int")))))
+    last = F.greatest(F.size("words") - (SHINGLE - 1) - length, F.lit(1))
+    starts = F.filter(F.transform(steps, lambda k: k * length), lambda s: s < last)
+    placed = classed.select("doc_id", "words", "length", F.explode(starts).alias("start"))
+    part = F.slice("words", F.col("start") + 1, 2 * length + (SHINGLE - 1))
+    cut = placed.select("doc_id", "length", "start", F.explode(F.array(part)).alias("part")).filter(F.size("part") >= SHINGLE)
+    rows = cut.select("doc_id", "length", "start", F.explode(F.array(shingles(F.col("part")))).alias("w")).select("*", signature(F.col("w")).alias("bands"))
     opened = rows.select("doc_id", "length", "start", "w", F.posexplode("bands").alias("band", "value"))
     bands = table.select("license", "length", "hashes", F.posexplode("signature").alias("band", "value"))
     hits = opened.join(F.broadcast(bands), ["length", "band", "value"])
