@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -28,8 +29,11 @@ from graphloom.llm.common import raw
 #: Parts beyond which scanning for the minimum gives way to a heap.
 SHORT = 256
 #: Pre-tokens remembered per worker and generation; texts encoded at once.
-REMEMBERED, AT_ONCE = 250_000, 128
+REMEMBERED, AT_ONCE = 300_000, 128
 NONE = 1 << 60
+#: A common split pattern; texts without what ODD finds fall into words, commas and full stops under it.
+PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ODD = re.compile("[^a-z \t\n\r\x0b\x0cß-öø-ɏ.,]|[.,]{2}").search
 
 
 def _byte_characters() -> list[str]:
@@ -65,6 +69,7 @@ class Vocabulary:
         self.last = [ids[c + self.end] for c in chars]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pre_tokens = regex.compile(split["pattern"]["Regex"]).findall
+        self.plain = split["pattern"]["Regex"] == PLAIN_SPLIT
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def word(self, data: bytes) -> list[int]:
@@ -126,6 +131,12 @@ class Vocabulary:
                     out += self.word(token.encode())
         return out
 
+    def tokens_of(self, text: str) -> list[str]:
+        """Pre-tokens of a normalised text."""
+        if not self.plain or ODD(text):
+            return self.pre_tokens(text)
+        return text.replace(",", " , ").replace(".", " . ").split()
+
     def normal(self, text: str) -> str:
         """NFC and lower case letter by letter (no final sigma). White space needs no care: no pre-token holds any."""
         if text.isascii():
@@ -137,35 +148,33 @@ class Vocabulary:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-class Words:
-    """Texts to ids (little-endian unsigned 32-bit integers) by way of pre-tokens.
+class Words(dict):
+    """pre-token -> ids (little-endian unsigned 32-bit integers) by `encode`, for the pre-tokens met lately.
 
-    Pre-tokens met lately are remembered in two generations, of about REMEMBERED each;
-    `encode` gives the ids of a list of new ones.
+    Two generations of about REMEMBERED each bound the memory.
     """
 
     def __init__(self, vocabulary: Vocabulary, encode):
-        self.vocabulary, self.encode = vocabulary, encode
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.vocabulary, self.encode, self.old = vocabulary, encode, {}
+
+    def __missing__(self, token: str) -> bytes:
+        value = self.old.get(token)
+        if value is None:
+            value = np.array(self.encode(token), "<u4").tobytes()
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[token] = value
+        return value
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        v, out = self.vocabulary, []
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        docs = [t.decode() for t in texts]
-        docs = [None if v.specials and v.specials.search(t) else v.pre_tokens(v.normal(t)) for t in docs]
-        new = []
-        for token in set().union(*filter(None, docs)).difference(self.young):
-            if token in self.old:
-                self.young[token] = self.old[token]
+        v, get, out = self.vocabulary, self.__getitem__, []
+        for text in texts:
+            shown = text.decode()
+            if v.specials and v.specials.search(shown):
+                out.append(np.array(v.whole(shown), "<u4").tobytes())
             else:
-                new.append(token)
-        if new:
-            self.young.update(zip(new, self.encode(new)))
-        get = self.young.__getitem__
-        for text, doc in zip(texts, docs):
-            out.append(np.array(v.whole(text.decode()), "<u4").tobytes() if doc is None else b"".join(map(get, doc)))
+                out.append(b"".join(map(get, v.tokens_of(v.normal(shown)))))
         return out
 
 
@@ -178,26 +187,21 @@ def vocabulary(path: str) -> Vocabulary:
 def own_words(path: str) -> Words:
     """Pre-tokens encoded by the rank arrays of this module."""
     v = vocabulary(path)
-    return Words(v, lambda tokens: [np.array(v.word(t.encode()), "<u4").tobytes() for t in tokens])
+    return Words(v, lambda token: v.word(token.encode()))
 
 
 @functools.lru_cache(2)
 def library_words(path: str) -> Words:
-    """Pre-tokens encoded by the tokenizers library, many in one text: the word-end suffix tells where each ends."""
+    """Pre-tokens encoded by the model of the tokenizers library."""
     from tokenizers import Tokenizer
 
-    t, v = Tokenizer.from_file(path), vocabulary(path)
-    t.no_truncation()
-    t.no_padding()
-    ends = np.array([bool(v.end) and token.endswith(v.end) for token in v.tokens])
-
-    def encode(tokens: list[str]) -> list[bytes]:
-        ids = np.array(t.encode(" ".join(tokens), add_special_tokens=False).ids, "<u4")
-        cut = 4 * (np.flatnonzero(ends[ids]) + 1)
-        if len(cut) != len(tokens):
-            return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in tokens]
-        data, cut = ids.tobytes(), cut.tolist()
-        return [data[i:j] for i, j in zip([0, *cut[:-1]], cut)]
+    t, v, chars = Tokenizer.from_file(path), vocabulary(path), _byte_characters()
+    model = t.model
+
+    def encode(token: str) -> list[int]:
+        if not (token.isascii() and token.isprintable()):
+            token = "".join([chars[b] for b in token.encode()])
+        return [x.id for x in model.tokenize(token)]
 
     return Words(v, encode)
 
