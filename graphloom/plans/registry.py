@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("graph", "text",)
+FAMILIES = ("graph", "text", "triples",)
 
 
 def _all() -> dict:
