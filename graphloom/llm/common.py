@@ -74,30 +74,54 @@ def raw(text: Column | str) -> Column:
     return F.coalesce(c.cast("string"), F.lit("")).cast("binary")
 
 
-#: Bits of the filter of may_hold: a megabyte, whatever the tables.
-FILTER_BITS = 1 << 23
+#: Bits of the one-hash filters below: megabytes, whatever the tables.
+FILTER_BITS, WIDE_FILTER_BITS = 1 << 23, 1 << 25
+
+
+def _filter_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bits set for the values (0 to bits - 1) of the only column, made by bit_or on the executors."""
+    h = hashes.columns[0]
+    words = hashes.groupBy(F.shiftright(h, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{h}` & 63 as int))")).alias("bits"))
+    table = np.zeros(bits >> 6, np.int64)
+    for r in words.toLocalIterator():  # at most bits / 64 rows
+        table[r["word"]] = r["bits"]
+    return table.view(U64)
+
+
+def _held(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (table[(h >> U64(6)).astype(np.int64)] >> (h & U64(63)) & U64(1)).astype(bool)
 
 
 def may_hold(ids: DataFrame, of: str, key: Column | str) -> Column:
-    """False only for keys that are not in ids[of]: a one-hash filter of fixed size, put before a shuffle of wide rows.
+    """False only for keys that are not in ids[of]: a filter of fixed size, put before a shuffle of wide rows.
 
-    The filter is made by bit_or on the executors and has FILTER_BITS bits however many
-    ids there are; when it fills up, more rows pass and the join behind it still decides.
+    It has FILTER_BITS bits however many ids there are; when it fills up, more rows pass
+    and the join behind it still decides.
     """
-    h = F.pmod(F.xxhash64(F.col(of).cast("long")), F.lit(FILTER_BITS))
-    words = ids.groupBy(F.shiftright(h, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast(`{of}` as long)), {FILTER_BITS}) & 63 as int))")).alias("bits"))
-    table = np.zeros(FILTER_BITS >> 6, np.int64)
-    for r in words.collect():  # at most FILTER_BITS / 64 rows
-        table[r["word"]] = r["bits"]
-    table = table.view(U64)
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_BITS))
+    table = _filter_table(ids.select(place(F.col(of)).alias("h")), FILTER_BITS)
 
     @F.arrow_udf("boolean")
     def held(h: pa.Array) -> pa.Array:
-        x = h.to_numpy(zero_copy_only=False).astype(U64)
-        return pa.array((table[(x >> U64(6)).astype(np.int64)] >> (x & U64(63)) & U64(1)).astype(bool))
+        return pa.array(_held(table, h.to_numpy(zero_copy_only=False).astype(U64)))
+
+    return held(place(F.col(key) if isinstance(key, str) else key))
+
+
+def keep_held(hashes: DataFrame, of: str, values: str) -> Column:
+    """An array column of 64-bit hashes without most of those that are not in hashes[of]; none that are get lost."""
+    bits = WIDE_FILTER_BITS
+    table = _filter_table(hashes.select(F.col(of).bitwiseAND(F.lit(bits - 1).cast("long")).alias("h")), bits)
+
+    @F.arrow_udf("array<long>")
+    def kept(arrays: pa.Array) -> pa.Array:
+        flat = arrays.flatten().to_numpy(zero_copy_only=False)
+        ends = np.asarray(arrays.offsets)
+        ok = _held(table, flat.view(U64) & U64(bits - 1))
+        at = np.concatenate([[0], np.cumsum(ok)])[ends - ends[0]].astype(np.int32)
+        return pa.ListArray.from_arrays(at, flat[ok])
 
-    c = F.col(key) if isinstance(key, str) else key
-    return held(F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_BITS)))
+    return kept(values)
 
 
 def slices(batch: pa.RecordBatch, size: int = SLICE):

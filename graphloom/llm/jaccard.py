@@ -45,6 +45,7 @@ from graphloom.llm.common import (
     components,
     forest,
     forget,
+    keep_held,
     materialize,
     may_hold,
     mix64,
@@ -223,21 +224,21 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     known = signed.filter("doc is not null and n > 0")
     classes = materialize(known.groupBy("h1", "h2").agg(F.min("doc").alias("rep")), "jaccard-classes")
 
-    # tokens of one row of each class, then those that at least two classes have
-    tokens = known.select("doc", "h1", "h2", "tokens").filter(F.size("tokens") > 0).join(
-        classes.select("h1", "h2", F.col("rep").alias("doc")), ["doc", "h1", "h2"]
-    )
-    tokens = tokens.dropDuplicates(["doc", "h1", "h2"]).select("doc", F.explode("tokens").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1")
-    shared = materialize(tokens.join(often, "token"), "jaccard-tokens")
+    # tokens that at least two classes have; a class goes by its first hash
+    tokens = known.filter(F.size("tokens") > 0).select(F.col("h1").alias("cls"), "tokens")
+    ends = tokens.select("cls", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
+    often = materialize(ends.filter("low <> high").select("token"), "jaccard-often")
+    fewer = tokens.select("cls", F.explode(keep_held(often, "token", "tokens")).alias("token")).distinct()
+    shared = materialize(fewer.join(often, "token"), "jaccard-tokens")
 
-    # groups of similar documents, in blocks
+    # groups of similar classes, in blocks: each goes to its most frequent token
+    sets = materialize(shared.groupBy("token").agg(F.count("*").alias("sets")), "jaccard-sets-of-tokens")
     best = F.max(F.struct("sets", "token")).alias("m")
-    chosen = materialize(shared.groupBy("doc").agg(best).select("doc", "m.token"), "jaccard-chosen")
+    chosen = materialize(shared.join(sets, "token").groupBy("cls").agg(best).select("cls", "m.token"), "jaccard-chosen")
     counts = materialize(chosen.groupBy("token").agg(F.count("*").alias("docs")), "jaccard-counts")
-    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("docs") / F.lit(float(BLOCK))))
-    grouped = materialize(chosen.join(counts, "token").select("doc", F.xxhash64("token", block).alias("grp")), "jaccard-groups")
-    matrix = shared.join(grouped, "doc").select("token", "grp").distinct()
+    block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("docs") / F.lit(float(BLOCK))))
+    grouped = materialize(chosen.join(counts, "token").select("cls", F.xxhash64("token", block).alias("grp")), "jaccard-groups")
+    matrix = shared.join(grouped, "cls").select("token", "grp").distinct()
     matrix = materialize(matrix, "jaccard-matrix")
     cross = (
         matrix.join(matrix.select("token", F.col("grp").alias("other")), "token").filter("grp < other").select("grp", "other").distinct()
@@ -253,12 +254,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
 
     # shingles of the grouped documents, brought to each pair their group is in
     opened_groups = grouped.join(sides.select("grp").distinct(), "grp", "left_semi")
-    sets = rows.filter(may_hold(opened_groups, "doc", "doc")).join(opened_groups, "doc").select("doc", "grp", _shingler(size)("text").alias("shingles"))
-    sets = materialize(sets, "jaccard-members")
-    opened = sides.join(sets, "grp").select("pair", "side", "doc", "shingles")
+    opened_groups = opened_groups.join(classes, opened_groups["cls"] == classes["h1"]).select(F.col("rep").alias("doc"), "grp")
+    opened_groups = materialize(opened_groups, "jaccard-opened")
+    members = rows.filter(may_hold(opened_groups, "doc", "doc")).join(opened_groups, "doc").select("doc", "grp", _shingler(size)("text").alias("shingles"))
+    members = materialize(members.dropDuplicates(["doc", "shingles"]), "jaccard-members")
+    opened = sides.join(members, "grp").select("pair", "side", "doc", "shingles")
     opened = opened.repartition(n, "pair").sortWithinPartitions("pair", "side", "doc")
     links = materialize(opened.mapInArrow(_opener(per_cent), "a long, b long"), "jaccard-links")
-    forget(shared, chosen, counts, matrix, sides, sets)
+    forget(often, shared, sets, chosen, counts, matrix, sides, members, opened_groups)
 
     roots = components(links, "jaccard-components")
     named = materialize(
