@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("graph", "text", "triples",)
+FAMILIES = ("graph", "text", "triples", "vectors",)
 
 
 def _all() -> dict:
