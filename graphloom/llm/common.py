@@ -83,8 +83,8 @@ def _filter_table(hashes: DataFrame, bits: int) -> np.ndarray:
     h = hashes.columns[0]
     words = hashes.groupBy(F.shiftright(h, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{h}` & 63 as int))")).alias("bits"))
     table = np.zeros(bits >> 6, np.int64)
-    for r in words.toLocalIterator():  # at most bits / 64 rows
-        table[r["word"]] = r["bits"]
+    got = words.toArrow()  # at most bits / 64 rows
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     return table.view(U64)
 
 
@@ -109,15 +109,18 @@ def may_hold(ids: DataFrame, of: str, key: Column | str) -> Column:
 
 
 def keep_held(hashes: DataFrame, of: str, values: str) -> Column:
-    """An array column of 64-bit hashes without most of those that are not in hashes[of]; none that are get lost."""
+    """An array column of 64-bit hashes without most of those that are not in hashes[of]; none that are get lost.
+
+    The low 6 bits of the hashes may hold something else.
+    """
     bits = WIDE_FILTER_BITS
-    table = _filter_table(hashes.select(F.col(of).bitwiseAND(F.lit(bits - 1).cast("long")).alias("h")), bits)
+    table = _filter_table(hashes.select(F.shiftright(of, 6).bitwiseAND(F.lit(bits - 1).cast("long")).alias("h")), bits)
 
     @F.arrow_udf("array<long>")
     def kept(arrays: pa.Array) -> pa.Array:
         flat = arrays.flatten().to_numpy(zero_copy_only=False)
         ends = np.asarray(arrays.offsets)
-        ok = _held(table, flat.view(U64) & U64(bits - 1))
+        ok = _held(table, flat.view(U64) >> U64(6) & U64(bits - 1))
         at = np.concatenate([[0], np.cumsum(ok)])[ends - ends[0]].astype(np.int32)
         return pa.ListArray.from_arrays(at, flat[ok])
 

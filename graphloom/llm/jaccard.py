@@ -5,13 +5,15 @@ sets are one class from the start. The rest runs in four steps, all linear in th
 documents but for the groups that qualify:
 
 1. Tokens. For sets of at most s shingles a link leaves D = 2s(100-p)/(100+p) shingles
-   unshared at most. The shingles are dealt by hash to more parts than D, so linked sets
-   agree on a whole part; the sum of a part's hashes is a token. Sizes are dealt to
-   classes, each with its own number of parts, and sets near a class's upper end have
-   tokens in the next class too. Empty parts count as agreeing only when a set has more
-   of them than the spare parts allow for. So linked sets share a token, always.
-2. Groups. Tokens of one set only are dropped. Each set joins the group of its most
-   frequent token, dealt to blocks of bounded size: similar documents lie together.
+   unshared at most. The shingles are dealt by hash to D + 1 parts and some more, so
+   linked sets agree on 1 + extra whole parts at least; the sum of a part's hashes is a
+   token. Sizes are dealt to classes, each with its own number of parts, and sets near a
+   class's upper end have tokens in the next class too. Empty parts count as agreeing
+   only when a set has more of them than the spare parts allow for.
+2. Groups. Tokens of one set only are dropped, and so are the `extra` most frequent tokens
+   of each set: of those that linked sets share, one stays in both (the prefix principle),
+   and passages that very many documents have go. Each set joins the group of its most
+   frequent token left, dealt to blocks of bounded size: similar documents lie together.
 3. Matrix. The distinct (token, group) pairs, each group's token union. Groups that
    share no token can't hold a link, as the overlap of any set with the other group's
    union is then below what a link needs. Pairs of groups that share one qualify.
@@ -36,7 +38,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import (
@@ -80,7 +82,7 @@ def size_classes(per_cent: int) -> tuple[int, ...]:
     """Lower ends of the classes of set sizes; sets below the first link with equal sets only."""
     low = next(n for n in range(1, 1 << 20) if unshared(n, per_cent))
     ends = [low]
-    while ends[-1] < 1 << 40:
+    while ends[-1] < 1 << 40 and len(ends) < 64:
         ends.append(max(ends[-1] + 1, int(ends[-1] * RATIO)))
     return tuple(ends)
 
@@ -91,16 +93,14 @@ def unshared(size: int, per_cent: int) -> int:
 
 
 def set_tokens(shingles: np.ndarray, per_cent: int) -> np.ndarray:
-    """Tokens of a set of which linked, unequal sets share at least one."""
+    """Tokens of a set; linked, unequal sets share more of a label than its `extra`. The low 6 bits are the label."""
     n, ends = len(shingles), size_classes(per_cent)
     at = int(np.searchsorted(ends, n, side="right")) - 1
     out = []
     for label in (at, at + 1):
         if label < 0 or label > at and 100 * n < per_cent * ends[label]:
             continue
-        parts = unshared(ends[label + 1] - 1, per_cent) + 1
-        spare = 1 + parts // 32
-        parts += spare
+        parts, spare = parts_of(label, per_cent)[:2]
         salt = U64(0x9E3779B97F4A7C15 * (label + 1) & 0xFFFFFFFFFFFFFFFF)
         part = (mix64(shingles ^ salt) % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -109,12 +109,20 @@ def set_tokens(shingles: np.ndarray, per_cent: int) -> np.ndarray:
         sums = np.add.reduceat(mix64(shingles + salt)[order], first)
         filled = sorted_part[first]
         place = mix64(np.arange(parts).astype(U64) + salt)
-        out.append(mix64(sums ^ place[filled]))
+        mark = lambda h: (mix64(h) & ~U64(63)) | U64(label)  # noqa: B023, E731
+        out.append(mark(sums ^ place[filled]))
         if parts - len(filled) > spare:
-            out.append(mix64(np.delete(place, filled)))
+            out.append(mark(np.delete(place, filled)))
     return np.concatenate(out) if out else np.empty(0, U64)
 
 
+def parts_of(label: int, per_cent: int) -> tuple[int, int, int]:
+    """(parts, spare parts for empty ones, further extra parts) of a class of sizes."""
+    most = unshared(size_classes(per_cent)[label + 1] - 1, per_cent)
+    spare, extra = 1 + (most + 1) // 32, most // 2
+    return most + 1 + spare + extra, spare, extra
+
+
 def _signer(size: int, per_cent: int):
     def run(batches):
         for batch in batches:
@@ -231,14 +239,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     fewer = tokens.select("cls", F.explode(keep_held(often, "token", "tokens")).alias("token")).distinct()
     shared = materialize(fewer.join(often, "token"), "jaccard-tokens")
 
-    # groups of similar classes, in blocks: each goes to its most frequent token
+    # without the most frequent tokens of each set
     sets = materialize(shared.groupBy("token").agg(F.count("*").alias("sets")), "jaccard-sets-of-tokens")
+    label = F.col("token").bitwiseAND(F.lit(63).cast("long")).cast("int")
+    extra = F.element_at(F.array(*[F.lit(parts_of(k, per_cent)[2]) for k in range(len(size_classes(per_cent)) - 1)]), label + 1)
+    order = Window.partitionBy("cls", label).orderBy(F.desc("sets"), F.desc("token"))
+    ranked = shared.join(sets, "token").withColumn("place", F.row_number().over(order)).filter(F.col("place") > extra)
+    rare = materialize(ranked.select("cls", "token", "sets"), "jaccard-rare")
+    left = rare.groupBy("token").agg(F.count("*").alias("classes")).filter("classes > 1").select("token")
+    shared_rare = materialize(rare.join(left, "token"), "jaccard-left")
+
+    # groups of similar classes, in blocks: each goes to its most frequent token
     best = F.max(F.struct("sets", "token")).alias("m")
-    chosen = materialize(shared.join(sets, "token").groupBy("cls").agg(best).select("cls", "m.token"), "jaccard-chosen")
+    chosen = materialize(shared_rare.groupBy("cls").agg(best).select("cls", "m.token"), "jaccard-chosen")
     counts = materialize(chosen.groupBy("token").agg(F.count("*").alias("docs")), "jaccard-counts")
     block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("docs") / F.lit(float(BLOCK))))
     grouped = materialize(chosen.join(counts, "token").select("cls", F.xxhash64("token", block).alias("grp")), "jaccard-groups")
-    matrix = shared.join(grouped, "cls").select("token", "grp").distinct()
+    matrix = shared_rare.join(grouped, "cls").select("token", "grp").distinct()
     matrix = materialize(matrix, "jaccard-matrix")
     cross = (
         matrix.join(matrix.select("token", F.col("grp").alias("other")), "token").filter("grp < other").select("grp", "other").distinct()
@@ -261,7 +278,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     opened = sides.join(members, "grp").select("pair", "side", "doc", "shingles")
     opened = opened.repartition(n, "pair").sortWithinPartitions("pair", "side", "doc")
     links = materialize(opened.mapInArrow(_opener(per_cent), "a long, b long"), "jaccard-links")
-    forget(often, shared, sets, chosen, counts, matrix, sides, members, opened_groups)
+    forget(often, shared, sets, rare, shared_rare, chosen, counts, matrix, sides, members, opened_groups)
 
     roots = components(links, "jaccard-components")
     named = materialize(
