@@ -63,6 +63,11 @@ CAMEL = ("([a-z])([A-Z])", "$1 $2")
 SPACES = r"[ \t\n\r\x0B\f]+"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: lambdas would else compute its expression for each element."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
@@ -128,20 +133,22 @@ def category(document_type: Column) -> Column:
 
 def entities(text: Column, patterns: dict = ENTITY_PATTERNS, cap: int = 10) -> Column:
     """Map of entity type to its first distinct matches in order of the alphabet; types without a match are left out."""
-    found = lambda ps: F.slice(F.array_sort(F.array_distinct(F.transform(F.concat(*[F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0)) for p in ps]), F.trim))), 1, cap)
+    found = lambda ps: F.slice(F.array_sort(F.array_distinct(F.transform(F.concat(*[F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0)) for p in ps]), lambda v: F.trim(v)))), 1, cap)
     return F.map_filter(F.create_map(*[x for k, ps in patterns.items() for x in (F.lit(k), found(ps))]), lambda k, v: F.size(v) > 0)
 
 
 def chunks(text: Column, size: int) -> Column:
     """Windows of `size` words without overlap: array of (chunk_index, chunk_text, start_word, end_word, word_count)."""
-    w = words(text)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
 
-    def one(s):
-        part = F.slice(w, s + 1, size)
-        return F.struct((s / size).cast("long").alias("chunk_index"), F.array_join(part, " ").alias("chunk_text"), s.cast("long").alias("start_word"), (s + F.size(part)).cast("long").alias("end_word"), F.size(part).cast("long").alias("word_count"))
+    def one(w, s):
+        n = F.least(F.size(w) - s, F.lit(size))
+        return F.struct((s / size).cast("long").alias("chunk_index"), F.array_join(F.slice(w, s + 1, size), " ").alias("chunk_text"), s.cast("long").alias("start_word"), (s + n).cast("long").alias("end_word"), n.cast("long").alias("word_count"))
+
+    def windows(w):
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: one(w, s))
 
-    return F.transform(starts, one)
+    return let(words(text), windows)
 
 
 def ocr_confidence(text: Column, method: Column) -> Column:
@@ -209,7 +216,7 @@ def token_count(text: Column) -> Column:
 
 def document_context(text: Column) -> Column:
     """The first five of the first ten lines that have more than five characters, joined by ' | '."""
-    head = F.filter(F.transform(F.slice(F.split(text, "\n"), 1, 10), F.trim), lambda x: F.length(x) > 5)
+    head = F.filter(F.transform(F.slice(F.split(text, "\n"), 1, 10), lambda v: F.trim(v)), lambda x: F.length(x) > 5)
     return F.array_join(F.slice(head, 1, 5), " | ")
 
 
