@@ -101,7 +101,7 @@ def q_stats(spark, sf):
 
 def q_rolling_avg(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return log(spark, sf).select("event_id", F.round(F.avg("seconds").over(w), 3).alias("running"))
+    return log(spark, sf).select("event_id", F.round(F.avg(F.round(F.col("seconds") * 100).cast("long")).over(w), 3).alias("running_hundredths"))
 
 
 def q_match2(spark, sf):
@@ -159,7 +159,7 @@ QUERIES = {
     "q_pattern_search": (lambda s, d: pattern_table(s).filter("category = 'aggregation' or complexity = 'simple'").select("pattern", "parameter"), f"SELECT pattern, parameter FROM {PATTERN_ROWS} WHERE category = 'aggregation' OR complexity = 'simple'"),
     "q_pattern_explain": (lambda s, d: pattern_table(s).groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("parameter")), ",").alias("parameters")), f"SELECT category, count(*) AS n, array_to_string(list_sort(list(DISTINCT parameter)), ',') AS parameters FROM {PATTERN_ROWS} GROUP BY 1"),
     "q_stats": (q_stats, "SELECT event_type AS approach, floor((event_id % 100 / 100.0::DOUBLE) * 10)::BIGINT AS bucket, count(*) AS n, count(*) FILTER (event_type <> 'error') AS successes, round(avg(value), 6) AS avg_seconds FROM events GROUP BY 1, 2"),
-    "q_rolling_avg": (q_rolling_avg, "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS running FROM events"),
+    "q_rolling_avg": (q_rolling_avg, "SELECT event_id, round(avg(round(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS running_hundredths FROM events"),
     "q_fewshot_best": (
         lambda s, d: log(s, d).groupBy("user_id").agg(F.avg("confidence").alias("c"), F.avg(F.col("success").cast("double")).alias("r"), F.count("*").alias("uses")).filter("c > 0.4").orderBy(F.desc(F.round(F.col("c") * F.col("r"), 9)), F.desc("uses"), "user_id").limit(10).select("user_id", F.round(F.col("c") * F.col("r"), 6).alias("score"), "uses"),
         "SELECT user_id, round(c * r, 6) AS score, uses FROM (SELECT user_id, avg(event_id % 100 / 100.0::DOUBLE) AS c, avg((event_type <> 'error')::INT::DOUBLE) AS r, count(*) AS uses FROM events GROUP BY 1) WHERE c > 0.4 ORDER BY round(c * r, 9) DESC, uses DESC, user_id LIMIT 10",
