@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("graph", "text", "triples", "vectors", "questions", "operations",)
+FAMILIES = ("graph", "text", "triples", "vectors", "questions", "operations", "sources",)
 
 
 def _all() -> dict:
