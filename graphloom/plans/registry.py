@@ -23,4 +23,5 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return queries()["gp01_wo_maintenance"](spark, sf_dir)
+    """Triples to a standardised, inferred graph, in numbers by predicate."""
+    return queries()["kg_pipeline"](spark, sf_dir)
