@@ -9,9 +9,9 @@ m' < 2m being the class's length, and is missed with a probability of (1 - J)**B
 under 1e-3 for c = 0.8. Windows whose bands collide with a template's are verified: the
 share of the template's distinct shingles found in the window must be 0.8 or more.
 
-Only windows are hashed that hold one of the words of which every template shingle has
-one at least: the others can't hold a shingle of any template, and documents without
-such a word are passed over unread. The template table is a fixed
+Only windows are hashed that hold one of a few rare words: they are chosen so that less
+than 0.8 of each template's shingles have none of them, so a match always holds one.
+Documents without such a word are passed over. The template table is a fixed
 list in this module, so it may be broadcast.
 
 Defined results: null, blank and short texts match nothing; texts are read whole; a
@@ -63,14 +63,22 @@ def template_shingles(text: str) -> list[str]:
 
 
 def needed_words(templates) -> list[str]:
-    """A small set of words of which every shingle of every template has one, rare and long words first."""
-    left = {s for _, t in templates for s in template_shingles(t)}
-    out = []
-    while left:
-        words = {w for s in left for w in s.split()}
-        best = max(words, key=lambda w: (w not in COMMON and not w.isdigit(), len(w) >= 5, sum(w in s.split() for s in left) * len(w), w))
-        out.append(best)
-        left = {s for s in left if best not in s.split()}
+    """Words of which every match holds one: rare ones, few per template.
+
+    A match holds at least CONTAINMENT of a template's shingles, so words that are in all
+    but fewer than that share of them will do.
+    """
+    out: list[str] = []
+    for _, t in templates:
+        every = template_shingles(t)
+        left = list(every)
+        while left and len(left) >= CONTAINMENT * len(every):
+            words = sorted({w for s in left for w in s.split()})
+            known = [w for w in words if w in out]
+            best = known[0] if known else max(words, key=lambda w: (w not in COMMON and not w.isdigit(), min(len(w), 7), sum(w in s.split() for s in left)))
+            if best not in out:
+                out.append(best)
+            left = [s for s in left if best not in s.split()]
     return out
 
 
@@ -80,7 +88,8 @@ def class_length(m: int) -> int:
 
 
 def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    """Runs of a-z and 0-9 of a lower-case text, one space apart."""
+    return F.trim(F.regexp_replace(text, "[^a-z0-9]+", " "))
 
 
 def shingles(words: Column) -> Column:
@@ -107,11 +116,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEM
     spark = docs.sparkSession
     table = template_table(spark, templates)
     lengths = sorted({class_length(len(template_shingles(t))) for _, t in templates})
-    low = F.lower(F.col(text))
     needed = needed_words(templates)
-    asked = functools.reduce(lambda a, b: a | b, [low.contains(w) for w in needed])
-    # explode(array(x)) keeps x: the optimizer would else put its expression into each lambda that reads it
-    words = docs.filter(asked).select(F.col(key).alias("doc_id"), F.explode(F.array(F.split(normal(F.col(text)), " "))).alias("words"))
+    # explode(array(x)) keeps x: the optimizer would else put its expression wherever it is read, also into lambdas
+    low = docs.select(F.col(key).alias("doc_id"), F.explode(F.array(F.lower(F.col(text)))).alias("low"))
+    asked = functools.reduce(lambda a, b: a | b, [F.col("low").contains(w) for w in needed])
+    words = low.filter(asked).select("doc_id", F.explode(F.array(F.split(normal(F.col("low")), " "))).alias("words"))
     at = F.filter(F.transform("words", lambda w, i: F.when(w.isin(needed), i)), lambda i: i.isNotNull())
     words = words.filter(F.size("words") >= SHINGLE).select("doc_id", "words", F.explode(F.array(at)).alias("at")).filter(F.size("at") > 0)
 
