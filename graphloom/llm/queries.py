@@ -101,4 +101,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_embedding_dedup, op4_quality_rules, op5_ngram_jaccard, op6_bpe, op7_token_files, op8_packing, op9_license_scan, op10_substring_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words as the contracts have them: runs of anything but ASCII white space.
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_RULES_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, {_WORD})) AS lines FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS p FROM rep) GROUP BY 1),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) AS n_lines,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, length(t) - length(replace(t, '!', '')) AS n_exclaims FROM d LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, (n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (n_symbols > 0 AND 100 * n_symbols > 40 * n_words)::INT + 8 * (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::INT
+  + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))::INT + 32 * (n_exclaims >= 5 AND 100 * n_exclaims > 30 * n_words)::INT AS bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits & 15 = 0 AS kept, bits::BIGINT AS failed_bits FROM b"""
+_REACH = "reach AS (SELECT {0} AS x, {0} AS c FROM {1} UNION SELECT links.a, reach.c FROM reach JOIN links ON links.b = reach.x WHERE reach.c < links.a)"
+_VECTORS_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+{_REACH.format("vec_id", "embeddings")}
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM (SELECT x AS vec_id, min(c) AS c FROM reach GROUP BY 1) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1) USING (vec_id)"""
+_JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+{_REACH.format("doc_id", "documents")}
+SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM (SELECT x AS doc_id, min(c) AS c FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)"""
+
+
+def _licenses_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [(name, licenses.class_length(len(s)), len(s), g) for name, t in licenses.TEMPLATES for s in [licenses.template_shingles(t)] for g in s]
+    values = ", ".join(f"({quote(n)}, {length}, {m}, {quote(g)})" for n, length, m, g in rows)
+    return f"""
+WITH t AS (SELECT * FROM (VALUES {values}) v(license, len, m, g)),
+w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+s AS (SELECT doc_id, len(w) - 4 AS n, i - 1 AS i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+h AS (SELECT doc_id, license, len, m, t.g, n, unnest([i // len, i // len - 1]) * len AS start FROM s JOIN t USING (g)),
+c AS (SELECT doc_id, license, start, count(DISTINCT g) / m::DOUBLE AS containment FROM h WHERE start >= 0 AND start < greatest(n - len, 1) GROUP BY doc_id, license, start, m HAVING count(DISTINCT g) / m::DOUBLE >= 0.8)
+SELECT doc_id, license, containment, start AS first_word, n AS n_windows FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, license) AS n, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, start) AS k FROM c) WHERE k = 1"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_dedup": _VECTORS_SQL,
+    "op4_quality_rules": _RULES_SQL,
+    "op5_ngram_jaccard": _JACCARD_SQL,
+    "op9_license_scan": _licenses_sql(),
+}
