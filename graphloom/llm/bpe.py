@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import raw
+from graphloom.llm.common import cache, raw
 
 #: Parts beyond which scanning for the minimum gives way to a heap.
 SHORT = 256
@@ -163,10 +163,14 @@ class Words(dict):
             value = np.array(self.encode(token), "<u4").tobytes()
         if len(self) >= REMEMBERED:
             self.old = dict(self)
-            self.clear()
+            super().clear()
         self[token] = value
         return value
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
         v, get, out = self.vocabulary, self.__getitem__, []
         for text in texts:
@@ -183,16 +187,18 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@functools.lru_cache(2)
 def own_words(path: str) -> Words:
     """Pre-tokens encoded by the rank arrays of this module."""
     v = vocabulary(path)
-    return Words(v, lambda token: v.word(token.encode()))
+    return cache(f"own words of {path}", lambda: Words(v, lambda token: v.word(token.encode())))
 
 
-@functools.lru_cache(2)
 def library_words(path: str) -> Words:
     """Pre-tokens encoded by the model of the tokenizers library."""
+    return cache(f"library words of {path}", lambda: _library_words(path))
+
+
+def _library_words(path: str) -> Words:
     from tokenizers import Tokenizer
 
     t, v, chars = Tokenizer.from_file(path), vocabulary(path), _byte_characters()

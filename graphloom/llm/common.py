@@ -151,7 +151,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -165,6 +165,23 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
+_CACHES: dict[str, object] = {}
+
+
+def cache(name: str, make):
+    """A worker's cache of that name; those of other names are emptied, as workers go from stage to stage."""
+    if name not in _CACHES:
+        for other in _CACHES.values():
+            other.clear()
+        _CACHES.clear()
+        _CACHES[name] = make()
+    return _CACHES[name]
+
+
+def word_hashes() -> WordHash:
+    return cache("word hashes", WordHash)
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of the runs of `size` words, in order; of the whole sequence when it is shorter; none without words."""
     n = len(words)

@@ -43,7 +43,6 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import (
     U64,
-    WordHash,
     components,
     forest,
     forget,
@@ -55,6 +54,7 @@ from graphloom.llm.common import (
     shingle_hashes,
     shuffle_partitions,
     slices,
+    word_hashes,
 )
 
 #: Documents of a group's block; bounds what a task opens at once.
@@ -65,15 +65,10 @@ RATIO = 1.7
 COLUMNS = 2048
 
 
-@functools.lru_cache(1)
-def _words() -> WordHash:
-    return WordHash()
-
-
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text whose letters A-Z are lower-cased."""
     words = text.lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    return np.unique(shingle_hashes(_words().of(words), size))
+    return np.unique(shingle_hashes(word_hashes().of(words), size))
 
 
 # --- tokens -------------------------------------------------------------------

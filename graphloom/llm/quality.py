@@ -14,7 +14,6 @@ share (0.5 without labels); repeated rows are scored each.
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import WordHash, held_out, raw, shingle_hashes
+from graphloom.llm.common import held_out, raw, shingle_hashes, word_hashes
 from graphloom.llm.rules import NOT_FIRST, SPACE, SYMBOLS, repeated_words
 
 #: Bound on the labelled rows of a fit.
@@ -43,11 +42,6 @@ FUNCTION_WORDS = frozenset(
 )
 
 
-@functools.lru_cache(1)
-def _hashes() -> WordHash:
-    return WordHash()
-
-
 def statistics(text: bytes) -> list[float]:
     """Transformed statistics of a text, each of about unit scale."""
     words = text.split()
@@ -58,7 +52,7 @@ def statistics(text: bytes) -> list[float]:
     letters = len(text.translate(None, SPACE + NOT_FIRST))
     lines = [x for x in text.split(b"\n") if x.strip(SPACE)]
     count = lambda chars: size - len(text.translate(None, chars))
-    h = _hashes().of(words)
+    h = word_hashes().of(words)
     lower = text.lower().split()
     lengths = np.fromiter(map(len, words), np.int64, n)
     upper = sum(map(bytes.isupper, words))

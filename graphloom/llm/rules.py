@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import WordHash, raw, shingle_hashes
+from graphloom.llm.common import raw, shingle_hashes, word_hashes
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -53,11 +53,6 @@ def mask(policy: str) -> int:
     return sum(BIT[r] for r in POLICIES[policy])
 
 
-@functools.lru_cache(1)
-def _words() -> WordHash:
-    return WordHash()
-
-
 def repeated_words(words: np.ndarray, size: int = 5) -> int:
     """Words in windows of `size` words that are found twice or more; words given as hashes."""
     if len(words) < size + 1:
@@ -87,7 +82,7 @@ def measure(text: bytes) -> tuple[int, ...]:
         len(text) - len(text.translate(None, SYMBOLS)),
         len(lines),
         len(lines) - len(set(lines)),
-        repeated_words(_words().of(words)),
+        repeated_words(word_hashes().of(words)),
         text.count(b"!"),
     )
 

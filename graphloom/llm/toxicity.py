@@ -20,7 +20,6 @@ score by the bias alone; texts are read whole; repeated rows are scored each.
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 from itertools import chain
 
@@ -30,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import held_out, raw
+from graphloom.llm.common import cache, held_out, raw
 from graphloom.llm.quality import training_rows
 
-FIT_POSITIVES, FIT_UNLABELLED = 4_000, 8_000
+FIT_POSITIVES, FIT_UNLABELLED = 3_000, 6_000
 MIN_DOCS = 4
 BITS = 18
 STEPS, RATE = 200, 0.05
@@ -47,7 +46,7 @@ PUNCTUATION = b".,;:!?\"'()[]{}<>|*#$%&-_"
 class Buckets(dict):
     """word (bytes) -> its buckets, remembered up to a bound."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         import xxhash
@@ -60,9 +59,8 @@ class Buckets(dict):
         return b
 
 
-@functools.lru_cache(1)
 def _buckets() -> Buckets:
-    return Buckets()
+    return cache("word buckets", Buckets)
 
 
 def words(text: bytes) -> np.ndarray:
@@ -93,7 +91,7 @@ def _csr(rows: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.nda
     """(row numbers, columns) of the kept buckets."""
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
     flat = column[np.concatenate(rows)] if len(rows) else np.empty(0, np.int64)
-    at = np.repeat(np.arange(len(rows)), lengths)
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
     return at[flat >= 0], flat[flat >= 0]
 
 
@@ -103,7 +101,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
         return Linear(None, prior)
     seen = np.bincount(np.concatenate([*positive, *unlabelled]), minlength=1 << BITS)
     kept = np.flatnonzero(seen >= MIN_DOCS)
-    column = np.full(1 << BITS, -1)
+    column = np.full(1 << BITS, -1, np.int32)
     column[kept] = np.arange(len(kept))
     m = len(kept)
     pairs = _csr(positive, column), _csr(unlabelled, column)
@@ -156,7 +154,7 @@ def train(
     found = docs.select(F.col(key).alias("__key"), raw(text).alias("__text")).join(chosen, "__key")
     got = found.select("__key", "__y", word_buckets("__text").alias("b")).toArrow()
     y, k, rows = got.column("__y").to_numpy(), got.column("__key").to_numpy(), got.column("b").combine_chunks()
-    values, ends = rows.flatten().to_numpy().astype(np.int64), np.asarray(rows.offsets)
+    values, ends = rows.flatten().to_numpy(), np.asarray(rows.offsets)
     every = [values[ends[i] - ends[0] : ends[i + 1] - ends[0]] for i in range(len(y))]
     order = np.lexsort((k, y))
     return fit([every[i] for i in order if y[i] == 1], [every[i] for i in order if y[i] == 0], prior)
