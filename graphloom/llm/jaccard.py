@@ -13,7 +13,8 @@ documents but for the groups that qualify:
 2. Groups. Tokens of one set only are dropped, and so are the `extra` most frequent tokens
    of each set: of those that linked sets share, one stays in both (the prefix principle),
    and passages that very many documents have go. Each set joins the group of its most
-   frequent token left, dealt to blocks of bounded size: similar documents lie together.
+   frequent token left, or a larger one that shares a token with it, dealt to blocks of
+   bounded size: similar documents lie together.
 3. Matrix. The distinct (token, group) pairs, each group's token union. Groups that
    share no token can't hold a link, as the overlap of any set with the other group's
    union is then below what a link needs. Pairs of groups that share one qualify.
@@ -244,9 +245,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     left = rare.groupBy("token").agg(F.count("*").alias("classes")).filter("classes > 1").select("token")
     shared_rare = materialize(rare.join(left, "token"), "jaccard-left")
 
-    # groups of similar classes, in blocks: each goes to its most frequent token
+    # groups of similar classes, in blocks: each goes to its most frequent token, and then
+    # to the largest group that any of its tokens leads to, so that near copies lie together
     best = F.max(F.struct("sets", "token")).alias("m")
-    chosen = materialize(shared_rare.groupBy("cls").agg(best).select("cls", "m.token"), "jaccard-chosen")
+    first = materialize(shared_rare.groupBy("cls").agg(best).select("cls", F.col("m.token").alias("first")), "jaccard-first")
+    sizes = materialize(first.groupBy("first").agg(F.count("*").alias("size")), "jaccard-sizes")
+    held = materialize(first.join(sizes, "first"), "jaccard-held")
+    leads = shared_rare.join(held, "cls").groupBy("token").agg(F.max(F.struct("size", "first")).alias("lead"))
+    leads = materialize(leads, "jaccard-leads")
+    chosen = shared_rare.select("cls", "token").join(leads, "token").groupBy("cls").agg(F.max("lead").alias("m"))
+    chosen = materialize(chosen.select("cls", F.col("m.first").alias("token")), "jaccard-chosen")
     counts = materialize(chosen.groupBy("token").agg(F.count("*").alias("docs")), "jaccard-counts")
     block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("docs") / F.lit(float(BLOCK))))
     grouped = materialize(chosen.join(counts, "token").select("cls", F.xxhash64("token", block).alias("grp")), "jaccard-groups")
@@ -273,7 +281,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     opened = sides.join(members, "grp").select("pair", "side", "doc", "shingles")
     opened = opened.repartition(n, "pair").sortWithinPartitions("pair", "side", "doc")
     links = materialize(opened.mapInArrow(_opener(per_cent), "a long, b long"), "jaccard-links")
-    forget(often, shared, sets, rare, shared_rare, chosen, counts, matrix, sides, members, opened_groups)
+    forget(often, shared, sets, rare, shared_rare, first, sizes, held, leads, chosen, counts, matrix, sides, members, opened_groups)
 
     roots = components(links, "jaccard-components")
     named = materialize(
