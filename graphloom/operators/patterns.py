@@ -188,22 +188,67 @@ def _column(kind: str, node: str) -> Column:
     }[kind]()
 
 
+def _named(nodes: DataFrame, v: str) -> DataFrame:
+    return nodes.select(F.col("id").alias(f"{v}_id"), F.col("name").alias(f"{v}_name"), F.col("labels").alias(f"{v}_labels"))
+
+
+def _foldable(p: Pattern, h: Hop) -> bool:
+    """Whether only sets and counts of an optional hop's nodes, and of those behind them, are asked for."""
+    own = all(k in GROUPED for _, k, n in p.out if n == h.to)
+    return h.optional and own and all(_foldable(p, c) for c in p.hops if c.at == h.to)
+
+
+FOLDED = {"set": "names", "types": "types", "count": "ids"}
+
+
+def _fold(p: Pattern, h: Hop, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """f and, per output of the hop and of those behind it, the distinct values as an array.
+
+    Hops that leave one node don't multiply each other's rows: each is folded for itself.
+    """
+    rows = _steps(edges, h).select("f", F.col("t").alias("id"), "type").join(_labelled(nodes, h.labels).select("id", "name"), "id")
+    parts = {"names": F.collect_set("name"), "types": F.collect_set("type"), "ids": F.collect_set("id")}
+    asked = {FOLDED[k] for _, k, n in p.out if n == h.to}
+    aggregates = [parts[k].alias(f"{h.to}_{k}") for k in sorted(asked)]
+    for c in (c for c in p.hops if c.at == h.to):
+        behind = _fold(p, c, nodes, edges).withColumnRenamed("f", "id")
+        rows = rows.join(behind, "id", "left")
+        aggregates += [_union(x).alias(x) for x in behind.columns if x != "id"]
+    return rows.groupBy("f").agg(*aggregates) if aggregates else rows.select("f").distinct()
+
+
+def _union(column: str) -> Column:
+    return F.array_distinct(F.flatten(F.collect_list(column)))
+
+
 def run(p: Pattern, nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     """The pattern's answer for nodes whose name contains `value`, whatever the case."""
     low = F.lower("name")
     asked = reduce(lambda a, b: a | b, [low.contains(F.lower(F.lit(w))) for w in (value, *p.words)])
-    named = lambda df, v: df.select(F.col("id").alias(f"{v}_id"), F.col("name").alias(f"{v}_name"), F.col("labels").alias(f"{v}_labels"))
-    rows = named(_labelled(nodes, p.labels).filter(asked), p.start)
+    rows = _named(_labelled(nodes, p.labels).filter(asked), p.start)
+    folded: set[str] = set()
     for h in p.hops:
+        if h.at in folded or _foldable(p, h):
+            folded.add(h.to)
+            if h.at not in folded:
+                rows = rows.join(_fold(p, h, nodes, edges).withColumnRenamed("f", f"{h.at}_id"), f"{h.at}_id", "left")
+            continue
         steps = _steps(edges, h).select(
             F.col("f").alias(f"{h.at}_id"), F.col("t").alias(f"{h.to}_id"),
             *[F.col(c).alias(f"{h.to}_{c}") for c in ("type", "depth", "when", "status")],
         )
-        ends = steps.join(named(_labelled(nodes, h.labels), h.to), f"{h.to}_id")
+        ends = steps.join(_named(_labelled(nodes, h.labels), h.to), f"{h.to}_id")
         rows = rows.join(ends, f"{h.at}_id", "left" if h.optional else "inner")
+
+    def grouped(kind: str, node: str) -> Column:
+        if node not in folded:
+            return _column(kind, node)
+        values = _union(f"{node}_{FOLDED[kind]}")
+        return F.size(values).cast("long") if kind == "count" else F.array_join(F.array_sort(values), "|")
+
     plain = [_column(k, n).alias(c) for c, k, n in p.out if k not in GROUPED]
     if any(k in GROUPED for _, k, _ in p.out):
-        rows = rows.groupBy(*plain).agg(*[_column(k, n).alias(c) for c, k, n in p.out if k in GROUPED])
+        rows = rows.groupBy(*plain).agg(*[grouped(k, n).alias(c) for c, k, n in p.out if k in GROUPED])
     else:
         rows = rows.select(*plain)
     columns = [c for c, _, _ in p.out]

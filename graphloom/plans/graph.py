@@ -131,7 +131,7 @@ def g_link(spark, sf):
     """Mentions linked to names: exact match first, else the shortest of ten names that contain the mention."""
     n = nodes(spark, sf).select("id", "name").filter("id LIKE 'pt:%' OR id LIKE 'na:%'")
     m = spark.createDataFrame([("RING",), ("NATION_1",), ("small ring 1",), ("nothing",)], "mention string")
-    hit = m.join(F.broadcast(n), F.lower("name").contains(F.lower("mention")))  # mentions are few: the plan streams the names once
+    hit = n.join(F.broadcast(m), F.lower("name").contains(F.lower("mention")))  # the few mentions go to the names
     best = F.min(F.struct((F.lower("name") != F.lower("mention")).cast("int").alias("k"), F.length("name").alias("l"), "name")).alias("b")
     return hit.groupBy("mention").agg(best).select("mention", F.col("b.name").alias("name"), (F.col("b.k") == 0).alias("exact"))
 
