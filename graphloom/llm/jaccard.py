@@ -60,6 +60,8 @@ from graphloom.llm.common import (
 
 #: Documents of a group's block; bounds what a task opens at once.
 BLOCK = 256
+#: Shingles of a set beyond which it counts for more than one in its block.
+BLOCK_SIZE = 1024
 #: Ratio of the largest to the smallest size in a class of sizes.
 RATIO = 1.7
 #: Columns of the 0/1 matrices multiplied at a time.
@@ -256,7 +258,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     chosen = shared_rare.select("cls", "token").join(leads, "token").groupBy("cls").agg(F.max("lead").alias("m"))
     chosen = materialize(chosen.select("cls", F.col("m.first").alias("token")), "jaccard-chosen")
     counts = materialize(chosen.groupBy("token").agg(F.count("*").alias("docs")), "jaccard-counts")
-    block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("docs") / F.lit(float(BLOCK))))
+    weight = F.element_at(F.array(*[F.lit(max(1.0, e / BLOCK_SIZE)) for e in size_classes(per_cent)[1:]]), label + 1)
+    block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("docs") * weight / F.lit(float(BLOCK))))
     grouped = materialize(chosen.join(counts, "token").select("cls", F.xxhash64("token", block).alias("grp")), "jaccard-groups")
     matrix = shared_rare.join(grouped, "cls").select("token", "grp").distinct()
     matrix = materialize(matrix, "jaccard-matrix")
