@@ -91,12 +91,18 @@ def content_metadata(text: Column) -> Column:
 
 def quality(text: Column, confidence: Column, special: str = r"(?U)[^\w\s.,!?;:\-()\"']") -> Column:
     """Struct of quality_score, readability_score, complexity, means, counts and issues; blank texts score 0."""
-    w = words(text)
-    sentences = F.filter(F.transform(F.split(text, "[.!?]+"), lambda s: F.trim(F.regexp_replace(s, SPACES, " "))), lambda s: s != "")
-    n, ns = F.size(w), F.size(sentences)
-    letters = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x))
-    awl = F.coalesce(F.try_divide(letters.cast("double"), n), F.lit(0.0))
-    asl = F.coalesce(F.try_divide(F.aggregate(sentences, F.lit(0), lambda a, x: a + F.size(F.split(x, " "))).cast("double"), ns), F.lit(0.0))
+    split = F.filter(F.transform(F.split(text, "[.!?]+"), lambda s: F.trim(F.regexp_replace(s, SPACES, " "))), lambda s: s != "")
+    sums = lambda w, s: F.struct(
+        F.size(w).alias("n"), F.size(s).alias("ns"), F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)).alias("letters"),
+        F.aggregate(s, F.lit(0), lambda a, x: a + F.size(F.split(x, " "))).alias("spoken"),
+    )
+    return let(sums(words(text), split), lambda m: _quality(text, confidence, special, m))
+
+
+def _quality(text: Column, confidence: Column, special: str, sums: Column) -> Column:
+    n, ns = sums["n"], sums["ns"]
+    awl = F.coalesce(F.try_divide(sums["letters"].cast("double"), n), F.lit(0.0))
+    asl = F.coalesce(F.try_divide(sums["spoken"].cast("double"), ns), F.lit(0.0))
     issue = lambda c, name: F.when(c, F.lit(name))
     issues = F.array_compact(F.array(
         issue(confidence < 0.7, "low_ocr_confidence"), issue(awl < 3, "short_words"), issue(n < 10, "insufficient_text"),
