@@ -1,4 +1,8 @@
-"""Substring dedup: repeated paragraphs found by MinHash banding.
+"""Substring dedup: repeated runs of words, exactly, and repeated paragraphs by MinHash banding.
+
+Every run of RUN or more words that occurs before (smaller document id, then place) is
+found wherever it stands and wherever its lines break; see repeated_runs(). Besides,
+paragraphs are compared whole, which finds near copies and shorter ones.
 
 Paragraphs are lines of at least MIN_WORDS words. Lines over LONG words are also cut
 into parts at places that their own words choose (a three-word hash that is the least
@@ -16,6 +20,10 @@ parts wherever it stands; parts match by equality only. Words are lower-cased.
 5. Components of the links: the paragraph that comes first (smallest document id, then
    place) is kept, the others are removed.
 
+Runs and paragraphs are reported side by side. remove() leaves the last line of a
+document that would else be empty, if it is under MIN_WORDS words and the line before
+it is not.
+
 Defined results: null and blank texts have no paragraphs; a paragraph repeated in one
 document counts like any other; rows with one id are read as one document's; rows with
 a null id come after all others; very long lines are read whole; an empty table gives
@@ -29,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import U64, components, forget, materialize, may_hold, mix64, raw, shingle_hashes, slices, word_hashes
+from graphloom.llm.common import U64, components, forget, materialize, may_hold, mix64, raw, shingle_hashes, shuffle_partitions, slices, word_hashes
 
 MIN_WORDS, LONG, REACH, MIN_PART = 20, 64, 6, 8
 SHINGLE, PER_CENT = 5, 80
+#: Words of a run that counts as repeated; words of the grams that windows of that many words go by.
+RUN, GRAM = 50, 8
+FACTOR = 0x9E3779B97F4A7C15
 BANDS, ROWS = 12, 4
 SEEDS = mix64(np.arange(1, BANDS * ROWS + 1).astype(U64)) | U64(1)
 
@@ -135,10 +146,143 @@ def similar(a: bytes, b: bytes, size: int = SHINGLE, per_cent: int = PER_CENT) -
     return 100 * both >= per_cent * (len(x) + len(y) - both)
 
 
+# --- repeated runs --------------------------------------------------------------
+def run_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a document's word hashes: hashes of all GRAM words, the least of them in each RUN words, hashes of all RUN words.
+
+    Equal runs of RUN words have the same least gram, whatever stands around them.
+    """
+    n = len(h)
+    inverse = pow(FACTOR, -1, 1 << 64)
+    power, back = (np.cumprod(np.concatenate([[U64(1)], np.full(n - 1, f, U64)])) for f in (FACTOR, inverse))
+    sums = np.concatenate([[U64(0)], np.cumsum(h * power)])
+    grams, windows = (mix64((sums[k:] - sums[:-k]) * back[: n - k + 1] + U64(k)) for k in (GRAM, RUN))
+    width, least = 1, grams
+    while 2 * width <= RUN - GRAM + 1:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    rest = RUN - GRAM + 1 - width
+    return grams, np.minimum(least[: len(least) - rest], least[rest:]), windows
+
+
+def _marks(batches):
+    """The least grams of each document's windows, with how often the document holds the gram."""
+    for batch in batches:
+        docs, marks, counts = [], [], []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            words = text.as_py().lower().split()
+            if len(words) >= RUN:
+                grams, least, _ = run_hashes(word_hashes().of(words))
+                own, n = np.unique(grams, return_counts=True)
+                least = np.unique(least)
+                docs.append(np.full(len(least), doc, np.int64))
+                marks.append(least.view(np.int64))
+                counts.append(n[np.searchsorted(own, least)])
+        if docs:
+            columns = [np.concatenate(docs), np.concatenate(marks), np.concatenate(counts).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["d", "m", "n"])
+
+
+WINDOWS = "d long, at int, g long, start int, stop int, line int, after int, after_line int"
+
+
+def _windows(batches):
+    """The windows of each document that go by one of its marks (d, text, marks), with their places in characters."""
+    for batch in batches:
+        out = []
+        for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            text = text.as_py()
+            words = text.lower().split()
+            if len(words) < RUN:
+                continue
+            _, least, g = run_hashes(word_hashes().of(words))
+            at = np.flatnonzero(np.isin(least, marks.values.to_numpy(zero_copy_only=False).view(U64)))
+            data = np.frombuffer(text, np.uint8)
+            blank = (data == 32) | (data >= 9) & (data <= 13)
+            starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+            stops = starts + np.fromiter(map(len, words), np.int64, len(words))
+            lines = np.searchsorted(np.flatnonzero(data == 10), starts)
+            if not text.isascii():
+                inner = np.concatenate([[0], np.cumsum((data & 0xC0) == 0x80)])
+                starts, stops = starts - inner[starts], stops - inner[stops]
+            after = np.minimum(at + RUN, len(words) - 1)
+            out.append((np.full(len(at), doc), at, g[at].view(np.int64), starts[at], stops[at + RUN - 1], lines[at], starts[after], lines[after]))
+        if out:
+            columns = [np.concatenate(c) for c in zip(*out)]
+            fields = [f.split() for f in WINDOWS.split(", ")]
+            arrays = [pa.array(c, pa.int64() if t == "long" else pa.int32()) for c, (_, t) in zip(columns, fields)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f for f, _ in fields])
+
+
+PIECES = "d long, fd long, away int, at int, last int, start int, stop int, line int, group_line int, after int, after_line int"
+
+
+def _pieces(batches):
+    """Windows that follow each other in both places, joined; rows come by d, fd, away, at. PIECES with last = at."""
+    held = None
+    for batch in batches:
+        c = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(batch.num_columns)]
+        if held is not None:
+            c = [np.concatenate([h, x]) for h, x in zip(held, c)]
+        if not len(c[0]):
+            continue
+        step = c[3][1:] - c[4][:-1]
+        new = np.concatenate([[True], (step < 0) | (step > 1) | np.any([x[1:] != x[:-1] for x in c[:3]], axis=0)])
+        first = np.flatnonzero(new)
+        end = np.append(first[1:] - 1, len(new) - 1)
+        c = [x[end] if k in (4, 6) else x[first] for k, x in enumerate(c)]
+        held = [x[-1:] for x in c]
+        yield _as_pieces([x[:-1] for x in c])
+    if held is not None:
+        yield _as_pieces(held)
+
+
+def _as_pieces(columns):
+    fields = [f.split() for f in PIECES.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if t == "long" else pa.int32()) for c, (_, t) in zip(columns, fields)], names=[f for f, _ in fields])
+
+
+def repeated_runs(rows: DataFrame) -> DataFrame:
+    """Runs of RUN or more words that occur more than once among rows (doc, text): the columns of duplicates().
+
+    1. Each window of RUN words goes by the least of its grams; equal windows share it.
+       Grams that only one place goes by are dropped, exactly.
+    2. All windows that go by the others are grouped by their hash: the first is kept.
+    3. Windows that follow each other, and whose firsts do, become one run. All words of
+       repeated windows are covered; a copy that overlaps its own first keeps RUN words.
+    """
+    n = shuffle_partitions(rows.sparkSession)
+    rows = rows.select(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("d"), "text")
+    marks = materialize(rows.mapInArrow(_marks, "d long, m long, n long"), "run-marks")
+    often = materialize(marks.groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m"), "run-often")
+    asked = materialize(marks.join(often, "m").groupBy("d").agg(F.collect_list("m").alias("marks")), "run-asked")
+    forget(marks, often)
+    found = rows.filter(may_hold(asked, "d", "d")).join(asked, "d").select("d", "text", "marks")
+    windows = materialize(found.mapInArrow(_windows, WINDOWS), "run-windows")
+    forget(asked)
+    first = F.min(F.struct("d", "at", "line", "after", "after_line")).alias("first")
+    firsts = materialize(windows.groupBy("g").agg(F.count("*").alias("n"), first).filter("n > 1").select("g", "first"), "run-firsts")
+    joined = windows.select("d", "at", "g", "start", "stop", "line").join(firsts, "g").select(
+        "d", F.col("first.d").alias("fd"), (F.col("first.at") - F.col("at")).alias("away"), "at", F.col("at").alias("last"),
+        "start", "stop", "line", F.col("first.line").alias("group_line"), F.col("first.after").alias("after"), F.col("first.after_line").alias("after_line"),
+    )
+    pieces = joined.repartition(n, "d").sortWithinPartitions("d", "fd", "away", "at").mapInArrow(_pieces, PIECES)
+    pieces = materialize(pieces, "run-pieces")
+    forget(windows, firsts)
+    own = (F.col("d") == F.col("fd")) & (F.col("away") < 0) & (F.col("away") > -RUN)  # overlaps its first
+    null_last = lambda c: F.nullif(F.col(c), F.lit((1 << 63) - 1))
+    start = F.when(own, F.col("after")).otherwise(F.col("start"))
+    return pieces.select(
+        null_last("d").alias("doc_id"), F.when(own, F.col("after_line")).otherwise(F.col("line")).alias("line"), start.alias("start"),
+        (F.col("stop") - start).alias("length"), (F.col("last") - F.col("at") + F.when(own, -F.col("away")).otherwise(RUN)).cast("int").alias("n_words"),
+        null_last("fd").alias("group_doc_id"), "group_line", ((F.col("d") != F.col("fd")) | (F.col("away") != 0)).alias("removed"),
+    )
+
+
 def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per paragraph that repeats another: doc_id, line, start, length, n_words, group_doc_id, group_line, removed.
+    """One row per run or paragraph that repeats another: doc_id, line, start, length, n_words, group_doc_id, group_line, removed.
 
-    start and length are in characters; group_* name the kept paragraph of its component.
+    start and length are in characters; group_* name the kept run, or the kept paragraph of its component.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc"), raw(text).alias("text"))
     units = materialize(rows.mapInArrow(_units, UNITS), "paragraphs")
@@ -199,7 +343,24 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     # parts of a line that is itself a repeat say nothing new
     whole = repeated.filter("whole")
     parts = repeated.filter("not whole").join(whole.select("doc_id", "line"), ["doc_id", "line"], "left_anti")
-    return whole.unionByName(parts.select(whole.columns)).drop("whole")
+    return whole.unionByName(parts.select(whole.columns)).drop("whole").unionByName(repeated_runs(rows))
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without spans of characters, and without the line ends of what goes from the start of a line."""
+    kept, at, begun = [], 0, 0
+    for start, stop in sorted(spans):
+        if start > at:
+            kept.append(text[at:start])
+            begun = start
+        at = max(at, stop + (text[stop : stop + 1] == "\n" and text[begun - 1 : begun] in ("", "\n")))
+    head, tail = "".join(kept), text[at:]
+    left = head + tail if tail else head.removesuffix("\n")
+    if not left.strip():
+        lines = text.rstrip("\n").split("\n")
+        if len(lines) > 1 and len(lines[-1].split()) < MIN_WORDS <= len(lines[-2].split()):
+            return lines[-1]
+    return left
 
 
 def remove(docs: DataFrame, repeats: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,13 +373,7 @@ def remove(docs: DataFrame, repeats: DataFrame, key: str = "doc_id", text: str =
         for t, s in zip(texts, spans):
             shown = t.as_py()
             if shown is not None and s.is_valid:
-                kept, at = [], 0
-                for x in sorted(s.as_py(), key=lambda x: x["start"]):
-                    if x["start"] > at:
-                        kept.append(shown[at : x["start"]])
-                    at = max(at, x["start"] + x["length"] + (shown[x["start"] + x["length"] : x["start"] + x["length"] + 1] == "\n"))
-                head, tail = "".join(kept), shown[at:]
-                shown = head + tail if tail else head.removesuffix("\n")
+                shown = without(shown, [(x["start"], x["start"] + x["length"]) for x in s.as_py()])
             out.append(shown)
         return pa.array(out, pa.string())
 

@@ -161,6 +161,49 @@ def test_repeated_passages_are_found_and_clean_ones_left(spark):
     assert left[52]["text"] == "short common line" and left[50]["text"] is None and left[51]["text"] == ""
 
 
+def removed_words(texts, got):
+    """Places of the words of each document that lie in removed rows."""
+    out = {}
+    for r in got:
+        shown = texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(shown.split()) == r["n_words"]
+        if r["removed"]:
+            at = len(texts[r["doc_id"]][: r["start"]].split())
+            out.setdefault(r["doc_id"], set()).update(range(at, at + r["n_words"]))
+    return out
+
+
+def earlier_words(texts, n):
+    """Places of the words of each document that lie in n words that occurred before, but for what an overlapping first keeps."""
+    first, out = {}, {}
+    for d in sorted(texts):
+        w = texts[d].lower().split()
+        for i in range(len(w) - n + 1):
+            e, j = first.setdefault(tuple(w[i : i + n]), (d, i))
+            if (e, j) != (d, i):
+                out.setdefault(d, set()).update(range(max(i, j + n) if e == d else i, i + n))
+    return out
+
+
+def test_runs_are_found_wherever_lines_break(spark):
+    rng = random.Random(5)
+    wrap = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    notice, edge, under = words_of(rng, 60), words_of(rng, 50), [f"u{i}" for i in range(49)]
+    texts = {d: wrap(words_of(rng, 120), rng.choice([9, 30, 200])) for d in range(30)}
+    texts[4] += "\n" + wrap(notice, 11)
+    texts[7] = wrap(notice, 13) + "\n\n" + texts[7]
+    texts[11] += " " + wrap([w.upper() for w in notice], 200) + "  é " + texts[11][:30]
+    texts[14], texts[15] = texts[14] + " " + " ".join(edge), "é\n" + wrap(edge, 10)
+    texts[16], texts[17] = texts[16] + "\n" + wrap(under, 12), wrap(under, 14) + "\n" + texts[17]
+    texts[18] = " ".join(["la"] * 170)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = substring.duplicates(docs).collect()
+    assert removed_words(texts, got) == earlier_words(texts, 50)
+    assert {r["doc_id"] for r in got if not r["removed"]} == {4, 14, 18}
+    left = {r["doc_id"]: r["text"] for r in substring.remove(docs, substring.duplicates(docs)).collect()}
+    assert left[4] == texts[4] and left[15] == "é" and left[7] == "\n" + texts[7].split("\n\n")[1]
+
+
 def test_license_scan_equals_brute_force(spark):
     rng = random.Random(4)
     line = lambda n: " ".join(words_of(rng, n))
