@@ -204,6 +204,19 @@ def test_runs_are_found_wherever_lines_break(spark):
     assert left[4] == texts[4] and left[15] == "é" and left[7] == "\n" + texts[7].split("\n\n")[1]
 
 
+@pytest.mark.parametrize("n,around", [(51, 6), (51, 30), (55, 4), (62, 1), (64, 90), (51, 300)])
+def test_passages_inside_lines_are_found_whole(spark, n, around):
+    rng = random.Random(n + around)
+    texts = {}
+    for k in range(25):
+        passage = words_of(rng, n)
+        texts[2 * k] = " ".join(passage)
+        texts[2 * k + 1] = " ".join(words_of(rng, around) + passage + words_of(rng, around))
+    got = substring.duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    removed, want = removed_words(texts, got), earlier_words(texts, 50)
+    assert set(want) == {2 * k + 1 for k in range(25)} and all(want[d] <= removed.get(d, set()) for d in want)
+
+
 def test_license_scan_equals_brute_force(spark):
     rng = random.Random(4)
     line = lambda n: " ".join(words_of(rng, n))
