@@ -340,9 +340,9 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     )
     repeated = materialize(repeated, "paragraph-repeats")
     forget(units, named)
-    # parts of a line that is itself a repeat say nothing new
+    # parts of a line that is itself removed say nothing new
     whole = repeated.filter("whole")
-    parts = repeated.filter("not whole").join(whole.select("doc_id", "line"), ["doc_id", "line"], "left_anti")
+    parts = repeated.filter("not whole").join(whole.filter("removed").select("doc_id", "line"), ["doc_id", "line"], "left_anti")
     return whole.unionByName(parts.select(whole.columns)).drop("whole").unionByName(repeated_runs(rows))
 
 

@@ -217,6 +217,18 @@ def test_passages_inside_lines_are_found_whole(spark, n, around):
     assert set(want) == {2 * k + 1 for k in range(25)} and all(want[d] <= removed.get(d, set()) for d in want)
 
 
+def test_parts_of_kept_lines_count(spark):
+    rng = random.Random(3)
+    passage = words_of(rng, 45)
+    long = " ".join(words_of(rng, 40) + passage + words_of(rng, 40))
+    texts = {2: " ".join(words_of(rng, 50) + passage + words_of(rng, 50)), 5: long, 9: long}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = substring.duplicates(docs).collect()
+    assert any(r["removed"] and r["group_doc_id"] == 2 for r in got if r["doc_id"] == 5)
+    removed = removed_words(texts, got)
+    assert removed[5] < set(range(40, 85)) and removed[9] == set(range(125)) and 2 not in removed
+
+
 def test_license_scan_equals_brute_force(spark):
     rng = random.Random(4)
     line = lambda n: " ".join(words_of(rng, n))
