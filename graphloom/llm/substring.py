@@ -13,9 +13,8 @@ parts wherever it stands; parts match by equality only. Words are lower-cased.
 2. Each line's class has a MinHash signature of its 5-word shingles in BANDS bands of
    ROWS rows: at a Jaccard similarity of 0.8 two lines collide in a band with a
    probability of 1 - (1 - 0.8**4)**12 = 0.998.
-3. In each bucket of a band every class is held against the smallest and the largest
-   class hash: linear in the bucket, whatever its size. The same two classes meet in the
-   buckets of other bands against other leaders.
+3. In buckets of two or three classes all pairs are compared. The classes of larger
+   buckets go through the exact join of op5, so that no pair that collides is left out.
 4. A pair stays if the exact Jaccard similarity of the shingle sets is 0.8 or more.
 5. Components of the links: the paragraph that comes first (smallest document id, then
    place) is kept, the others are removed.
@@ -37,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import jaccard
 from graphloom.llm.common import U64, components, forget, materialize, may_hold, mix64, raw, shingle_hashes, shuffle_partitions, slices, word_hashes
 
 MIN_WORDS, LONG, REACH, MIN_PART = 20, 64, 6, 8
@@ -289,17 +289,20 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     first = F.min(F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("d"), "line", "start")).alias("first")
     classes = materialize(units.groupBy("h").agg(F.count("*").alias("n"), first, F.max("whole").alias("whole")), "paragraph-classes")
 
-    # leaders of the buckets of each band
+    # pairs of the small buckets of each band, classes of the others
     lines = units.filter("whole").groupBy("h").agg(F.first("bands").alias("bands"))
     banded = materialize(lines.select("h", F.explode("bands").alias("bucket")), "paragraph-bands")
-    ends = banded.groupBy("bucket").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high")
+    ends = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high")
+    ends = materialize(ends, "paragraph-buckets")
     leaders = F.explode(F.array("low", "high")).alias("leader")
-    pairs = banded.join(ends, "bucket").select("h", leaders).filter("h <> leader").distinct()
+    pairs = banded.join(ends.filter("n <= 3"), "bucket").select("h", leaders).filter("h <> leader").distinct()
     pairs = materialize(pairs.select(F.least("h", "leader").alias("a"), F.greatest("h", "leader").alias("b")).distinct(), "paragraph-pairs")
+    crowd = materialize(banded.join(ends.filter("n > 3"), "bucket").select("h").distinct(), "paragraph-crowd")
+    forget(ends)
     forget(banded)
 
     # the text of the lines in question: one document of each class has it
-    asked = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
+    asked = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).unionByName(crowd).distinct()
     places = classes.join(asked, "h").select("h", "first.*").groupBy("d").agg(F.collect_list(F.struct("h", "line")).alias("asked"))
 
     @F.arrow_udf("array<struct<h: long, line: binary>>")
@@ -321,8 +324,10 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     both = pairs.join(found.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
     both = both.join(found.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    links = materialize(both.filter(alike("x", "y")).select("a", "b"), "paragraph-links")
-    forget(found, pairs, places)
+    exact = jaccard.join(found.join(crowd, "h", "left_semi"), "h", "line", SHINGLE, PER_CENT)
+    exact = exact.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    links = materialize(both.filter(alike("x", "y")).select("a", "b").unionByName(exact), "paragraph-links")
+    forget(found, pairs, crowd, places)
     tops = components(links, "paragraph-components")
 
     groups = classes.join(tops, F.col("h") == F.col("node"), "left").select("h", "n", "first", F.coalesce("root", "h").alias("root"))

@@ -229,6 +229,21 @@ def test_parts_of_kept_lines_count(spark):
     assert removed[5] < set(range(40, 85)) and removed[9] == set(range(125)) and 2 not in removed
 
 
+def test_every_pair_of_a_crowded_bucket_is_compared(spark):
+    rng = random.Random(9)
+    shared = words_of(rng, 50)
+    own = lambda k, n: [f"y{k}_{i}_{rng.randrange(1 << 30)}" for i in range(n)]
+    texts, base = {}, {}
+    for k in range(2000):
+        base[k] = own(k, 7)
+        texts[k] = " ".join(shared + base[k])
+    for k in range(200):
+        texts[5000 + k] = " ".join(shared + base[k][:4] + own(k, 3))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["group_doc_id"] for r in substring.duplicates(docs).collect() if r["removed"] and r["n_words"] == 57}
+    assert got == {5000 + k: k for k in range(200)}
+
+
 def test_license_scan_equals_brute_force(spark):
     rng = random.Random(4)
     line = lambda n: " ".join(words_of(rng, n))
