@@ -112,11 +112,6 @@ def kg_apply_map(spark, sf):
     return a.join(g.select(F.col("name").alias("k"), F.col("standard").alias("o")), F.lower("object") == F.col("k")).select("ord", F.col("s").alias("subject"), F.col("o").alias("object"))
 
 
-def small(spark, sf):
-    """The triples of one brand in ten, a graph small enough for recursion in SQL."""
-    return valid(spark, sf).filter("ord < 2000000000 OR object LIKE '%1' OR subject LIKE '%1'")
-
-
 def kg_components(spark, sf):
     return K.components(K.undirected(valid(spark, sf).filter("ord < 2000000000")))
 
@@ -157,7 +152,7 @@ def candidates_cross(spark, sf):
 
 def candidates_within(spark, sf):
     """Unlinked pairs with a shared word inside the two largest components of five nodes or more."""
-    t = valid(spark, sf).filter("ord < 2000000000")
+    t = valid(spark, sf)
     c = K.components(K.undirected(t))
     top = c.groupBy("component").agg(F.count("*").alias("n")).filter("n >= 5").orderBy(F.desc("n"), "component").limit(2)
     low = t.select(*[F.lower(x).alias(x) if x in ("subject", "object") else F.col(x) for x in t.columns])
@@ -192,8 +187,8 @@ QUERIES = {
     "kg_node_size": (kg_node_size, SQL + DEGREE + " SELECT node, round(10 + 20 * 0.5 * degree / (SELECT max(degree) FROM d)::DOUBLE, 6) AS size FROM d"),
     "kg_louvain": (lambda s, d: K.communities(K.undirected(valid(s, d))), None),
     "kg_community_fallback": (lambda s, d: K.degree(K.undirected(valid(s, d))).select("node", (F.col("degree") % 8).alias("community")), SQL + DEGREE + " SELECT node, degree % 8 AS community FROM d"),
-    "kg_betweenness": (lambda s, d: K.betweenness(K.undirected(small(s, d))).select("node", F.round("betweenness", 6).alias("betweenness")), None),
-    "kg_eigenvector": (lambda s, d: K.eigenvector(K.undirected(small(s, d)), 20).select("node", F.round("eigenvector", 6).alias("eigenvector")), None),
+    "kg_betweenness": (lambda s, d: K.betweenness(K.undirected(valid(s, d))).select("node", F.round("betweenness", 6).alias("betweenness")), None),
+    "kg_eigenvector": (lambda s, d: K.eigenvector(K.undirected(valid(s, d))).select("node", F.round("eigenvector", 6).alias("eigenvector")), None),
     "kg_graph_summary": (kg_graph_summary, (SQL + TRANSITIVE + LEXICAL + ", x AS (SELECT subject, predicate, object, false AS inferred FROM valid UNION SELECT subject, predicate, object, true FROM trans UNION SELECT subject, predicate, object, true FROM lex), y AS (SELECT subject, predicate, object, bool_and(inferred) AS inferred FROM x GROUP BY 1, 2, 3) SELECT (SELECT count(*) FROM (SELECT subject FROM y UNION SELECT object FROM y)) AS nodes, count(*) AS edges, count(*) FILTER (NOT inferred) AS original, count(DISTINCT CASE WHEN inferred THEN subject || chr(1) || object END) AS inferred_pairs FROM y").replace("trim(object) <> '')", "trim(object) <> '' AND ord < 2000000000)")),
     "kg_infer_cross_llm": (candidates_cross, None),
     "kg_infer_within_llm": (candidates_within, None),

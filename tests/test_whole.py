@@ -2,7 +2,9 @@
 
 import pytest
 
+from graphloom.operators import triples as K
 from graphloom.plans import registry
+from graphloom.plans.triples import valid
 from graphloom.sources.tables import table
 
 QUERIES = registry.queries()
@@ -18,3 +20,18 @@ def test_src_text_reads_all_documents(spark, sf):
     want = table(spark, sf, "documents").filter("text <> ''").selectExpr("count(*) AS files", "sum(octet_length(text)) AS bytes").first()
     got = QUERIES["src_text"](spark, sf).first()
     assert got["files"] == want["files"] and got["bytes"] - want["bytes"] in (0, want["files"])
+
+
+@pytest.mark.parametrize("name", ["kg_eigenvector", "kg_betweenness"])
+def test_centralities_of_all_nodes(spark, sf, name):
+    want = {r["node"] for r in K.degree(K.undirected(valid(spark, sf))).select("node").collect()}
+    assert {r["node"] for r in QUERIES[name](spark, sf).select("node").collect()} == want
+
+
+def test_candidates_within_come_from_the_largest_components(spark, sf):
+    c = K.components(K.undirected(valid(spark, sf))).groupBy("component").count().filter("count >= 5").collect()
+    assert c
+    top = {r["component"] for r in sorted(c, key=lambda r: (-r["count"], r["component"]))[:2]}
+    own = {r["node"].lower(): r["component"] for r in K.components(K.undirected(valid(spark, sf))).collect()}
+    got = QUERIES["kg_infer_within_llm"](spark, sf).collect()
+    assert all(own[r["subject"]] == own[r["object"]] and own[r["subject"]] in top for r in got)
