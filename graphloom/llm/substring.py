@@ -183,11 +183,15 @@ def _marks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["d", "m", "n"])
 
 
-WINDOWS = "d long, at int, g long, start int, stop int, line int, after int, after_line int"
+UNIT_LISTS = ["g", "start", "stop", "line", "after", "after_line"]
+RUN_UNITS = "d long, at int, u long, g array<long>, " + ", ".join(f"{c} array<int>" for c in UNIT_LISTS[1:])
 
 
 def _windows(batches):
-    """The windows of each document that go by one of its marks (d, text, marks), with their places in characters."""
+    """The windows of each document that go by one of its marks (d, text, marks), with their places in characters.
+
+    Windows in a row that go by the same mark are a unit, u a hash of them all.
+    """
     for batch in batches:
         out = []
         for doc, text, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
@@ -206,12 +210,18 @@ def _windows(batches):
                 inner = np.concatenate([[0], np.cumsum((data & 0xC0) == 0x80)])
                 starts, stops = starts - inner[starts], stops - inner[stops]
             after = np.minimum(at + RUN, len(words) - 1)
-            out.append((np.full(len(at), doc), at, g[at].view(np.int64), starts[at], stops[at + RUN - 1], lines[at], starts[after], lines[after]))
+            cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]])])) if len(at) else at
+            ends = np.append(cut[1:], len(at))
+            own = g[at]
+            u = [_hash(own[a:b], 2) for a, b in zip(cut, ends)]
+            lists = own.view(np.int64), starts[at], stops[at + RUN - 1], lines[at], starts[after], lines[after]
+            out.append((np.full(len(cut), doc), at[cut], np.array(u, np.int64), ends - cut, *lists))
         if out:
             columns = [np.concatenate(c) for c in zip(*out)]
-            fields = [f.split() for f in WINDOWS.split(", ")]
-            arrays = [pa.array(c, pa.int64() if t == "long" else pa.int32()) for c, (_, t) in zip(columns, fields)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f for f, _ in fields])
+            ends = pa.array(np.concatenate([[0], np.cumsum(columns[3])]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(c, pa.int64() if k == 0 else pa.int32())) for k, c in enumerate(columns[4:])]
+            plain = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())]
+            yield pa.RecordBatch.from_arrays(plain + lists, names=["d", "at", "u", *UNIT_LISTS])
 
 
 PIECES = "d long, fd long, away int, at int, last int, start int, stop int, line int, group_line int, after int, after_line int"
@@ -247,7 +257,8 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
 
     1. Each window of RUN words goes by the least of its grams; equal windows share it.
        Grams that only one place goes by are dropped, exactly.
-    2. All windows that go by the others are grouped by their hash: the first is kept.
+    2. Windows that go by the others are grouped by their hash, once for equal units
+       (windows in a row with the same least gram): the first is kept.
     3. Windows that follow each other, and whose firsts do, become one run. All words of
        repeated windows are covered; a copy that overlaps its own first keeps RUN words.
     """
@@ -258,17 +269,31 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     asked = materialize(marks.join(often, "m").groupBy("d").agg(F.collect_list("m").alias("marks")), "run-asked")
     forget(marks, often)
     found = rows.filter(may_hold(asked, "d", "d")).join(asked, "d").select("d", "text", "marks")
-    windows = materialize(found.mapInArrow(_windows, WINDOWS), "run-windows")
+    units = materialize(found.mapInArrow(_windows, RUN_UNITS), "run-units")
     forget(asked)
+    # equal units are one class, whose windows are those of its first
+    classes = units.groupBy("u").agg(F.count("*").alias("n"), F.min(F.struct("d", "at")).alias("rep"))
+    classes = classes.select(F.col("u").alias("c"), "n", "rep")
+    reps = units.drop("start", "stop").join(classes, (F.col("u") == F.col("c")) & (F.struct("d", "at") == F.col("rep"))).dropDuplicates(["u"])
+    each = reps.select("u", "n", "d", "at", F.posexplode(F.arrays_zip("g", "line", "after", "after_line")).alias("k", "w"))
+    windows = materialize(each.select("u", "n", "k", "d", (F.col("at") + F.col("k")).alias("at"), "w.*"), "run-windows")
     first = F.min(F.struct("d", "at", "line", "after", "after_line")).alias("first")
-    firsts = materialize(windows.groupBy("g").agg(F.count("*").alias("n"), first).filter("n > 1").select("g", "first"), "run-firsts")
-    joined = windows.select("d", "at", "g", "start", "stop", "line").join(firsts, "g").select(
-        "d", F.col("first.d").alias("fd"), (F.col("first.at") - F.col("at")).alias("away"), "at", F.col("at").alias("last"),
-        "start", "stop", "line", F.col("first.line").alias("group_line"), F.col("first.after").alias("after"), F.col("first.after_line").alias("after_line"),
+    firsts = materialize(windows.groupBy("g").agg(F.sum("n").alias("n"), first).filter("n > 1").select("g", "first"), "run-firsts")
+    joined = windows.select("u", "k", "g").join(firsts, "g").select(
+        F.col("u").alias("d"), F.col("first.d").alias("fd"), (F.col("first.at") - F.col("k")).alias("away"), F.col("k").alias("at"), F.col("k").alias("last"),
+        F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(0).alias("line"),
+        F.col("first.line").alias("group_line"), F.col("first.after").alias("after"), F.col("first.after_line").alias("after_line"),
+    )
+    join = lambda df: df.repartition(n, "d").sortWithinPartitions("d", "fd", "away", "at").mapInArrow(_pieces, PIECES)
+    parts = materialize(join(joined), "run-parts")
+    of_units = parts.select(F.col("d").alias("c"), "fd", F.col("away").alias("to"), F.col("at").alias("k"), F.col("last").alias("e"), "group_line", F.col("after").alias("x"), F.col("after_line").alias("y"))
+    pieces = units.select("d", "at", "u", "start", "stop", "line").join(of_units, F.col("u") == F.col("c")).select(
+        "d", "fd", (F.col("to") - F.col("at")).alias("away"), (F.col("at") + F.col("k")).alias("at"), (F.col("at") + F.col("e")).alias("last"),
+        F.get("start", F.col("k")).alias("start"), F.get("stop", F.col("e")).alias("stop"), F.get("line", F.col("k")).alias("line"),
+        "group_line", F.col("x").alias("after"), F.col("y").alias("after_line"),
     )
-    pieces = joined.repartition(n, "d").sortWithinPartitions("d", "fd", "away", "at").mapInArrow(_pieces, PIECES)
-    pieces = materialize(pieces, "run-pieces")
-    forget(windows, firsts)
+    pieces = materialize(join(pieces), "run-pieces")
+    forget(units, windows, firsts, parts)
     own = (F.col("d") == F.col("fd")) & (F.col("away") < 0) & (F.col("away") > -RUN)  # overlaps its first
     null_last = lambda c: F.nullif(F.col(c), F.lit((1 << 63) - 1))
     start = F.when(own, F.col("after")).otherwise(F.col("start"))
