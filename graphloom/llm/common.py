@@ -108,19 +108,26 @@ def may_hold(ids: DataFrame, of: str, key: Column | str) -> Column:
     return held(place(F.col(key) if isinstance(key, str) else key))
 
 
-def keep_held(hashes: DataFrame, of: str, values: str) -> Column:
-    """An array column of 64-bit hashes without most of those that are not in hashes[of]; none that are get lost.
-
-    The low 6 bits of the hashes may hold something else.
-    """
+def wide_filter(hashes: DataFrame, of: str) -> np.ndarray:
+    """A filter of fixed size for the 64-bit hashes of a column, whose low 6 bits may hold something else."""
     bits = WIDE_FILTER_BITS
-    table = _filter_table(hashes.select(F.shiftright(of, 6).bitwiseAND(F.lit(bits - 1).cast("long")).alias("h")), bits)
+    return _filter_table(hashes.select(F.shiftright(of, 6).bitwiseAND(F.lit(bits - 1).cast("long")).alias("h")), bits)
+
+
+def passes(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """False only for hashes that are not in the column of a wide filter."""
+    return _held(table, h.view(U64) >> U64(6) & U64(WIDE_FILTER_BITS - 1))
+
+
+def keep_held(hashes: DataFrame, of: str, values: str) -> Column:
+    """An array column of 64-bit hashes without most of those that are not in hashes[of]; none that are get lost."""
+    table = wide_filter(hashes, of)
 
     @F.arrow_udf("array<long>")
     def kept(arrays: pa.Array) -> pa.Array:
         flat = arrays.flatten().to_numpy(zero_copy_only=False)
         ends = np.asarray(arrays.offsets)
-        ok = _held(table, flat.view(U64) >> U64(6) & U64(bits - 1))
+        ok = passes(table, flat)
         at = np.concatenate([[0], np.cumsum(ok)])[ends - ends[0]].astype(np.int32)
         return pa.ListArray.from_arrays(at, flat[ok])
 

@@ -94,7 +94,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.duplicates(table(spark, sf_dir, "documents"))
+    return substring.duplicates(table(spark, sf_dir, "documents"), within=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

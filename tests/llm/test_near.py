@@ -173,14 +173,17 @@ def removed_words(texts, got):
     return out
 
 
-def earlier_words(texts, n):
-    """Places of the words of each document that lie in n words that occurred before, but for what an overlapping first keeps."""
+def earlier_words(texts, n, within=True):
+    """Places of the words of each document that lie in n words that occurred before, but for what an overlapping first keeps.
+
+    Not within: before in another document.
+    """
     first, out = {}, {}
     for d in sorted(texts):
         w = texts[d].lower().split()
         for i in range(len(w) - n + 1):
             e, j = first.setdefault(tuple(w[i : i + n]), (d, i))
-            if (e, j) != (d, i):
+            if (e, j) != (d, i) and (within or e != d):
                 out.setdefault(d, set()).update(range(max(i, j + n) if e == d else i, i + n))
     return out
 
@@ -197,13 +200,63 @@ def test_runs_are_found_wherever_lines_break(spark):
     texts[16], texts[17] = texts[16] + "\n" + wrap(under, 12), wrap(under, 14) + "\n" + texts[17]
     texts[18] = " ".join(["la"] * 170)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sketched = substring.sketches(docs, "doc_id", "text", 50)
+    for within in (True, False):
+        windows = {}
+        for r in substring.repeated_windows(sketched, 50, within).filter("removed").collect():
+            windows.setdefault(r["d"], set()).update(range(r["start"], r["stop"]))
+        assert windows == earlier_words(texts, 50, within)
     got = substring.duplicates(docs).collect()
-    assert removed_words(texts, got) == earlier_words(texts, 50)
-    assert {r["doc_id"] for r in got if not r["removed"]} == {4, 14, 18}
+    removed = removed_words(texts, got)
+    assert all(own <= removed.get(d, set()) for d, own in earlier_words(texts, 50).items())
+    assert removed[17] == set(range(49))  # the lines of a shorter passage are one paragraph
+    assert {r["doc_id"] for r in got if not r["removed"]} == {4, 14, 16, 18}
     left = {r["doc_id"]: r["text"] for r in substring.remove(docs, substring.duplicates(docs)).collect()}
     assert left[4] == texts[4] and left[15] == "é" and left[7] == "\n" + texts[7].split("\n\n")[1]
 
 
+def test_windows_equal_brute_force(spark):
+    rng = random.Random(21)
+    few = [f"v{i}" for i in range(40)]
+    for trial in range(3):
+        texts, pool = {}, [words_of(rng, rng.choice([30, 52, 70, 200])) for _ in range(6)]
+        for d in range(60):
+            own = []
+            for _ in range(rng.randint(1, 5)):
+                kind = rng.random()
+                passage = rng.choice(pool)
+                if kind < 0.5:
+                    a = rng.randrange(max(1, len(passage) - 40))
+                    own += passage[a : a + rng.choice([25, 49, 50, 51, 80, 300])]
+                elif kind < 0.7:
+                    own += [few[k % rng.choice([1, 2, 7, 33, 39])] for k in range(rng.choice([20, 60, 150]))]
+                else:
+                    own += words_of(rng, rng.choice([1, 5, 60]))
+            texts[d] = " ".join(own)
+        texts[60], texts[61] = texts[3], ""
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        sketched = substring.sketches(docs, "doc_id", "text", 50)
+        for within in (True, False):
+            got = {}
+            for r in substring.repeated_windows(sketched, 50, within).filter("removed").collect():
+                got.setdefault(r["d"], set()).update(range(r["start"], r["stop"]))
+                a = texts[r["d"]].lower().split()[r["start"] : r["stop"]]
+                assert len(a) == r["stop"] - r["start"]
+            assert got == earlier_words(texts, 50, within), (trial, within)
+
+
+def test_rows_of_one_id_and_of_none(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(words_of(rng, n))
+    passage = line(60)
+    rows = [(1, line(80)), (1, line(30) + "\n" + passage), (1, line(90)), (5, passage + "\n" + line(40)), (None, line(25) + "\n" + passage), (None, line(70)), (5, "")]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, k int, d string")
+    left = substring.remove(docs, substring.duplicates(docs)).collect()
+    want = [(d, t if k < 3 else t.replace(passage + "\n", "").replace("\n" + passage, "")) for k, (d, t) in enumerate(rows)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left))) == sorted(map(str, want))
+    assert docs.columns == left[0].__fields__
+
+
 @pytest.mark.parametrize("n,around", [(51, 6), (51, 30), (55, 4), (62, 1), (64, 90), (51, 300)])
 def test_passages_inside_lines_are_found_whole(spark, n, around):
     rng = random.Random(n + around)
@@ -223,10 +276,10 @@ def test_parts_of_kept_lines_count(spark):
     long = " ".join(words_of(rng, 40) + passage + words_of(rng, 40))
     texts = {2: " ".join(words_of(rng, 50) + passage + words_of(rng, 50)), 5: long, 9: long}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = substring.duplicates(docs).collect()
+    got = substring.duplicates(docs, run=45).collect()
     assert any(r["removed"] and r["group_doc_id"] == 2 for r in got if r["doc_id"] == 5)
     removed = removed_words(texts, got)
-    assert removed[5] < set(range(40, 85)) and removed[9] == set(range(125)) and 2 not in removed
+    assert removed[5] == set(range(40, 85)) and removed[9] == set(range(125)) and 2 not in removed
 
 
 def test_every_pair_of_a_crowded_bucket_is_compared(spark):
