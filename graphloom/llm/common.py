@@ -139,8 +139,28 @@ def slices(batch: pa.RecordBatch, size: int = SLICE):
         yield batch.slice(i, size)
 
 
-def binary_array(items) -> pa.Array:
-    return pa.array(items, pa.binary())
+def by_bytes(texts: pa.Array, most: int):
+    """Slices of BINARY texts of at most so many bytes, or of one text."""
+    if len(texts):
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            yield texts.slice(at, to - at)
+            at = to
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of BINARY texts one after another, start of each and the end) without a copy."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    buffer = texts.buffers()[2]
+    data = np.frombuffer(buffer, np.uint8)[ends[0] : ends[-1]] if buffer else np.empty(0, np.uint8)
+    return data, ends - ends[0]
+
+
+def binary_of(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """BINARY values of an array, cut at places in bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
 # --- hashing ----------------------------------------------------------------
@@ -155,21 +175,68 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHash(dict):
-    """word (bytes) -> 64-bit hash, remembered up to a bound."""
-
-    LIMIT = 250_000
-
-    def __missing__(self, word: bytes) -> int:
+#: Masks of the first 0 to 8 bytes of a little-endian integer; bytes of a word that are hashed by arrays.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+SHORT_WORD = 64
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces [start, stop) of an array of bytes; equal bytes, equal hashes."""
+    padded = np.empty(len(data) + 8, np.uint8)
+    padded[: len(data)], padded[len(data) :] = data, 0
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = stops - starts
+    h = mix64((eights[starts] & _MASKS[np.minimum(size, 8)]) + (size.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+    left = np.flatnonzero(size > 8)
+    for k in range(8, SHORT_WORD, 8):
+        if not len(left):
+            return h
+        part = eights[starts[left] + k] & _MASKS[np.minimum(size[left] - k, 8)]
+        h[left] = mix64(h[left] * U64(0xD1342543DE82EF95) + part)
+        left = left[size[left] > k + 8]
+    if len(left):
         import xxhash
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        h[left] = [xxhash.xxh3_64_intdigest(data[a:b].tobytes()) for a, b in zip(starts[left].tolist(), stops[left].tolist())]
+    return h
+
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), U64, len(words))
+class HashTable:
+    """Numbers 0, 1, ... of distinct 64-bit hashes in the order they came, by open addressing."""
+
+    def __init__(self, bits: int = 16):
+        self.keys, self.numbers, self.count = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int32), 0
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each hash, or the free one where it would be."""
+        last = U64(len(self.keys) - 1)
+        slot = (h & last).astype(np.int64)
+        left = np.flatnonzero((self.numbers[slot] >= 0) & (self.keys[slot] != h))
+        while len(left):
+            slot[left] = (slot[left] + 1) & int(last)
+            left = left[(self.numbers[slot[left]] >= 0) & (self.keys[slot[left]] != h[left])]
+        return slot
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each hash, -1 for those that aren't there."""
+        return self.numbers[self._slots(h)]
+
+    def add(self, h: np.ndarray) -> None:
+        """Distinct hashes that aren't there yet."""
+        bits = len(self.keys).bit_length() - 1
+        if 2 * (self.count + len(h)) > len(self.keys):
+            old = np.empty(self.count, U64)
+            full = self.numbers >= 0
+            old[self.numbers[full]] = self.keys[full]
+            h = np.concatenate([old, h])
+            self.__init__(max(bits + 1, (4 * len(h)).bit_length()))
+        number = np.arange(self.count, self.count + len(h))
+        self.count += len(h)
+        while len(h):
+            slot = self._slots(h)
+            _, first = np.unique(slot, return_index=True)  # one of those that want a slot gets it
+            self.keys[slot[first]], self.numbers[slot[first]] = h[first], number[first]
+            h, number = np.delete(h, first), np.delete(number, first)
 
 
 _CACHES: dict[str, object] = {}
@@ -185,8 +252,39 @@ def cache(name: str, make):
     return _CACHES[name]
 
 
-def word_hashes() -> WordHash:
-    return cache("word hashes", WordHash)
+BLANK = np.zeros(256, bool)
+BLANK[[32, *range(9, 14)]] = True
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: Bytes of text whose words are hashed at once (a longer text is read whole).
+TEXT_BYTES = 1 << 21
+
+
+def split_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, words before each text and at the end) of the words of texts: what stands between ASCII white space."""
+    n, solid = len(data), ~BLANK[data]
+    change = np.ones(n + 1, bool)
+    np.not_equal(solid[1:], solid[:-1], out=change[1:n])
+    change[bounds] = True
+    cuts = np.flatnonzero(change)
+    first = solid[cuts[:-1]]
+    starts = cuts[:-1][first]
+    return starts, cuts[1:][first], np.searchsorted(starts, bounds)
+
+
+def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of BINARY texts, words before each text and at the end); with `lower`, A-Z count as a-z."""
+    data, bounds = bytes_of(texts)
+    starts, stops, ends = split_words(data, bounds)
+    return hash_words(LOWER.take(data) if lower else data, starts, stops), ends
+
+
+def shingle_sets(texts: pa.Array, size: int):
+    """Of each BINARY text, the sorted distinct hashes of its runs of `size` words, or of the whole of fewer words."""
+    for part in by_bytes(texts, TEXT_BYTES):
+        words, ends = word_hashes(part)
+        every = shingle_hashes(words, size)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            yield np.unique(every[a : b - size + 1] if b - a >= size else shingle_hashes(words[a:b], size))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -52,10 +52,9 @@ from graphloom.llm.common import (
     may_hold,
     mix64,
     raw,
-    shingle_hashes,
+    shingle_sets,
     shuffle_partitions,
     slices,
-    word_hashes,
 )
 
 #: Documents of a group's block; bounds what a task opens at once.
@@ -68,12 +67,6 @@ RATIO = 1.7
 COLUMNS = 2048
 
 
-def shingle_set(text: bytes, size: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text whose letters A-Z are lower-cased."""
-    words = text.lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    return np.unique(shingle_hashes(word_hashes().of(words), size))
-
-
 # --- tokens -------------------------------------------------------------------
 @functools.lru_cache(8)
 def size_classes(per_cent: int) -> tuple[int, ...]:
@@ -126,8 +119,7 @@ def _signer(size: int, per_cent: int):
         for batch in batches:
             for part in slices(batch):
                 counts, h1, h2, tokens = [], [], [], []
-                for text in part.column(1):
-                    s = shingle_set(text.as_py(), size)
+                for s in shingle_sets(part.column(1), size):
                     digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
                     counts.append(len(s))
                     h1.append(digest[0])
@@ -216,7 +208,7 @@ def _pairs(a, b):
 def _shingler(size: int):
     @F.arrow_udf("binary")
     def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t.as_py(), size).tobytes() for t in texts], pa.binary())
+        return pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())
 
     return shingles
 

@@ -14,6 +14,7 @@ share (0.5 without labels); repeated rows are scored each.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import held_out, raw, shingle_hashes, word_hashes
+from graphloom.llm.common import LOWER, TEXT_BYTES, by_bytes, bytes_of, hash_words, held_out, raw, shingle_hashes, split_words
 from graphloom.llm.rules import NOT_FIRST, SPACE, SYMBOLS, repeated_words
 
 #: Bound on the labelled rows of a fit.
@@ -40,22 +41,46 @@ FUNCTION_WORDS = frozenset(
     b"der die und den von das mit sich dem ein ist nicht auf als "
     b"el los las y se del una con su para es al".split()
 )
+MARK = np.zeros(256, bool)
+MARK[list(b".,;:!?")] = True
 
 
-def statistics(text: bytes) -> list[float]:
-    """Transformed statistics of a text, each of about unit scale."""
-    words = text.split()
-    n = len(words)
+@functools.lru_cache(1)
+def _function_hashes() -> np.ndarray:
+    words = sorted(FUNCTION_WORDS)
+    ends = np.cumsum([0, *map(len, words)])
+    return hash_words(np.frombuffer(b"".join(words), np.uint8), ends[:-1], ends[1:])
+
+
+class Words:
+    """Per word of some texts: hash, length, and whether it is all upper case, capitalised, followed by a mark, a function word."""
+
+    def __init__(self, texts: pa.Array):
+        data, bounds = bytes_of(texts)
+        starts, stops, self.ends = split_words(data, bounds)
+        self.hashes, self.lengths = hash_words(data, starts, stops), stops - starts
+        first, last = data[starts], data[stops - 1]
+        self.capital = (first >= 65) & (first <= 90)
+        self.marked = MARK[last]
+        self.function = np.isin(hash_words(LOWER.take(data), starts, stops), _function_hashes())
+        letters = np.cumsum(np.concatenate([[0], np.where((data >= 97) & (data <= 122), 1 << 32, 0) + ((data >= 65) & (data <= 90))]))
+        cased = letters[stops] - letters[starts]
+        self.upper = (cased > 0) & (cased < 1 << 32)
+
+    def of(self, text: int) -> slice:
+        return slice(self.ends[text], self.ends[text + 1])
+
+
+def statistics(text: bytes, all_words: Words, own: slice) -> list[float]:
+    """Transformed statistics of a text, each of about unit scale; `own` are its words."""
+    n = own.stop - own.start
     if not n:
         return [0.0] * N_STATISTICS
     size = len(text)
     letters = len(text.translate(None, SPACE + NOT_FIRST))
     lines = [x for x in text.split(b"\n") if x.strip(SPACE)]
     count = lambda chars: size - len(text.translate(None, chars))
-    h = word_hashes().of(words)
-    lower = text.lower().split()
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    upper = sum(map(bytes.isupper, words))
+    h, lengths = all_words.hashes[own], all_words.lengths[own]
     triples = shingle_hashes(h, 3)
     root = lambda x: float(np.sqrt(max(x, 0.0)))
     return [
@@ -72,25 +97,34 @@ def statistics(text: bytes) -> list[float]:
         root(count(DIGITS) / letters),
         root(count(b".") / n),
         root(count(b",") / n),
-        root(upper / n),
+        root(all_words.upper[own].sum() / n),
         root(len(np.unique(h)) / n),
         root(len(np.unique(triples)) / len(triples)),
-        root(sum(w in FUNCTION_WORDS for w in lower) / n),
+        root(all_words.function[own].sum() / n),
         root(float((lengths <= 3).mean())),
         root(float((lengths > 12).mean())),
         float(np.log1p(lengths.std())),
         np.log1p(n / max(1, count(STOPS))) / 3,
-        root(sum(w[:1].isupper() for w in words) / n),
-        root(sum(w[-1:] in b".,;:!?" for w in words) / n),
+        root(all_words.capital[own].sum() / n),
+        root(all_words.marked[own].sum() / n),
     ]
 
 
 N_STATISTICS = 23
 
 
+def table_of(texts: pa.Array) -> np.ndarray:
+    """The statistics of BINARY texts, a row each."""
+    rows = []
+    for part in by_bytes(texts, TEXT_BYTES):
+        words = Words(part)
+        rows += [statistics(t.as_py(), words, words.of(k)) for k, t in enumerate(part)]
+    return np.array(rows, np.float32).reshape(len(texts), N_STATISTICS)
+
+
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def document_statistics(texts: pa.Array) -> pa.Array:
-    return pa.array([statistics(t.as_py()) for t in texts], pa.list_(pa.float32()))
+    return pa.array(list(table_of(texts)), pa.list_(pa.float32()))
 
 
 @dataclass
@@ -178,7 +212,7 @@ def score(model: Discriminant, text: Column | str = "text") -> Column:
 
     @F.arrow_udf("double")
     def quality_score(texts: pa.Array) -> pa.Array:
-        x = np.array([statistics(t.as_py()) for t in texts], np.float32).reshape(len(texts), -1).astype(float)
+        x = table_of(texts).astype(float)
         return pa.array(model.score(x) if len(x) else np.empty(0))
 
     return quality_score(raw(text))

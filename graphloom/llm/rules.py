@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import raw, shingle_hashes, word_hashes
+from graphloom.llm.common import TEXT_BYTES, by_bytes, raw, shingle_hashes, word_hashes
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -58,10 +58,11 @@ def repeated_words(words: np.ndarray, size: int = 5) -> int:
     if len(words) < size + 1:
         return 0
     h = shingle_hashes(words, size)
+    ordered = np.sort(h)
+    if (ordered[1:] != ordered[:-1]).all():
+        return 0
     order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
-    if not same.any():
-        return 0
     twice = np.zeros(len(h), bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -72,9 +73,8 @@ def repeated_words(words: np.ndarray, size: int = 5) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-def measure(text: bytes) -> tuple[int, ...]:
-    """The measurements of a text, in the order of MEASURES."""
-    words = text.split()
+def measure(text: bytes, words: np.ndarray) -> tuple[int, ...]:
+    """The measurements of a text, in the order of MEASURES; words as hashes."""
     lines = [x for x in text.split(b"\n") if x.strip(SPACE)]
     return (
         len(words),
@@ -82,14 +82,17 @@ def measure(text: bytes) -> tuple[int, ...]:
         len(text) - len(text.translate(None, SYMBOLS)),
         len(lines),
         len(lines) - len(set(lines)),
-        repeated_words(word_hashes().of(words)),
+        repeated_words(words),
         text.count(b"!"),
     )
 
 
 @F.arrow_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
 def measures(texts: pa.Array) -> pa.Array:
-    rows = [measure(t.as_py()) for t in texts]
+    rows = []
+    for part in by_bytes(texts, TEXT_BYTES):
+        words, ends = word_hashes(part, lower=False)
+        rows += [measure(t.as_py(), words[a:b]) for t, a, b in zip(part, ends, ends[1:])]
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * len(MEASURES))], names=list(MEASURES))
 
 

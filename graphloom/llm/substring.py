@@ -50,9 +50,15 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import jaccard
 from graphloom.llm.common import (
+    LOWER,
+    TEXT_BYTES,
     U64,
+    binary_of,
+    by_bytes,
+    bytes_of,
     components,
     forget,
+    hash_words,
     keep_held,
     materialize,
     may_hold,
@@ -61,8 +67,8 @@ from graphloom.llm.common import (
     raw,
     shuffle_partitions,
     slices,
+    split_words,
     wide_filter,
-    word_hashes,
 )
 
 #: Least words of a paragraph; words and similarity of its shingles; its MinHash bands.
@@ -70,7 +76,7 @@ MIN_WORDS, SHINGLE, PER_CENT = 20, 5, 80
 BANDS, ROWS = 9, 3
 #: Words of a window, and of the seeds that windows go by.
 RUN, SEED = 50, 20
-#: Documents sketched at a time.
+#: Documents whose units are looked at together.
 AT_ONCE = 128
 #: Low bits of a seed's rank, which hold its place: of equal seeds the leftmost is the least.
 PLACE = U64((1 << 26) - 1)
@@ -164,24 +170,16 @@ def band_hashes(shingles: np.ndarray, spans: np.ndarray) -> np.ndarray:
 
 
 # --- sketches of documents ----------------------------------------------------------
-def read_words(text: bytes, words: list[bytes]) -> list[tuple[int, int]]:
-    """Add the lower-cased words of a text to `words`; its paragraphs as (first word, number of words), by places in `words`."""
-    out, open_at = [], -1
-    for line in text.lower().split(b"\n"):
-        own = line.split()
-        if 0 < len(own) < MIN_WORDS:
-            if open_at < 0:
-                open_at = len(words)
-        else:
-            if 0 <= open_at <= len(words) - MIN_WORDS:
-                out.append((open_at, len(words) - open_at))
-            open_at = -1
-            if own:
-                out.append((len(words), len(own)))
-        words += own
-    if 0 <= open_at <= len(words) - MIN_WORDS:
-        out.append((open_at, len(words) - open_at))
-    return out
+def paragraphs(sizes: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
+    """(first word, number of words, document) of the paragraphs of lines in a row, given their words and documents."""
+    short = (sizes > 0) & (sizes < MIN_WORDS)
+    new = np.ones(len(sizes), bool)  # short lines in a row of one document go together
+    new[1:] = ~(short[1:] & short[:-1] & (doc_of[1:] == doc_of[:-1]))
+    head = np.flatnonzero(new)
+    words = np.add.reduceat(sizes, head) if len(head) else sizes
+    first = np.cumsum(words) - words
+    own = words >= MIN_WORDS
+    return np.stack([first[own], words[own], doc_of[head][own]], 1)
 
 
 SKETCH = (
@@ -192,21 +190,21 @@ SKETCH = (
 
 def _sketcher(run: int):
     def sketch(part):
-        words, spans, ends, owners = [], [], [0], []
-        for doc, text in enumerate(part.column(2)):
-            own = read_words(text.as_py(), words)
-            spans += own
-            owners += [doc] * len(own)
-            ends.append(len(words))
-        hashed, ends = word_hashes().of(words), np.array(ends)
+        data, bounds = bytes_of(part.column(2))
+        starts, stops, ends = split_words(data, bounds)
+        hashed = hash_words(LOWER.take(data), starts, stops)
         docs, sizes = len(ends) - 1, np.diff(ends)
         runs, doc_of = Runs(hashed), np.repeat(np.arange(docs), sizes)
+        lines = np.unique(np.concatenate([bounds[:-1], np.flatnonzero(data == 10) + 1]))
+        lines = lines[lines < len(data)]
+        line_words = np.diff(np.append(np.searchsorted(starts, lines), len(starts)))
+        found = paragraphs(line_words, np.searchsorted(bounds, lines, side="right") - 1)
+        spans, owners = found[:, :2], found[:, 2]
         at, mark, low, high, more = units(runs, doc_of, run)
         owner = doc_of[low]
         base = ends[owner]
         places = np.stack([at - base, low - base, high - base, more], 1).astype("<i4")
         unit_ends = np.searchsorted(owner, np.arange(docs + 1))
-        spans, owners = np.array(spans, np.int64).reshape(-1, 2), np.array(owners, np.int64)
         span_ends = np.searchsorted(owners, np.arange(docs + 1)).astype(np.int32)
         bands = band_hashes(runs.all(SHINGLE), np.stack([spans[:, 0], spans.sum(1) - SHINGLE + 1], 1))
         h = runs.of(spans[:, 0], spans.sum(1)).view(np.int64)
@@ -214,26 +212,23 @@ def _sketcher(run: int):
         by_span = pa.ListArray.from_arrays(pa.array(np.arange(len(spans) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
         columns = [
             part.column(0), part.column(1), pa.array(sizes.astype(np.int32)),
-            _binary((hashed >> U64(48)).astype("<u2"), ends * 2),
+            binary_of((hashed >> U64(48)).astype("<u2"), ends * 2),
             pa.ListArray.from_arrays(pa.array(unit_ends.astype(np.int32)), pa.array(mark.view(np.int64))),
-            _binary(places, unit_ends * 16),
+            binary_of(places, unit_ends * 16),
             lists(pa.array((spans[:, 0] - ends[owners]).astype(np.int32))), lists(pa.array(spans[:, 1].astype(np.int32))), lists(pa.array(h)), lists(by_span),
         ]
         return pa.RecordBatch.from_arrays(columns, names=_names(SKETCH))
 
     def run_all(batches):
         for batch in batches:
-            for part in slices(batch, AT_ONCE):
-                yield sketch(part)
+            at = 0
+            for texts in by_bytes(batch.column(2), TEXT_BYTES):
+                yield sketch(batch.slice(at, len(texts)))
+                at += len(texts)
 
     return run_all
 
 
-def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """BINARY values of an array, cut at places in bytes."""
-    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
-
-
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
@@ -278,7 +273,7 @@ def _occurrences(table: np.ndarray, run: int, within: bool):
                 around = view[starts[doc] + at[:, 0]]  # starts `before` words ahead of the seed
                 columns = [pa.array(flat[own]), part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc))]
                 columns += [pa.array(np.ascontiguousarray(at[:, c])) for c in range(4)]
-                columns += [pa.array(sizes[doc].astype(np.int32)), _binary(around, np.arange(len(own) + 1) * 2 * length)]
+                columns += [pa.array(sizes[doc].astype(np.int32)), binary_of(around, np.arange(len(own) + 1) * 2 * length)]
                 yield pa.RecordBatch.from_arrays(columns, names=_names(OCCURRENCE))
 
     return run_all

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,28 @@ def test_encode_and_decode_equal_the_library(spark, library):
         assert r["back"] == library.decode(ids, skip_special_tokens=False) == r["t"]["decoded"]
 
 
+def test_every_plane_and_all_short_letters(spark, library):
+    rng = random.Random(6)
+    planes = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 7 == 0)]
+    some = lambda: "".join(rng.choice(planes) if rng.random() < 0.5 else rng.choice("aZ 9.\n'<é") for _ in range(rng.randint(1, 9)))
+    texts = [f"a{chr(c)}B {chr(c)}" for c in range(0x250)] + [some() for _ in range(6000)] + ["\U00012477 x\U00018ed1 \U00019164y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = tokenizer_path()
+    for r in docs.select("doc_id", bpe.encode("text", path).alias("a"), bpe.library_encode("text", path).alias("b")).collect():
+        data = np.array(expected(library, texts[r["doc_id"]]), "<u4").tobytes()
+        assert r["a"] == data and r["b"] == data, texts[r["doc_id"]]
+
+
+def test_the_table_of_units_grows_and_forgets(spark, library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    units = bpe.Units(bpe.vocabulary(tokenizer_path()), lambda us: [library.encode(u, add_special_tokens=False).ids for u in us])
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = [" ".join(rng.choice("ab") * rng.randint(1, 60) for _ in range(rng.randint(0, 40))) for _ in range(9)]
+        got = units.ids(pa.array([t.encode() for t in texts], pa.binary()).slice(2))
+        assert [np.frombuffer(x.as_py(), "<u4").tolist() for x in got] == [expected(library, t) for t in texts[2:]]
+
+
 def test_long_words_merge_alike():
     v = bpe.vocabulary(tokenizer_path())
     rng = random.Random(1)
