@@ -2,9 +2,9 @@
 
 Each document is a vector of transformed statistics of its whole text. Each class has a
 mean and a covariance shrunk towards the pooled one and towards its diagonal; the
-Cholesky factors are computed once and kept in the model. The score is a logistic curve
-(fitted on the same training rows) of the difference of the two log densities, which are
-Mahalanobis distances by triangular solves plus log determinants.
+inverses of their Cholesky factors are computed once and kept in the model. The score is a
+logistic curve (fitted on the same training rows) of the difference of the two log
+densities: Mahalanobis distances, by one product with such an inverse, and log determinants.
 
 The fit takes at most FIT_ROWS labelled rows, those with the smallest hashes of their
 ids. Defined results: null labels are left out; a null, blank or very long text has a

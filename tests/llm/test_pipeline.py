@@ -101,3 +101,22 @@ def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart(spark, tmp_path):
+    rng = random.Random(4)
+    line = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    a, b, c, passage = line(80), line(90), line(70), line(60)
+    near = a.split()
+    near[40] = "changed"
+    rows = [(5, a), (5, b), (5, b), (6, " ".join(near)), (7, c), (None, c), (None, None), (8, ""), (8, ""), (9, None), (2, passage), (11, line(30) + "\n" + passage), (11, line(33))]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, component int")
+    left = C.drop_near_copies(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    assert got == sorted([r for k, r in enumerate(rows) if k not in (2, 3, 8)], key=str)
+    cut = C.cut_repeats(spark, left, str(tmp_path))
+    assert cut.columns == docs.columns
+    texts = sorted(((r["doc_id"], r["text"]) for r in cut.collect()), key=str)
+    want = [r for k, r in enumerate(rows) if k not in (2, 3, 5, 8, 11)] + [(11, rows[11][1].split("\n")[0])]  # the row without an id is a copy of 7
+    assert texts == sorted(want, key=str)
