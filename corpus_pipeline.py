@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, jaccard, packing, quality, substring, toxicity
-from graphloom.llm.common import materialize, small_batches
+from graphloom.llm.common import forget, materialize, may_hold, small_batches
 from graphloom.llm.queries import CAPACITY, PACK_END, tokenizer_path
 
 #: Scores from which a document is toxic, and from which it is good enough.
@@ -21,32 +21,52 @@ SHINGLE, PER_CENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier lets pass; null texts score like empty ones."""
+    """Documents that the toxicity classifier lets pass; null texts score like empty ones.
+
+    Rows are judged one by one, so repeated rows go or stay together; all columns stay.
+    """
     small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(toxicity.score(model) < TOXIC)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on what is left of the labelled ones, lets pass."""
+    """Documents that the quality classifier, fitted on what is left of the labelled ones, lets pass.
+
+    Rows are judged one by one, so repeated rows go or stay together; all columns stay.
+    """
     small_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(quality.score(model) >= GOOD)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each component of near-duplicates; documents with a null id stay."""
+    """One document of each component of near-duplicates, the first by id and text hash.
+
+    Rows are told apart by id and text: rows that share an id are compared like any
+    others, rows that agree in both are copies, of which one stays. Documents with a null
+    id stay all. Columns named like the ones used here (__row) are not expected.
+    """
     small_batches(spark)
-    found = jaccard.join(docs, size=SHINGLE, per_cent=PER_CENT)
-    kept = materialize(found.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct(), "kept-documents")
-    one = docs.join(kept, docs["doc_id"] == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null"))
+    named = docs.withColumn("__row", F.xxhash64("doc_id", F.col("text").cast("string")))
+    known = named.filter("doc_id is not null")
+    groups = jaccard.join(known, "__row", "text", SHINGLE, PER_CENT).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component")).distinct()
+    rows = known.groupBy("doc_id", "__row").agg(F.count("*").alias("copies")).join(groups, "__row")
+    rows = materialize(rows, "near-rows")
+    first = F.min(F.struct("doc_id", "__row")).alias("first")
+    several = rows.groupBy("component").agg(first, F.count("*").alias("n"), F.max("copies").alias("copies")).filter("n > 1 or copies > 1")
+    decided = rows.join(several.select("component", "first"), "component").select("doc_id", "__row", (F.struct("doc_id", "__row") == F.col("first")).alias("__kept"))
+    decided = materialize(decided, "near-decided")
+    forget(rows)
+    named = named.withColumn("__asked", F.col("doc_id").isNotNull() & may_hold(decided, "__row", "__row"))
+    asked = named.filter("__asked").join(decided, ["doc_id", "__row"], "left").filter("__kept is null or __kept").dropDuplicates(["doc_id", "__row"])
+    return named.filter("not __asked").select(docs.columns).unionByName(asked.select(docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one has; n_chars follows the text."""
     small_batches(spark)
-    left = substring.remove(docs, substring.duplicates(docs))
+    left = substring.remove(docs, substring.find(docs, within=False))
     return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
@@ -65,7 +85,7 @@ STAGES = [
     ("packing", pack_tokens),
 ]
 
-#: The classifiers and the sketches of the stages have no SQL form; tests hold run() against a brute-force version.
+#: The classifiers and the sketches of the stages have no SQL form; tests hold each stage against what it must do, the near copies and packing by brute force.
 ORACLE_SQL = None
 
 
