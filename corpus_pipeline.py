@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, jaccard, packing, quality, substring, toxicity
-from graphloom.llm.common import forget, materialize, may_hold, small_batches
+from graphloom.llm.common import forget, materialize, may_hold, raw, small_batches
 from graphloom.llm.queries import CAPACITY, PACK_END, tokenizer_path
 
 #: Scores from which a document is toxic, and from which it is good enough.
@@ -58,9 +58,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     decided = rows.join(several.select("component", "first"), "component").select("doc_id", "__row", (F.struct("doc_id", "__row") == F.col("first")).alias("__kept"))
     decided = materialize(decided, "near-decided")
     forget(rows)
-    named = named.withColumn("__asked", F.col("doc_id").isNotNull() & may_hold(decided, "__row", "__row"))
-    asked = named.filter("__asked").join(decided, ["doc_id", "__row"], "left").filter("__kept is null or __kept").dropDuplicates(["doc_id", "__row"])
-    return named.filter("not __asked").select(docs.columns).unionByName(asked.select(docs.columns))
+    asked = may_hold(decided, "__row", "__row")
+    one = known.filter(asked).join(decided, ["doc_id", "__row"], "left").filter("__kept is null or __kept").dropDuplicates(["doc_id", "__row"])
+    rest = known.filter(~asked).unionByName(named.filter("doc_id is null"))
+    return rest.select(docs.columns).unionByName(one.select(docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +74,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences: see graphloom.llm.packing."""
     small_batches(spark)
-    ids = docs.select("doc_id", F.concat(bpe.library_encode("text", tokenizer_path()), F.lit(PACK_END)).alias("ids"))
-    return packing.pack(ids, "doc_id", "ids", CAPACITY)
+    return packing.pack(docs, "doc_id", raw("text"), CAPACITY, bpe.library_encoder(tokenizer_path(), PACK_END))
 
 
 STAGES = [

@@ -230,8 +230,8 @@ class Units:
         self.first = np.concatenate([self.first, self.first[-1] + ends])
         self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(ends[-1]))])
 
-    def ids(self, texts: pa.Array) -> pa.Array:
-        """BINARY ids of BINARY texts."""
+    def ids(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """BINARY ids of BINARY texts, each with `end` behind."""
         data, starts, stops, strange, ends = self.vocabulary.cut(texts)
         hashes = hash_words(LOWER.take(data), starts, stops)
         if strange.any():
@@ -250,7 +250,11 @@ class Units:
         sizes = self.first[at + 1] - first
         before = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.flat[np.arange(before[-1]) + np.repeat(first - before[:-1], sizes)]
-        return binary_of(flat, before[ends] * 4)
+        stops = before[ends]
+        if end:
+            flat = np.insert(flat, stops[1:], np.frombuffer(end, "<u4")[0])
+            stops = stops + np.arange(len(stops))
+        return binary_of(flat, stops * 4)
 
 
 @functools.lru_cache(2)
@@ -296,8 +300,8 @@ def library_units(path: str) -> Units:
     return cache(f"library units of {path}", make)
 
 
-def _column(texts: pa.Array, units: Units) -> pa.Array:
-    parts = [units.ids(part) for part in by_bytes(texts, TEXT_BYTES)]
+def _column(texts: pa.Array, units: Units, end: bytes = b"") -> pa.Array:
+    parts = [units.ids(part, end) for part in by_bytes(texts, TEXT_BYTES)]
     return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
@@ -311,16 +315,25 @@ def encode(text: Column | str, path: str) -> Column:
     return bpe_encode(raw(text))
 
 
-def library_encode(text: Column | str, path: str) -> Column:
-    """The same ids by way of the tokenizers library."""
+def library_encode(text: Column | str, path: str, end: bytes = b"") -> Column:
+    """The same ids by way of the tokenizers library, each text's with the id `end` behind."""
 
     @F.arrow_udf("binary")
     def encode_by_library(texts: pa.Array) -> pa.Array:
-        return _column(texts, library_units(path))
+        return _column(texts, library_units(path), end)
 
     return encode_by_library(raw(text))
 
 
+def library_encoder(path: str, end: bytes):
+    """A function from BINARY texts to ids, each with the id `end` behind, for operators that encode inside their own tasks."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return _column(texts, library_units(path), end)
+
+    return run
+
+
 def decode(ids: Column | str, path: str) -> Column:
     """Text of ids in BINARY; no ids, or null, give the empty text."""
 

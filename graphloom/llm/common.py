@@ -98,14 +98,27 @@ def may_hold(ids: DataFrame, of: str, key: Column | str) -> Column:
     It has FILTER_BITS bits however many ids there are; when it fills up, more rows pass
     and the join behind it still decides.
     """
-    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(FILTER_BITS))
-    table = _filter_table(ids.select(place(F.col(of)).alias("h")), FILTER_BITS)
+    table = key_filter(ids, of)
 
     @F.arrow_udf("boolean")
     def held(h: pa.Array) -> pa.Array:
-        return pa.array(_held(table, h.to_numpy(zero_copy_only=False).astype(U64)))
+        return pa.array(key_held(table, h))
 
-    return held(place(F.col(key) if isinstance(key, str) else key))
+    return held(filter_place(key))
+
+
+def filter_place(key: Column | str) -> Column:
+    """The place of an integer key in the filter of may_hold()."""
+    return F.pmod(F.xxhash64((F.col(key) if isinstance(key, str) else key).cast("long")), F.lit(FILTER_BITS))
+
+
+def key_filter(ids: DataFrame, of: str) -> np.ndarray:
+    """The filter of may_hold() for functions that read texts themselves, so that a task has one Python worker."""
+    return _filter_table(ids.select(filter_place(of).alias("h")), FILTER_BITS)
+
+
+def key_held(table: np.ndarray, places: pa.Array) -> np.ndarray:
+    return _held(table, places.to_numpy(zero_copy_only=False).astype(U64))
 
 
 def wide_filter(hashes: DataFrame, of: str) -> np.ndarray:

@@ -45,11 +45,13 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import (
     U64,
     components,
+    filter_place,
     forest,
     forget,
     keep_held,
+    key_filter,
+    key_held,
     materialize,
-    may_hold,
     mix64,
     raw,
     shingle_sets,
@@ -205,12 +207,17 @@ def _pairs(a, b):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _shingler(size: int):
-    @F.arrow_udf("binary")
-    def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())
+def _members(table: np.ndarray, size: int):
+    """doc and the shingles of its text, of rows (doc, text, place in the filter) that the filter holds."""
 
-    return shingles
+    def run(batches):
+        for batch in batches:
+            own = batch.filter(pa.array(key_held(table, batch.column(2))))
+            for part in slices(own, 64):
+                sets = pa.array([s.tobytes() for s in shingle_sets(part.column(1), size)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["doc", "shingles"])
+
+    return run
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, per_cent: int = 90) -> DataFrame:
@@ -271,7 +278,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     opened_groups = grouped.join(sides.select("grp").distinct(), "grp", "left_semi")
     opened_groups = opened_groups.join(classes, opened_groups["cls"] == classes["h1"]).select(F.col("rep").alias("doc"), "grp")
     opened_groups = materialize(opened_groups, "jaccard-opened")
-    members = rows.filter(may_hold(opened_groups, "doc", "doc")).join(opened_groups, "doc").select("doc", "grp", _shingler(size)("text").alias("shingles"))
+    asked = rows.select("doc", "text", filter_place("doc").alias("place")).filter("place is not null")
+    members = asked.mapInArrow(_members(key_filter(opened_groups, "doc"), size), "doc long, shingles binary").join(opened_groups, "doc")
     members = materialize(members.dropDuplicates(["doc", "shingles"]), "jaccard-members")
     opened = sides.join(members, "grp").select("pair", "side", "doc", "shingles")
     opened = opened.repartition(n, "pair").sortWithinPartitions("pair", "side", "doc")

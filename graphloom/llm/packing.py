@@ -25,7 +25,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sequences dealt at a time: bounds a task's memory and the work of one differencing.
@@ -127,8 +127,11 @@ def plan(lengths, capacity: int, windows: int = WINDOWS):
         yield batch
 
 
-def pack(docs: DataFrame, key: str, ids: str, capacity: int = 2048) -> DataFrame:
-    """Pieces of all documents (key, ids as little-endian uint32 BINARY): see PIECE; offset is gapless in a sequence."""
+def pack(docs: DataFrame, key: str, ids: Column | str, capacity: int = 2048, encode=None) -> DataFrame:
+    """Pieces of all documents (key, ids as little-endian uint32 BINARY): see PIECE; offset is gapless in a sequence.
+
+    With `encode`, `ids` holds what that function makes ids of, a BINARY array at a time.
+    """
 
     def run(batches):
         held: dict[int, tuple] = {}  # document number -> key, ids, ids not yet placed
@@ -136,7 +139,8 @@ def pack(docs: DataFrame, key: str, ids: str, capacity: int = 2048) -> DataFrame
 
         def lengths():
             for batch in batches:
-                for k, value in zip(batch.column(0), batch.column(1)):
+                values = encode(batch.column(1)) if encode else batch.column(1)
+                for k, value in zip(batch.column(0), values):
                     data = value.as_py()
                     if data:
                         d = next(number)
@@ -165,4 +169,4 @@ def pack(docs: DataFrame, key: str, ids: str, capacity: int = 2048) -> DataFrame
     def _batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), fields.types)], schema=fields)
 
-    return docs.select(F.col(key).cast("long"), F.col(ids)).mapInArrow(run, PIECE)
+    return docs.select(F.col(key).cast("long"), (F.col(ids) if isinstance(ids, str) else ids).alias("ids")).mapInArrow(run, PIECE)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, embeddings, jaccard, licenses, packing, quality, rules, substring, tokenfile, toxicity
-from graphloom.llm.common import held_out, new_path, small_batches
+from graphloom.llm.common import held_out, new_path, raw, small_batches
 
 #: The public tokenizer of the token queries, and the ids of its end markers.
 TOKENIZER = "word_bpe_49k.json"
@@ -74,7 +74,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = new_path(spark, "token-file")
     cuts = tokenfile.bounds(docs, "doc_id", "text", SHARD_BYTES)
-    ids = docs.select("doc_id", F.concat(bpe.library_encode("text", tokenizer_path()), F.lit(INDEX_END)).alias("ids"))
+    ids = docs.select("doc_id", bpe.library_encode("text", tokenizer_path(), INDEX_END).alias("ids"))
     tokenfile.write(ids, path, "doc_id", "ids", cuts, VOCABULARY_SIZE)
     return tokenfile.read(spark, path).select(
         F.col("key").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
@@ -83,8 +83,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ids = docs.select("doc_id", F.concat(bpe.library_encode("text", tokenizer_path()), F.lit(PACK_END)).alias("ids"))
-    return packing.pack(ids, "doc_id", "ids", CAPACITY).select(
+    return packing.pack(docs, "doc_id", raw("text"), CAPACITY, bpe.library_encoder(tokenizer_path(), PACK_END)).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 

@@ -559,7 +559,7 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", run: in
             out.append([{"line": int(lines[a]), "start": int(starts[a]), "length": int(stops[b] - starts[a])} for a, b in own])
         return pa.array(out, pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])))
 
-    rows = named.filter(may_hold(spans, "__k", "__hash")).select(F.col("__id").alias("__d"), F.col("__hash").alias("__k"), raw(text).alias("t")).join(spans, ["__d", "__k"])
+    rows = named.filter(may_hold(spans, "__k", "__hash")).select(F.col("__id").alias("__d"), F.col("__hash").alias("__k"), raw(text).alias("t")).join(spans.hint("merge"), ["__d", "__k"])
     rows = rows.dropDuplicates(["__d", "__k"]).select("__d", "__k", F.explode(F.arrays_zip(places("t", "__s").alias("p"), F.col("__s").alias("s"))).alias("x"))
     return rows.select(
         F.nullif(F.col("__d"), F.lit(NULL_ID)).alias("doc_id"), F.col("__k").alias("text_hash"), "x.p.line", "x.p.start", "x.p.length", "x.s.*"
@@ -599,9 +599,8 @@ def remove(docs: DataFrame, repeats: DataFrame, key: str = "doc_id", text: str =
         return pa.array(out, pa.string())
 
     asked = may_hold(spans, "__k", "__hash")
-    named = named.withColumn("__asked", asked)
-    rest = named.filter("not __asked").select(docs.columns)
-    joined = named.filter("__asked").join(spans, (F.col("__id") == F.col("__d")) & (F.col("__hash") == F.col("__k")), "left")
+    rest = named.filter(~asked).select(docs.columns)
+    joined = named.filter(asked).join(spans.hint("merge"), (F.col("__id") == F.col("__d")) & (F.col("__hash") == F.col("__k")), "left")
     cleared = joined.withColumn("__text", F.when(F.col("__s").isNotNull(), cut(text, "__s")).otherwise(F.col(text)))
     left = cleared.filter(F.col("__s").isNull() | (F.length(F.trim("__text")) > 0))
     return left.select(*[F.col("__text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]).unionByName(rest)
