@@ -137,6 +137,21 @@ def _signer(size: int, per_cent: int):
     return run
 
 
+def _token_ends(batches):
+    """Of rows (cls, tokens): each token of a batch once, with the least and the greatest class that has it there."""
+    for batch in batches:
+        tokens = batch.column(1)
+        sizes = np.diff(np.asarray(tokens.offsets))
+        flat, cls = tokens.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)
+        if not len(flat):
+            continue
+        order = np.argsort(flat, kind="stable")
+        flat, cls = flat[order], cls[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        columns = [flat[first], np.minimum.reduceat(cls, first), np.maximum.reduceat(cls, first)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "low", "high"])
+
+
 # --- opening groups -------------------------------------------------------------
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets of a with all of b."""
@@ -231,7 +246,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
 
     # tokens that at least two classes have; a class goes by its first hash
     tokens = known.filter(F.size("tokens") > 0).select(F.col("h1").alias("cls"), "tokens")
-    ends = tokens.select("cls", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
+    # most tokens are single: no partial sums in hash maps, but each batch's are merged, which takes the frequent ones
+    ends = tokens.mapInArrow(_token_ends, "token long, low long, high long").repartition(4 * n, "token")
+    ends = ends.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     often = materialize(ends.filter("low <> high").select("token"), "jaccard-often")
     fewer = tokens.select("cls", F.explode(keep_held(often, "token", "tokens")).alias("token")).distinct()
     shared = materialize(fewer.join(often, "token"), "jaccard-tokens")
