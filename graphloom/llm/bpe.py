@@ -19,7 +19,6 @@ unsigned 32-bit little-endian integers in a BINARY column.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import itertools
 import json
@@ -257,27 +256,37 @@ class Units:
         return binary_of(flat, stops * 4)
 
 
-@functools.lru_cache(2)
+class Held:
+    """A vocabulary and the units known by it."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel as it is
+        self.vocabulary, self.by = Vocabulary(path), {}
+
+    def units(self, name: str, make) -> Units:
+        if name not in self.by:
+            self.by[name] = make(self.vocabulary)
+        return self.by[name]
+
+
 def vocabulary(path: str) -> Vocabulary:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel as it is
-    return Vocabulary(path)
+    """The worker's vocabulary, whichever units it has at hand."""
+    return cache(path, lambda: Held(path)).vocabulary
 
 
 def own_units(path: str) -> Units:
     """Units encoded by the rank arrays of this module."""
 
-    def make():
-        v = vocabulary(path)
+    def make(v):
         return Units(v, lambda units: [v.unit(u) for u in units])
 
-    return cache(f"own units of {path}", make)
+    return cache(path, lambda: Held(path)).units("own", make)
 
 
 def library_units(path: str) -> Units:
     """Units encoded by the tokenizers library: pre-tokens of Latin letters by its model, others from the text."""
 
-    def make():
-        v = vocabulary(path)
+    def make(v):
         model, chars = v.library.model, dict(enumerate(_byte_characters()))
         # letters that normalising only lowers, one by one
         ascii, latin = re.compile("[A-Za-z]+|[0-9]").fullmatch, re.compile("[A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+").fullmatch
@@ -297,7 +306,7 @@ def library_units(path: str) -> Units:
 
         return Units(v, encode)
 
-    return cache(f"library units of {path}", make)
+    return cache(path, lambda: Held(path)).units("library", make)
 
 
 def _column(texts: pa.Array, units: Units, end: bytes = b"") -> pa.Array:

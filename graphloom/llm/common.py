@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -256,15 +258,25 @@ _CACHES: dict[str, object] = {}
 
 
 def cache(name: str, make):
-    """A worker's cache of that name; those of other names are emptied, as workers go from stage to stage."""
+    """A worker's cache of that name; what others hold is let go, as workers go from stage to stage."""
     if name not in _CACHES:
-        for other in _CACHES.values():
-            other.clear()
-        _CACHES.clear()
+        release()
         _CACHES[name] = make()
     return _CACHES[name]
 
 
+def release() -> None:
+    """Let go of the worker's caches, and give their memory back to the machine."""
+    if not _CACHES:
+        return
+    _CACHES.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
@@ -274,6 +286,7 @@ TEXT_BYTES = 1 << 21
 
 def split_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each text and at the end) of the words of texts: what stands between ASCII white space."""
+    release()
     n, solid = len(data), ~BLANK[data]
     change = np.ones(n + 1, bool)
     np.not_equal(solid[1:], solid[:-1], out=change[1:n])
