@@ -6,7 +6,7 @@ class's length, so each run of a template's length lies whole in some window. A
 MinHash signature has BANDS bands of one row each: a window that holds c of the
 template's shingles has a Jaccard similarity of at least cm / (2m' + (1 - c)m) with it,
 m' < 2m being the class's length, and is missed with a probability of (1 - J)**BANDS:
-under 1e-3 for c = 0.8. Windows whose bands collide with a template's are verified: the
+at c = 0.8 under 1e-3, as J is 0.19 at least. Windows whose bands collide with a template's are verified: the
 share of the template's distinct shingles found in the window must be 0.8 or more.
 
 Only windows are hashed that hold one of a few rare words: they are chosen so that less
@@ -27,7 +27,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHINGLE, BANDS, CONTAINMENT = 5, 24, 0.8
+SHINGLE, BANDS, CONTAINMENT = 5, 33, 0.8
 
 #: Opening words of widely used license notices (fixed values, public texts).
 TEMPLATES: tuple[tuple[str, str], ...] = (

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import mix64, shuffle_partitions
+from graphloom.llm.common import mix64
 
 U32, U64, I64 = "<u4", np.uint64, "<i8"
 SHARD = (
@@ -35,6 +35,8 @@ SHARD = (
 #: Keys of a bucket on average; displacements tried before another seed is taken.
 BUCKET, TRIES = 4, 1 << 16
 NULL_KEY = np.iinfo(np.int64).min
+#: Shards of a file; beyond so many they grow, so that the manifest (one row each) stays small enough to send around.
+MAX_SHARDS = 1 << 18
 
 
 # --- minimal perfect hash -----------------------------------------------------
@@ -148,7 +150,7 @@ def _writer(wide: bool):
 def bounds(docs: DataFrame, key: str, size: str, shard_bytes: int) -> list[int]:
     """First keys of all shards but the first, so that shards are runs of keys of about equal bytes of text."""
     total = docs.agg(F.sum(F.octet_length(size))).first()[0] or 0
-    n = -(-total // shard_bytes)
+    n = min(MAX_SHARDS, -(-total // shard_bytes))
     if n < 2:
         return []
     cut = docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []
@@ -165,8 +167,7 @@ def write(docs: DataFrame, path: str, key: str, ids: str, cuts: list[int], vocab
         return pa.array(np.searchsorted(edges, k, side="right").astype(np.int32))
 
     rows = docs.select(shard_of(F.col(key).cast("long")).alias("shard"), F.col(key).cast("long").alias("key"), F.col(ids).alias("ids"))
-    n = max(shuffle_partitions(docs.sparkSession), 1)
-    shards = rows.repartition(min(n, len(cuts) + 1), "shard").sortWithinPartitions("shard", "key", "ids")
+    shards = rows.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "key", "ids")
     out = shards.mapInArrow(_writer(vocabulary_size > 1 << 16), SHARD)
     out.write.option("compression", "zstd").option("parquet.block.size", 1 << 24).parquet(path)
 
@@ -191,6 +192,11 @@ class Shard:
         self.displace, self.fingerprint = np.frombuffer(row["displace"], I64), np.frombuffer(row["fingerprint"], U32)
         self.first, self.count = np.frombuffer(row["first"], U32), np.frombuffer(row["count"], U32)
 
+    @property
+    def nulls(self) -> int:
+        """Documents without a key; they come first."""
+        return len(self.keys) - int(self.count.sum())
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first document, number of documents) of each key by the hash index; no documents for an absent key."""
         n = len(self.fingerprint)
@@ -211,8 +217,9 @@ _READ = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("ids", pa.binary
 
 
 def _rows(shard: Shard, docs, base: int):
+    nulls = shard.nulls
     for low in range(0, len(docs), 1024):
-        out = [(None if shard.keys[d] == NULL_KEY else int(shard.keys[d]), *shard.ids(int(d))) for d in docs[low : low + 1024]]
+        out = [(None if d < nulls else int(shard.keys[d]), *shard.ids(int(d))) for d in docs[low : low + 1024]]
         yield pa.RecordBatch.from_arrays(
             [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] + base for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())],
             schema=_READ,
@@ -227,7 +234,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 shard = Shard(row)
-                nulls = int((shard.keys == NULL_KEY).sum())
+                nulls = shard.nulls
                 keys = np.unique(shard.keys[nulls:])
                 first, count = shard.find(keys)
                 docs = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)

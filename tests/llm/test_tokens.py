@@ -157,3 +157,12 @@ def test_packing_returns_all_ids(spark, library):
     one = [r for r in out if r["doc_id"] == 11]
     joined = b"".join(bytes(r["ids"]) for r in sorted(one, key=lambda r: r["start"]))
     assert zlib.crc32(joined) == zlib.crc32(want[11][0]) and {r["doc_tokens"] for r in one} == {len(want[11][0]) // 4}
+
+
+def test_the_least_key_and_null_keys_are_told_apart(spark):
+    rows = [(None, "one"), (-(1 << 63), "two words"), (-(1 << 63), "three"), (None, "four"), (7, "five")]
+    path = new_path(spark, "least")
+    tokenfile.write(ids_frame(spark, rows, INDEX_END), path, "doc_id", "ids", [], 49408)
+    got = sorted(((r["key"], len(r["ids"])) for r in tokenfile.read(spark, path).collect()), key=str)
+    plain = {(i, t): len(ids) for i, t, ids in ((r["doc_id"], r["text"], r["ids"]) for r in spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", bpe.library_encode("text", tokenizer_path(), INDEX_END)).collect())}
+    assert got == sorted(((i, plain[i, t]) for i, t in rows), key=str)
