@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.triples import checkpoint
+
 
 @dataclass(frozen=True)
 class Hop:
@@ -160,17 +162,26 @@ def _labelled(nodes: DataFrame, labels) -> DataFrame:
     return nodes.filter(F.arrays_overlap("labels", F.array(*map(F.lit, labels)))) if labels else nodes
 
 
-def _steps(edges: DataFrame, h: Hop) -> DataFrame:
-    """from, to, type, depth, when, status of one hop; longer reaches walk trails of distinct edges."""
+def _steps(edges: DataFrame, h: Hop, starts: DataFrame | None = None) -> DataFrame:
+    """f, t, type, depth, when, status of one hop, from the nodes of `starts` (f) if given.
+
+    Longer reaches walk trails: a node may come again, an edge (its ends and type) may not.
+    """
     e = edges.filter(F.col("type").isin(*h.types)) if h.types else edges
     a, b = ("dst", "src") if h.back else ("src", "dst")
-    one = e.select(F.col(a).alias("f"), F.col(b).alias("t"), "type", F.lit(1).alias("depth"), "when", "status")
-    walks = [one]
+    own = F.struct("src", "dst", "type")
+    one = e.select(F.col(a).alias("f"), F.col(b).alias("t"), "type", F.lit(1).alias("depth"), "when", "status", F.array(own).alias("trail"))
+    walks = [one if starts is None else one.join(starts, "f", "left_semi")]
     for depth in range(2, h.reach + 1):
-        step = e.select(F.col(a).alias("t"), F.col(b).alias("n"), F.col("type").alias("y"), F.col("when").alias("w"), F.col("status").alias("s"))
-        last = walks[-1].join(step, "t").filter(F.col("n") != F.col("f"))
-        walks.append(last.select("f", F.col("n").alias("t"), F.concat_ws("|", "type", "y").alias("type"), F.lit(depth).alias("depth"), F.col("w").alias("when"), F.col("s").alias("status")))
-    return reduce(DataFrame.unionByName, walks)
+        step = e.select(F.col(a).alias("t"), F.col(b).alias("n"), F.col("type").alias("y"), F.col("when").alias("w"), F.col("status").alias("s"), own.alias("edge"))
+        last = walks[-1].join(step, "t").filter(~F.array_contains("trail", F.col("edge")))
+        walks.append(
+            last.select(
+                "f", F.col("n").alias("t"), F.concat_ws("|", "type", "y").alias("type"), F.lit(depth).alias("depth"),
+                F.col("w").alias("when"), F.col("s").alias("status"), F.array_append("trail", F.col("edge")).alias("trail"),
+            )
+        )
+    return reduce(DataFrame.unionByName, walks).drop("trail")
 
 
 def _column(kind: str, node: str) -> Column:
@@ -233,7 +244,11 @@ def run(p: Pattern, nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame
             if h.at not in folded:
                 rows = rows.join(_fold(p, h, nodes, edges).withColumnRenamed("f", f"{h.at}_id"), f"{h.at}_id", "left")
             continue
-        steps = _steps(edges, h).select(
+        starts = None
+        if h.reach > 1:  # walks begin at the nodes that are reached, which a checkpoint keeps out of the walks' plan
+            rows = checkpoint(rows)
+            starts = rows.select(F.col(f"{h.at}_id").alias("f"))
+        steps = _steps(edges, h, starts).select(
             F.col("f").alias(f"{h.at}_id"), F.col("t").alias(f"{h.to}_id"),
             *[F.col(c).alias(f"{h.to}_{c}") for c in ("type", "depth", "when", "status")],
         )
@@ -269,10 +284,12 @@ def sql(p: Pattern, value: str) -> str:
         where = f"WHERE type IN ({', '.join(map(q, h.types))})" if h.types else ""
         a, b = ("dst", "src") if h.back else ("src", "dst")
         body = [f'SELECT {a} AS f, {b} AS t, type, 1 AS depth, "when", status FROM edges {where}']
+        other = lambda v, w: "(v.src, v.dst, v.type) IS DISTINCT FROM (w.src, w.dst, w.type)".replace("v.", f"{v}.").replace("w.", f"{w}.")
+        step = f"(SELECT * FROM edges {where})"
         if h.reach >= 2:
-            body.append(f"SELECT x.{a}, y.{b}, x.type || '|' || y.type, 2, y.\"when\", y.status FROM (SELECT * FROM edges {where}) x JOIN (SELECT * FROM edges {where}) y ON x.{b} = y.{a} WHERE x.{a} <> y.{b}")
+            body.append(f"SELECT x.{a}, y.{b}, x.type || '|' || y.type, 2, y.\"when\", y.status FROM {step} x JOIN {step} y ON x.{b} = y.{a} WHERE {other('x', 'y')}")
         if h.reach >= 3:
-            body.append(f"SELECT x.{a}, z.{b}, x.type || '|' || y.type || '|' || z.type, 3, z.\"when\", z.status FROM (SELECT * FROM edges {where}) x JOIN (SELECT * FROM edges {where}) y ON x.{b} = y.{a} JOIN (SELECT * FROM edges {where}) z ON y.{b} = z.{a} WHERE x.{a} <> y.{b} AND x.{a} <> z.{b}")
+            body.append(f"SELECT x.{a}, z.{b}, x.type || '|' || y.type || '|' || z.type, 3, z.\"when\", z.status FROM {step} x JOIN {step} y ON x.{b} = y.{a} JOIN {step} z ON y.{b} = z.{a} WHERE {other('x', 'y')} AND {other('x', 'z')} AND {other('y', 'z')}")
         ctes.append(f"s{i} AS (SELECT s.*, n.name, n.labels FROM ({' UNION ALL '.join(body)}) s JOIN nodes n ON n.id = s.t{has('n', h.labels)})")
         joins.append(f"{'LEFT ' if h.optional else ''}JOIN s{i} AS {h.to} ON {h.to}.f = {h.at}.{'id' if h.at == p.start else 't'}")
     one = lambda n: n + (".id" if n == p.start else ".t")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.sources.files import own_folder
 
 #: Pairs of types that may be related, in either order (fixed values).
 TYPE_PAIRS = [
@@ -30,11 +31,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="graphloom-")
-        sc.setCheckpointDir(base)
+        sc.setCheckpointDir(base or own_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -93,16 +90,15 @@ def subset_merges(standards: DataFrame) -> DataFrame:
     return fit.groupBy("name").agg(F.max_by("o_name", F.struct(F.length("o_name"), "o_name")).alias("target"))
 
 
-def fixpoint(merges: DataFrame, rounds: int = 32) -> DataFrame:
+def fixpoint(merges: DataFrame) -> DataFrame:
     """name, target with targets followed to their ends by pointer jumping; targets grow in order, so there is no cycle."""
     cur = checkpoint(merges)
-    for _ in range(rounds):
+    while True:
         nxt = cur.select(F.col("name").alias("target"), F.col("target").alias("next"))
         new = checkpoint(cur.join(nxt, "target", "left").select("name", F.coalesce("next", "target").alias("target"), F.col("next").isNotNull().alias("moved")))
         cur = new.select("name", "target")
         if not new.filter("moved").limit(1).count():
-            break
-    return cur
+            return cur
 
 
 def standardize(triples: DataFrame) -> DataFrame:
@@ -167,20 +163,19 @@ def infer(triples: DataFrame) -> DataFrame:
     return dedupe(base.unionByName(more))
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node of it) of an undirected graph with columns a, b: least labels with skipping."""
     both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("c"))
     label = checkpoint(label)
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("c").alias("near"))
         one = label.join(near, label["node"] == near["a"], "left").select("node", F.least("c", F.coalesce("near", "c")).alias("n"), F.col("c").alias("old"))
         top = label.select(F.col("node").alias("n"), F.col("c").alias("top"))
         new = checkpoint(one.join(top, "n", "left").select("node", F.least("n", F.coalesce("top", "n")).alias("c"), "old"))
         label = new.select("node", "c")
         if not new.filter("c <> old").limit(1).count():
-            break
-    return label.select("node", F.col("c").alias("component"))
+            return label.select("node", F.col("c").alias("component"))
 
 
 def undirected(triples: DataFrame) -> DataFrame:
@@ -193,7 +188,7 @@ def degree(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def eigenvector(pairs: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+def eigenvector(pairs: DataFrame, rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
     """node, eigenvector: power iteration on A + I from equal weights."""
     both = checkpoint(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
     x = checkpoint(both.select(F.col("a").alias("node")).distinct().withColumn("x", F.lit(1.0)))
@@ -208,8 +203,8 @@ def eigenvector(pairs: DataFrame, rounds: int = 100, tolerance: float = 1e-6) ->
         moved = raw.agg(F.sum(F.abs(F.col("z") / norm - F.col("x")))).first()[0]
         x = raw.select("node", (F.col("z") / norm).alias("x"))
         if moved < n * tolerance:
-            break
-    return x.select("node", F.col("x").alias("eigenvector"))
+            return x.select("node", F.col("x").alias("eigenvector"))
+    raise ValueError(f"the eigenvector has not settled after {rounds} rounds")
 
 
 def betweenness(pairs: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
@@ -268,7 +263,10 @@ def node_size(metrics: DataFrame) -> DataFrame:
 
 
 def communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """node, community: label propagation with the smallest of the most frequent labels; always the same."""
+    """node, community: label propagation with the smallest of the most frequent labels; always the same.
+
+    Labels only fall, so it ends by itself; `rounds` is how far they spread at most.
+    """
     both = checkpoint(pairs.select("a", "b").union(pairs.select("b", "a")).filter("a <> b").distinct())
     label = checkpoint(degree(pairs).select("node", F.col("node").alias("l")))
     for _ in range(rounds):

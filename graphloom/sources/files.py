@@ -54,13 +54,21 @@ def flatten(df: DataFrame, column: str, prefix: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != column], *[F.col(f"{column}.{n}").alias(prefix + n) for n in names])
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A folder of our own for a local master; on a cluster one that all machines share must be named."""
+    import tempfile
+
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="graphloom-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir), or in one of our own where that is unset."""
-    import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="graphloom-")
+        base = own_folder(spark)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
