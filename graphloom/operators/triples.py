@@ -188,13 +188,16 @@ def degree(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def eigenvector(pairs: DataFrame, rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
-    """node, eigenvector: power iteration on A + I from equal weights."""
+def eigenvector(pairs: DataFrame, rounds: int = 1000, tolerance: float = 1e-6, at_once: int = 1_000_000) -> DataFrame:
+    """node, eigenvector: power iteration on A + I from equal weights; raises if it doesn't settle.
+
+    Graphs of up to `at_once` edges are iterated on the driver, larger ones by a join per round.
+    """
     both = checkpoint(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    if both.count() <= at_once:
+        return _small_eigenvector(both, rounds, tolerance)
     x = checkpoint(both.select(F.col("a").alias("node")).distinct().withColumn("x", F.lit(1.0)))
     n = x.count()
-    if not n:
-        return x.select("node", F.col("x").alias("eigenvector"))
     for _ in range(rounds):
         y = both.join(x, both["b"] == x["node"]).groupBy("a").agg(F.sum("x").alias("y"))
         raw = x.join(y, x["node"] == y["a"], "left").select("node", "x", (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("z"))
@@ -207,6 +210,19 @@ def eigenvector(pairs: DataFrame, rounds: int = 1000, tolerance: float = 1e-6) -
     raise ValueError(f"the eigenvector has not settled after {rounds} rounds")
 
 
+def _small_eigenvector(both: DataFrame, rounds: int, tolerance: float) -> DataFrame:
+    edges = both.toArrow()
+    nodes, at = np.unique(np.concatenate([edges.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]).astype(str), return_inverse=True)
+    a, b, x = at[: edges.num_rows], at[edges.num_rows :], np.ones(len(nodes))
+    for _ in range(rounds):
+        z = x + np.bincount(a, x[b], len(nodes))
+        z /= np.sqrt((z * z).sum()) or 1.0
+        moved, x = np.abs(z - x).sum(), z
+        if moved <= len(nodes) * tolerance:
+            return both.sparkSession.createDataFrame(pa.table({"node": pa.array(nodes.tolist(), pa.string()), "eigenvector": pa.array(x, pa.float64())}))
+    raise ValueError(f"the eigenvector has not settled after {rounds} rounds")
+
+
 def betweenness(pairs: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
     """node, betweenness (normalised): shortest paths from every node, the sources dealt to the tasks.
 

@@ -103,15 +103,15 @@ _MENTIONS_SQL = (
 
 
 def g_doc_entities(spark, sf):
-    """The 20 entities that each of the first ten documents mentions most."""
-    counts = _mentions(spark, sf).filter("doc_id < 10").groupBy("doc_id", "entity").agg(F.count("*").alias("mentions"))
+    """The 20 entities that each document mentions most."""
+    counts = _mentions(spark, sf).groupBy("doc_id", "entity").agg(F.count("*").alias("mentions"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("mentions"), "entity")
     return counts.withColumn("rank", F.row_number().over(w)).filter("rank <= 20").withColumn("rank", F.col("rank").cast("long"))
 
 
 def g_doc_relationships(spark, sf):
     """Pairs of entities that chunks of a document mention together, by frequency over all documents: the first ten."""
-    m = _mentions(spark, sf).filter("doc_id < 50").select("doc_id", "chunk", "entity")
+    m = _mentions(spark, sf).select("doc_id", "chunk", "entity")
     pairs = m.join(m.select("doc_id", "chunk", F.col("entity").alias("other")), ["doc_id", "chunk"]).filter("entity < other")
     g = pairs.groupBy("entity", "other").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
     return g.orderBy(F.desc("n"), "entity", "other").limit(10)
@@ -166,8 +166,8 @@ QUERIES = {name: _pattern(name) for name in patterns.PATTERNS} | {
     "g_viz_recent": (g_viz_recent, GRAPH_SQL + ' SELECT src, type, dst, "when" FROM edges WHERE "when" IS NOT NULL ORDER BY 4 DESC, 1, 3 LIMIT 50'),
     "g_viz_doc": (g_viz_doc, _MENTIONS_SQL + " SELECT doc_id, count(DISTINCT entity) AS entities, count(DISTINCT chunk) AS chunks FROM mentions GROUP BY 1 HAVING count(DISTINCT entity) > 1"),
     "g_entity_types": (g_entity_types, GRAPH_SQL + " SELECT DISTINCT coalesce(labels[3], labels[2], 'Entity') AS entity_type FROM nodes ORDER BY 1 LIMIT 20"),
-    "g_doc_entities": (g_doc_entities, _MENTIONS_SQL + ", c AS (SELECT doc_id, entity, count(*) AS mentions FROM mentions WHERE doc_id < 10 GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, entity) AS rank FROM c) WHERE rank <= 20"),
-    "g_doc_relationships": (g_doc_relationships, _MENTIONS_SQL + " SELECT a.entity, b.entity AS other, count(*) AS n, count(DISTINCT a.doc_id) AS docs FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.chunk = b.chunk AND a.entity < b.entity WHERE a.doc_id < 50 AND b.doc_id < 50 GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10"),
+    "g_doc_entities": (g_doc_entities, _MENTIONS_SQL + ", c AS (SELECT doc_id, entity, count(*) AS mentions FROM mentions GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mentions DESC, entity) AS rank FROM c) WHERE rank <= 20"),
+    "g_doc_relationships": (g_doc_relationships, _MENTIONS_SQL + " SELECT a.entity, b.entity AS other, count(*) AS n, count(DISTINCT a.doc_id) AS docs FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.chunk = b.chunk AND a.entity < b.entity GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10"),
     "g_doc_chunks": (g_doc_chunks, "SELECT doc_id, count(*) AS chunks, round(avg(len(list_filter(string_split(line, ' '), lambda w: w <> ''))), 6) AS avg_words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1"),
     "g_quality_sample": (g_quality_sample, GRAPH_SQL + " SELECT src, type, dst FROM edges WHERE type = 'APPROVED_BY' ORDER BY 1, 3 LIMIT 10"),
     "g_link": (g_link, GRAPH_SQL + ", m AS (SELECT * FROM (VALUES ('RING'), ('NATION_1'), ('small ring 1'), ('nothing')) v(mention)), h AS (SELECT mention, name, lower(name) <> lower(mention) AS k, row_number() OVER (PARTITION BY mention ORDER BY lower(name) <> lower(mention), length(name), name) AS r FROM m JOIN nodes ON contains(lower(name), lower(mention)) WHERE id LIKE 'pt:%' OR id LIKE 'na:%') SELECT mention, name, NOT k AS exact FROM h WHERE r = 1"),

@@ -85,7 +85,7 @@ def reply(c):
 
 SCORE = "CASE WHEN regexp_matches(lower(text), 'invalid|idiot|worthless') THEN 0.3 WHEN contains(lower(text), 'the') THEN 0.9 ELSE 0.8 END::DOUBLE"
 LABELS = "SELECT DISTINCT unnest(labels) AS label FROM nodes"
-CUT = 200
+CUT = 2000
 
 
 def schema_truncate(spark, sf):
@@ -124,7 +124,7 @@ QUERIES = {
     "q_cache": (lambda s, d: questions(s, d).select("qid", F.md5(F.concat(F.lower(F.trim("question")), F.lit("_5"))).alias("key")), f"SELECT qid, md5(lower(trim(question)) || '_5') AS key FROM {QUESTIONS_SQL}"),
     "q_store_result": (lambda s, d: q_select_pattern(s, d).filter("score >= 0.9").select("qid", "pattern"), f"SELECT qid, pattern FROM ({SELECT_SQL}) WHERE score >= 0.9"),
     "q_add_example": (lambda s, d: q_select_pattern(s, d).groupBy("pattern").agg(F.min("qid").alias("qid")), f"SELECT pattern, min(qid) AS qid FROM ({SELECT_SQL}) GROUP BY 1"),
-    "q_fewshot_generate": (lambda s, d: generated(s, d).filter("qid <= 20").join(questions(s, d), "qid").select("qid", F.concat_ws("\n", F.concat(F.lit("Q: "), "question"), F.concat(F.lit("A: "), "query")).alias("example")), f"SELECT qid, 'Q: ' || question || chr(10) || 'A: ' || query AS example FROM ({GENERATED_SQL}) JOIN {QUESTIONS_SQL} USING (qid) WHERE qid <= 20"),
+    "q_fewshot_generate": (lambda s, d: generated(s, d).join(questions(s, d), "qid").select("qid", F.concat_ws("\n", F.concat(F.lit("Q: "), "question"), F.concat(F.lit("A: "), "query")).alias("example")), f"SELECT qid, 'Q: ' || question || chr(10) || 'A: ' || query AS example FROM ({GENERATED_SQL}) JOIN {QUESTIONS_SQL} USING (qid)"),
     "q_domain_context": (lambda s, d: edges(s, d).groupBy(role(F.col("type"), EDGE_ROLES).alias("role")).agg(F.count_distinct("type").alias("types"), F.count("*").alias("edges")), GRAPH_SQL + f" SELECT {role_sql('type', EDGE_ROLES)} AS role, count(DISTINCT type) AS types, count(*) AS edges FROM edges GROUP BY 1"),
     "doc_batch_ocr": (lambda s, d: docs(s, d).select("source", G.ask(F.col("text"), [G.Silent(), G.Echo()])["method"].alias("m")).groupBy("source").agg(F.count("*").alias("files"), F.count("m").alias("succeeded")), "SELECT source, count(*) AS files, count(*) FILTER (trim(text) <> '') AS succeeded FROM documents GROUP BY 1"),
     "kg_quality_reply": (lambda s, d: table(s, d, "conversations").select("conv_id", "turn", reply(F.lower("text")).alias("score")), f"SELECT conv_id, turn, {SCORE} AS score FROM conversations"),

@@ -138,7 +138,7 @@ QUERIES = {
     "p_job_metrics": (lambda s, d: jobs(s, d).select("job_id", F.round(F.try_divide(F.col("done").cast("double"), F.col("files")), 6).alias("success_rate"), F.round(F.try_divide(F.col("files").cast("double"), seconds("started", "ended")), 6).alias("files_per_second")), f"SELECT job_id, round(done::DOUBLE / files, 6) AS success_rate, round(files / nullif({SEC.format('started', 'ended')}, 0), 6) AS files_per_second FROM {JOBS_SQL}"),
     "p_monitor": (lambda s, d: p_latest_status(s, d).groupBy((F.col("percent") < 100).alias("active")).agg(F.count("*").alias("files"), F.count_distinct("job_id").alias("jobs")), f"SELECT percent < 100 AS active, count(*) AS files, count(DISTINCT job_id) AS jobs FROM ({LATEST_SQL}) GROUP BY 1"),
     "p_file_display": (lambda s, d: p_latest_status(s, d).select("job_id", "file_name", F.array_position(F.array(*map(F.lit, ["signup", "view", "click", "purchase", "error"])), F.col("stage")).alias("ordinal")), f"SELECT job_id, file_name, list_position(['signup', 'view', 'click', 'purchase', 'error'], stage)::BIGINT AS ordinal FROM ({LATEST_SQL})"),
-    "p_emit": (lambda s, d: files(s, d).filter("event_id < 100").select(F.to_json(F.struct("job_id", "file_name", "stage")).alias("event")), f"SELECT '{{\"job_id\":' || job_id || ',\"file_name\":\"' || file_name || '\",\"stage\":\"' || stage || '\"}}' AS event FROM {FILES_SQL} WHERE event_id < 100"),
+    "p_emit": (lambda s, d: files(s, d).select(F.to_json(F.struct("job_id", "file_name", "stage")).alias("event")), f"SELECT '{{\"job_id\":' || job_id || ',\"file_name\":\"' || file_name || '\",\"stage\":\"' || stage || '\"}}' AS event FROM {FILES_SQL}"),
     "st_list": (lambda s, d: archive(s, d).orderBy("age_days", "page_id").limit(20).join(pages_text(s, d).select("page_id", F.length("text").cast("long").alias("chars")), "page_id", "left").select("page_id", "file_name", "chars"), f"SELECT page_id, file_name, (SELECT length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r\\v\\f]+', ' ', 'g'))) FROM pages p WHERE p.page_id = a.page_id) AS chars FROM (SELECT * FROM {ARCHIVE_SQL} ORDER BY age_days, page_id LIMIT 20) a"),
     "st_stats": (lambda s, d: archive(s, d).groupBy("dir", "ext").agg(F.count("*").alias("files"), F.round(F.sum("size") / 1048576.0, 6).alias("mb")), f"SELECT dir, ext, count(*) AS files, round(sum(size)::BIGINT / 1048576.0::DOUBLE, 6) AS mb FROM {ARCHIVE_SQL} GROUP BY 1, 2"),
     "st_cleanup": (lambda s, d: archive(s, d).filter("age_days > 20").agg(F.count("*").alias("files"), F.round(F.sum("size") / 1048576.0, 6).alias("mb")), f"SELECT count(*) AS files, round(sum(size)::BIGINT / 1048576.0::DOUBLE, 6) AS mb FROM {ARCHIVE_SQL} WHERE age_days > 20"),

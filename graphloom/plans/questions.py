@@ -170,8 +170,8 @@ QUERIES = {
     "q_fewshot_store": (lambda s, d: questions(s, d).groupBy("question").agg(F.min("qid").alias("qid")).join(questions(s, d).filter("qid <= 50").select("question").distinct(), "question", "left_anti").select("qid"), f"SELECT min(qid) AS qid FROM {QUESTIONS_SQL} WHERE question NOT IN (SELECT question FROM {QUESTIONS_SQL} WHERE qid <= 50) GROUP BY question"),
     "q_cache_stats": (lambda s, d: log(s, d).agg(F.count("*").alias("calls"), F.count_distinct("user_id").alias("size"), F.round(F.try_divide(F.count("*") - F.count_distinct("user_id"), F.count("*")), 6).alias("hit_rate")), "SELECT count(*) AS calls, count(DISTINCT user_id) AS size, round((count(*) - count(DISTINCT user_id)) / count(*)::DOUBLE, 6) AS hit_rate FROM events"),
     "q_relevant_schema": (
-        lambda s, d: questions(s, d).filter("qid <= 100").select("qid", F.explode(F.filter(F.split(F.lower("question"), "[^a-z]+"), lambda w: F.length(w) > 3)).alias("w")).join(F.broadcast(s.createDataFrame([("WorkOrder",), ("Equipment",), ("Part",), ("Technician",), ("Location",), ("Cost",), ("Date",)], "label string")), F.lower("label").contains(F.col("w"))).select("qid", "label").distinct(),
-        f"SELECT DISTINCT qid, label FROM (SELECT qid, unnest(list_filter(regexp_split_to_array({LOW}, '[^a-z]+'), lambda w: length(w) > 3)) AS w FROM {QUESTIONS_SQL} WHERE qid <= 100) JOIN (VALUES ('WorkOrder'), ('Equipment'), ('Part'), ('Technician'), ('Location'), ('Cost'), ('Date')) l(label) ON contains(lower(label), w)",
+        lambda s, d: questions(s, d).select("qid", F.explode(F.filter(F.split(F.lower("question"), "[^a-z]+"), lambda w: F.length(w) > 3)).alias("w")).join(F.broadcast(s.createDataFrame([("WorkOrder",), ("Equipment",), ("Part",), ("Technician",), ("Location",), ("Cost",), ("Date",)], "label string")), F.lower("label").contains(F.col("w"))).select("qid", "label").distinct(),
+        f"SELECT DISTINCT qid, label FROM (SELECT qid, unnest(list_filter(regexp_split_to_array({LOW}, '[^a-z]+'), lambda w: length(w) > 3)) AS w FROM {QUESTIONS_SQL}) JOIN (VALUES ('WorkOrder'), ('Equipment'), ('Part'), ('Technician'), ('Location'), ('Cost'), ('Date')) l(label) ON contains(lower(label), w)",
     ),
     "q_domain_keywords": (lambda s, d: table(s, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).filter(F.length("word") > 2).distinct().orderBy("word").limit(50), "SELECT DISTINCT word FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS word FROM part) WHERE length(word) > 2 ORDER BY 1 LIMIT 50"),
     "q_answer": (q_answer, None),

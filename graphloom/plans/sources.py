@@ -36,7 +36,7 @@ def src_text(spark, sf):
 
 def src_triples_json(spark, sf):
     """Triples written as JSON by hash, read back, and the unique chunks of them."""
-    chunks = doc_chunk_words(spark, sf).filter("doc_id < 50").select(X.chunk_id(F.col("chunk_text")).alias("chunk_id"), "chunk_text")
+    chunks = doc_chunk_words(spark, sf).select(X.chunk_id(F.col("chunk_text")).alias("chunk_id"), "chunk_text")
     rows = chunks.select(F.lit("s").alias("subject"), F.lit("t").alias("subject_type"), F.lit("p").alias("predicate"), F.lit("o").alias("object"), F.lit("t").alias("object_type"), "chunk_id", "chunk_text", F.lit(False).alias("inferred"), F.lit(1.0).alias("confidence"))
     path = S.shared_path(spark, "triples")
     S.write_json(rows, path)
@@ -54,7 +54,7 @@ def summary(spark, sf):
 
 
 def sink_triple_cache(spark, sf):
-    t = triples(spark, sf).filter("ord < 2000000000").withColumn("file_hash", F.substring(F.sha2("subject", 256), 1, 1))
+    t = triples(spark, sf).withColumn("file_hash", F.substring(F.sha2("subject", 256), 1, 1))
     path = S.shared_path(spark, "cache")
     S.write_triple_cache(t.select("subject", "predicate", "object", "file_hash"), path, "file_hash")
     return spark.read.schema("subject string, predicate string, object string, file_hash string").json(path).groupBy("file_hash").agg(F.count("*").alias("n"))
@@ -99,11 +99,11 @@ def export_vector(spark, sf):
 WIN = "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 QUERIES = {
     "src_text": (src_text, None),
-    "src_triples_json": (src_triples_json, f"SELECT chunk_id, min(chunk_text) AS chunk_text FROM (SELECT 'chunk_' || sha256(chunk_text)[1:16] AS chunk_id, chunk_text FROM ({CHUNKS_SQL}) WHERE doc_id < 50) WHERE trim(chunk_text) <> '' GROUP BY 1"),
+    "src_triples_json": (src_triples_json, f"SELECT chunk_id, min(chunk_text) AS chunk_text FROM (SELECT 'chunk_' || sha256(chunk_text)[1:16] AS chunk_id, chunk_text FROM ({CHUNKS_SQL})) WHERE trim(chunk_text) <> '' GROUP BY 1"),
     "src_triple_cache": (cache_probe, "SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)"),
     "src_ocr_llm": (lambda s, d: docs(s, d).select("doc_id", G.ask(F.col("text"), [G.Silent(), G.Echo()]).alias("a")).select("doc_id", F.length("a.answer").cast("long").alias("chars"), F.col("a.method").alias("method")), "SELECT doc_id, CASE WHEN trim(text) <> '' THEN length(text) END AS chars, CASE WHEN trim(text) <> '' THEN 'echo' END AS method FROM documents"),
     "src_audit": (lambda s, d: table(s, d, "events").filter("event_type = 'error'").select("event_id", "user_id"), "SELECT event_id, user_id FROM events WHERE event_type = 'error'"),
-    "sink_triple_cache": (sink_triple_cache, TRIPLES_SQL.replace("FROM t WHERE trim", "FROM t WHERE ord < 2000000000 AND trim") + " SELECT sha256(subject)[1:1] AS file_hash, count(*) AS n FROM t WHERE ord < 2000000000 GROUP BY 1"),
+    "sink_triple_cache": (sink_triple_cache, TRIPLES_SQL + " SELECT sha256(subject)[1:1] AS file_hash, count(*) AS n FROM t GROUP BY 1"),
     "sink_batch_csv": (lambda s, d: written(s, summary(s, d), "summary", "csv"), "SELECT doc_id, round(octet_length(encode(text)) / 1024.0::DOUBLE, 2) AS size_kb, length(text) > 0 AS success FROM documents"),
     "sink_metadata_json": (lambda s, d: written(s, docs(s, d).select("doc_id", "lang", "source"), "metadata", "json"), "SELECT doc_id, lang, source FROM documents"),
     "sink_job_json": (lambda s, d: written(s, table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")), "jobs", "json"), "SELECT user_id, count(*) AS n FROM events GROUP BY 1"),
@@ -123,7 +123,7 @@ QUERIES = {
     "json_extract": (lambda s, d: table(s, d, "events").select("event_id", C.json_extract(F.concat(F.lit("Answer: ```json\n["), "props", F.lit(",]\n``` done"))).alias("j")).select("event_id", F.get_json_object("j", "$[0].k").cast("long").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
     "g_link_fuzzy": (lambda s, d: table(s, d, "nation").select("n_name", C.fuzzy(F.col("n_name"), F.lit("nation 1")).alias("score")), None),
     "kg_extract_llm": (kg_extract_llm, None),
-    "v_embed": (lambda s, d: docs(s, d).filter("doc_id < 100").select("doc_id", F.round(F.aggregate(G.embed(F.col("text")), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm")), "SELECT doc_id, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM documents WHERE doc_id < 100"),
+    "v_embed": (lambda s, d: docs(s, d).select("doc_id", F.round(F.aggregate(G.embed(F.col("text")), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm")), "SELECT doc_id, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM documents"),
     "stream_tumbling": (stream(R.tumbling), WIN),
     "stream_sliding": (stream(R.sliding), "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS start FROM events) GROUP BY 1"),
     "stream_sessions": (stream(R.sessions), "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"),

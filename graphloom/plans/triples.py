@@ -75,7 +75,7 @@ def kg_entity_details(spark, sf):
 
 
 def kg_type_compat(spark, sf):
-    d = K.entity_details(valid(spark, sf)).filter("name < 'brand#2' OR name LIKE 'nation%'").select("name", "types")
+    d = K.entity_details(valid(spark, sf)).select("name", "types")
     k = d.select("types", F.array_join("types", "|").alias("t")).groupBy("t").agg(F.first("types").alias("types"))
     pairs = k.join(k.select(F.col("t").alias("u"), F.col("types").alias("other")), F.col("t") <= F.col("u"))  # a few distinct lists of types
     return pairs.select("t", "u", K.compatible(F.col("types"), F.col("other")).alias("compatible"))
@@ -113,13 +113,14 @@ def kg_apply_map(spark, sf):
 
 
 def kg_components(spark, sf):
-    return K.components(K.undirected(valid(spark, sf).filter("ord < 2000000000")))
+    return K.components(K.undirected(valid(spark, sf)))
 
 
 def kg_node_size(spark, sf):
-    d = K.degree(K.undirected(valid(spark, sf)))
-    m = d.select("node", "degree", F.lit(0.0).alias("betweenness"), F.lit(0.0).alias("eigenvector"))
-    return K.node_size(m).select("node", F.round("size", 6).alias("size"))
+    """Sizes of all nodes from their degree, betweenness and eigenvector value."""
+    pairs = K.checkpoint(K.undirected(valid(spark, sf)))
+    metrics = K.degree(pairs).join(K.betweenness(pairs), "node").join(K.eigenvector(pairs), "node")
+    return K.node_size(metrics).select("node", F.round("size", 4).alias("size"))
 
 
 def kg_graph_summary(spark, sf):
@@ -168,7 +169,7 @@ QUERIES = {
     "kg_validate3": (kg_validate3, SQL + " SELECT ord, CASE WHEN ord % 2 = 0 THEN subject_type ELSE 'Unknown' END AS subject_type FROM valid"),
     "kg_entity_details": (kg_entity_details, SQL + " SELECT name, array_to_string(casings, '|') AS casings, array_to_string(types, '|') AS types, mentions FROM details"),
     "kg_group_normalized": (lambda s, d: K.normal_groups(K.entity_details(valid(s, d))), SQL + GROUPS + " SELECT name, standard FROM groups"),
-    "kg_type_compat": (kg_type_compat, SQL + ", k AS (SELECT DISTINCT types, array_to_string(types, '|') AS t FROM details WHERE name < 'brand#2' OR name LIKE 'nation%') SELECT a.t, b.t AS u, (len(a.types) = 0 OR len(b.types) = 0 OR EXISTS (SELECT 1 FROM unnest(a.types) p(x), unnest(b.types) r(y) WHERE x = y OR " + ALLOWED + ")) AS compatible FROM k a JOIN k b ON a.t <= b.t"),
+    "kg_type_compat": (kg_type_compat, SQL + ", k AS (SELECT DISTINCT types, array_to_string(types, '|') AS t FROM details) SELECT a.t, b.t AS u, (len(a.types) = 0 OR len(b.types) = 0 OR EXISTS (SELECT 1 FROM unnest(a.types) p(x), unnest(b.types) r(y) WHERE x = y OR " + ALLOWED + ")) AS compatible FROM k a JOIN k b ON a.t <= b.t"),
     "kg_merge_subset": (kg_merge_subset, SQL + MERGES.format("details") + " SELECT * FROM merges"),
     "kg_fixpoint": (kg_fixpoint, SQL + MERGES.format("details") + FIX + " SELECT * FROM ended"),
     "kg_apply_map": (kg_apply_map, SQL + GROUPS + " SELECT ord, a.standard AS subject, b.standard AS object FROM valid JOIN groups a ON a.name = lower(subject) JOIN groups b ON b.name = lower(object)"),
@@ -182,9 +183,9 @@ QUERIES = {
         lambda s, d: K.infer(valid(s, d).filter("ord < 2000000000")).select("subject", "predicate", "object", "inferred"),
         (SQL + TRANSITIVE + LEXICAL + ", x AS (SELECT subject, predicate, object, false AS inferred FROM valid UNION SELECT subject, predicate, object, true FROM trans UNION SELECT subject, predicate, object, true FROM lex) SELECT subject, predicate, object, bool_and(inferred) AS inferred FROM x GROUP BY 1, 2, 3").replace("trim(object) <> '')", "trim(object) <> '' AND ord < 2000000000)"),
     ),
-    "kg_components": (kg_components, (SQL + UNDIRECTED + ", both_ AS (SELECT a, b FROM u UNION SELECT b, a FROM u), reach AS (SELECT a AS node, a AS c FROM both_ UNION SELECT b.a, r.c FROM reach r JOIN both_ b ON b.b = r.node WHERE r.c < b.a) SELECT node, min(c) AS component FROM reach GROUP BY 1").replace("trim(object) <> '')", "trim(object) <> '' AND ord < 2000000000)")),
+    "kg_components": (kg_components, (SQL + UNDIRECTED + ", both_ AS (SELECT a, b FROM u UNION SELECT b, a FROM u), reach AS (SELECT a AS node, a AS c FROM both_ UNION SELECT b.a, r.c FROM reach r JOIN both_ b ON b.b = r.node WHERE r.c < b.a) SELECT node, min(c) AS component FROM reach GROUP BY 1")),
     "kg_degree": (lambda s, d: K.degree(K.undirected(valid(s, d))), SQL + DEGREE + " SELECT * FROM d"),
-    "kg_node_size": (kg_node_size, SQL + DEGREE + " SELECT node, round(10 + 20 * 0.5 * degree / (SELECT max(degree) FROM d)::DOUBLE, 6) AS size FROM d"),
+    "kg_node_size": (kg_node_size, None),
     "kg_louvain": (lambda s, d: K.communities(K.undirected(valid(s, d))), None),
     "kg_community_fallback": (lambda s, d: K.degree(K.undirected(valid(s, d))).select("node", (F.col("degree") % 8).alias("community")), SQL + DEGREE + " SELECT node, degree % 8 AS community FROM d"),
     "kg_betweenness": (lambda s, d: K.betweenness(K.undirected(valid(s, d))).select("node", F.round("betweenness", 6).alias("betweenness")), None),

@@ -35,3 +35,48 @@ def test_candidates_within_come_from_the_largest_components(spark, sf):
     own = {r["node"].lower(): r["component"] for r in K.components(K.undirected(valid(spark, sf))).collect()}
     got = QUERIES["kg_infer_within_llm"](spark, sf).collect()
     assert all(own[r["subject"]] == own[r["object"]] and own[r["subject"]] in top for r in got)
+
+
+def test_node_sizes_and_their_parts_equal_brute_force(spark, sf):
+    pairs = [(r["a"], r["b"]) for r in K.undirected(valid(spark, sf)).collect()]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    nodes = sorted(near)
+    degree = {v: sum((a == v) + (b == v) for a, b in pairs) for v in nodes}
+
+    def shortest(s):
+        """Distances and numbers of shortest paths from s."""
+        dist, paths, front = {s: 0}, {s: 1}, [s]
+        while front:
+            new = {}
+            for v in front:
+                for w in near[v] - {v}:
+                    if w not in dist:
+                        new[w] = new.get(w, 0) + paths[v]
+            dist |= dict.fromkeys(new, dist[front[0]] + 1)
+            paths |= new
+            front = list(new)
+        return dist, paths
+
+    every = {s: shortest(s) for s in nodes}
+    between = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        for t in every[s][0]:
+            for v in every[s][0]:
+                if len({s, t, v}) == 3 and every[s][0][v] + every[v][0].get(t, 1 << 30) == every[s][0][t]:
+                    between[v] += every[s][1][v] * every[v][1][t] / every[s][1][t] / ((len(nodes) - 1) * (len(nodes) - 2))
+    x = dict.fromkeys(nodes, 1.0)
+    for _ in range(3000):
+        y = {v: x[v] + sum(x[w] for w in near[v]) for v in nodes}
+        norm = sum(z * z for z in y.values()) ** 0.5
+        x = {v: z / norm for v, z in y.items()}
+    got = {r["node"]: r["betweenness"] for r in QUERIES["kg_betweenness"](spark, sf).collect()}
+    assert got.keys() == between.keys() and all(abs(got[v] - between[v]) < 2e-6 for v in nodes)
+    got = {r["node"]: r["eigenvector"] for r in QUERIES["kg_eigenvector"](spark, sf).collect()}
+    assert got.keys() == x.keys() and all(abs(got[v] - x[v]) < 2e-3 for v in nodes)
+    top = [max(m.values()) for m in (degree, between, x)]
+    size = {v: 10 + 20 * (0.5 * degree[v] / top[0] + 0.3 * between[v] / top[1] + 0.2 * x[v] / top[2]) for v in nodes}
+    got = {r["node"]: r["size"] for r in QUERIES["kg_node_size"](spark, sf).collect()}
+    assert got.keys() == size.keys() and all(abs(got[v] - size[v]) < 0.05 for v in nodes)
