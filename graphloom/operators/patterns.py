@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.triples import checkpoint
+from graphloom.sources.store import stored
 
 
 @dataclass(frozen=True)
@@ -212,19 +212,24 @@ def _foldable(p: Pattern, h: Hop) -> bool:
 FOLDED = {"set": "names", "types": "types", "count": "ids"}
 
 
-def _fold(p: Pattern, h: Hop, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """f and, per output of the hop and of those behind it, the distinct values as an array.
+def _fold(p: Pattern, h: Hop, nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """f and, per output of the hop and of those behind it, the distinct values as an array, for the nodes of `starts` (f).
 
-    Hops that leave one node don't multiply each other's rows: each is folded for itself.
+    Hops that leave one node don't multiply each other's rows: each is folded for itself,
+    from the nodes that are reached and no others.
     """
-    rows = _steps(edges, h).select("f", F.col("t").alias("id"), "type").join(_labelled(nodes, h.labels).select("id", "name"), "id")
+    rows = _steps(edges, h, starts).select("f", F.col("t").alias("id"), "type").join(_labelled(nodes, h.labels).select("id", "name"), "id")
+    behind = [c for c in p.hops if c.at == h.to]
+    if behind:
+        rows = stored(rows, "pattern-fold")
     parts = {"names": F.collect_set("name"), "types": F.collect_set("type"), "ids": F.collect_set("id")}
     asked = {FOLDED[k] for _, k, n in p.out if n == h.to}
     aggregates = [parts[k].alias(f"{h.to}_{k}") for k in sorted(asked)]
-    for c in (c for c in p.hops if c.at == h.to):
-        behind = _fold(p, c, nodes, edges).withColumnRenamed("f", "id")
-        rows = rows.join(behind, "id", "left")
-        aggregates += [_union(x).alias(x) for x in behind.columns if x != "id"]
+    reached = rows.select(F.col("id").alias("f")).distinct()
+    for c in behind:
+        further = _fold(p, c, nodes, edges, reached).withColumnRenamed("f", "id")
+        rows = rows.join(further, "id", "left")
+        aggregates += [_union(x).alias(x) for x in further.columns if x != "id"]
     return rows.groupBy("f").agg(*aggregates) if aggregates else rows.select("f").distinct()
 
 
@@ -237,23 +242,27 @@ def run(p: Pattern, nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame
     low = F.lower("name")
     asked = reduce(lambda a, b: a | b, [low.contains(F.lower(F.lit(w))) for w in (value, *p.words)])
     rows = _named(_labelled(nodes, p.labels).filter(asked), p.start)
-    folded: set[str] = set()
+    folds, folded = [], set()
     for h in p.hops:
         if h.at in folded or _foldable(p, h):
+            folds += [] if h.at in folded else [h]
             folded.add(h.to)
-            if h.at not in folded:
-                rows = rows.join(_fold(p, h, nodes, edges).withColumnRenamed("f", f"{h.at}_id"), f"{h.at}_id", "left")
             continue
         starts = None
-        if h.reach > 1:  # walks begin at the nodes that are reached, which a checkpoint keeps out of the walks' plan
-            rows = checkpoint(rows)
-            starts = rows.select(F.col(f"{h.at}_id").alias("f"))
+        if h.reach > 1:  # walks begin at the nodes that are reached, which a table keeps out of the walks' plan
+            rows = stored(rows, "pattern-rows")
+            starts = rows.select(F.col(f"{h.at}_id").alias("f")).distinct()
         steps = _steps(edges, h, starts).select(
             F.col("f").alias(f"{h.at}_id"), F.col("t").alias(f"{h.to}_id"),
             *[F.col(c).alias(f"{h.to}_{c}") for c in ("type", "depth", "when", "status")],
         )
         ends = steps.join(_named(_labelled(nodes, h.labels), h.to), f"{h.to}_id")
         rows = rows.join(ends, f"{h.at}_id", "left" if h.optional else "inner")
+    if folds:
+        rows = reached = stored(rows, "pattern-rows")
+        for h in folds:
+            starts = reached.select(F.col(f"{h.at}_id").alias("f")).distinct()
+            rows = rows.join(_fold(p, h, nodes, edges, starts).withColumnRenamed("f", f"{h.at}_id"), f"{h.at}_id", "left")
 
     def grouped(kind: str, node: str) -> Column:
         if node not in folded:

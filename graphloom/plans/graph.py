@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import patterns
+from graphloom.sources.store import graph
 from graphloom.sources.tables import GRAPH_SQL, edges, nodes, table
 
 #: Search values of the pattern queries, over the names of the tables at hand.
@@ -19,7 +20,7 @@ VALUES = {
 
 def _pattern(name: str):
     p, value = patterns.PATTERNS[name], VALUES[name]
-    return lambda spark, sf: patterns.run(p, nodes(spark, sf), edges(spark, sf), value), GRAPH_SQL + patterns.sql(p, value)
+    return lambda spark, sf: patterns.run(p, *graph(spark, sf), value), GRAPH_SQL + patterns.sql(p, value)
 
 
 def related_facts(n, e, name: str, types=None):
@@ -48,9 +49,9 @@ def g_rel_frequency(spark, sf):
 
 
 def g_common_patterns(spark, sf):
-    n = nodes(spark, sf)
+    n, e = graph(spark, sf)
     first = lambda k, c: n.select(F.col("id").alias(k), F.element_at("labels", 2).alias(c))
-    rows = edges(spark, sf).join(first("src", "source_label"), "src").join(first("dst", "target_label"), "dst")
+    rows = e.join(first("src", "source_label"), "src").join(first("dst", "target_label"), "dst")
     return rows.groupBy("source_label", "type", "target_label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_label", "type", "target_label").limit(20)
 
 
@@ -66,10 +67,11 @@ def g_label_props(spark, sf):
 
 def g_viz_degree(spark, sf):
     """Nodes with more than two edges, with their degrees: the 100 largest."""
-    e = edges(spark, sf)
+    n, e = graph(spark, sf)
     ends = e.select(F.col("src").alias("id")).unionAll(e.select(F.col("dst").alias("id")))
     d = ends.groupBy("id").agg(F.count("*").alias("degree")).filter("degree > 2")
-    return d.join(nodes(spark, sf).select("id", "name"), "id").orderBy(F.desc("degree"), "id").limit(100)
+    named = d.join(n.select("id"), "id", "left_semi").orderBy(F.desc("degree"), "id").limit(100)  # names only for those
+    return F.broadcast(named).join(n.select("id", "name"), "id").orderBy(F.desc("degree"), "id")
 
 
 def g_viz_all(spark, sf):
@@ -144,11 +146,11 @@ def g_sanitized_merge(spark, sf):
 
 QUERIES = {name: _pattern(name) for name in patterns.PATTERNS} | {
     "g_related_facts": (
-        lambda spark, sf: related_facts(nodes(spark, sf), edges(spark, sf), "WO-7"),
+        lambda spark, sf: related_facts(*graph(spark, sf), "WO-7"),
         GRAPH_SQL + ", me AS (SELECT id, name FROM nodes WHERE lower(name) = 'wo-7') SELECT me.name AS subject, type, o.name AS object FROM me JOIN edges ON src = me.id JOIN nodes o ON o.id = dst UNION SELECT o.name, type, me.name FROM me JOIN edges ON dst = me.id JOIN nodes o ON o.id = src",
     ),
     "g_related_facts_typed": (
-        lambda spark, sf: related_facts(nodes(spark, sf), edges(spark, sf), "WO-7", ["ASSIGNED_TO", "PROVIDES"]),
+        lambda spark, sf: related_facts(*graph(spark, sf), "WO-7", ["ASSIGNED_TO", "PROVIDES"]),
         GRAPH_SQL + ", me AS (SELECT id, name FROM nodes WHERE lower(name) = 'wo-7'), f AS (SELECT * FROM edges WHERE type IN ('ASSIGNED_TO', 'PROVIDES')) SELECT me.name AS subject, type, o.name AS object FROM me JOIN f ON src = me.id JOIN nodes o ON o.id = dst UNION SELECT o.name, type, me.name FROM me JOIN f ON dst = me.id JOIN nodes o ON o.id = src",
     ),
     "g_stats": (

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from graphloom.functions import questions as Q
 from graphloom.operators import patterns as P
 from graphloom.plans.text import q
-from graphloom.sources.tables import edges, nodes, table
+from graphloom.sources.store import graph
+from graphloom.sources.tables import table
 
 TEMPLATES = [
     "Who maintains the {0} pump {1}?", "What is the total cost of WO-{1}?", "How many {0} parts are in stock of ring {1} in the warehouse?", "Where is the {0} stored in building {1}?",
@@ -121,7 +122,7 @@ MATCH_SQL = f"SELECT qid, pattern, score FROM (SELECT *, row_number() OVER (PART
 def q_answer(spark, sf):
     """The first question of each class, compiled and answered: the facts of its pattern."""
     rows = q_select_pattern(spark, sf).join(questions(spark, sf), "qid").groupBy("pattern").agg(F.min_by("question", "qid").alias("question")).select("pattern", "question", *[Q.parameter(F.col("question"), k).alias(k) for k in Q.EXTRACTORS]).orderBy("pattern").limit(14).collect()  # one per pattern
-    n, e = nodes(spark, sf), edges(spark, sf)
+    n, e = graph(spark, sf)
     out = None
     names = list(P.PATTERNS)
     for r in rows:
