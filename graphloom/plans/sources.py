@@ -84,9 +84,9 @@ def kg_extract_llm(spark, sf):
     return G.extract_triples(docs(spark, sf)).groupBy("predicate").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("subjects"))
 
 
-def stream(result, mode="complete"):
+def stream(result, mode="update", *keys):
     def run(spark, sf):
-        return R.run(result(R.source(spark, sf)), "stream_" + S.shared_path(spark, "q")[-32:], mode)
+        return R.run(result(R.source(spark, sf)), S.shared_path(spark, "stream"), mode, keys)
 
     return run
 
@@ -124,9 +124,9 @@ QUERIES = {
     "g_link_fuzzy": (lambda s, d: table(s, d, "nation").select("n_name", C.fuzzy(F.col("n_name"), F.lit("nation 1")).alias("score")), None),
     "kg_extract_llm": (kg_extract_llm, None),
     "v_embed": (lambda s, d: docs(s, d).select("doc_id", F.round(F.aggregate(G.embed(F.col("text")), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm")), "SELECT doc_id, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM documents"),
-    "stream_tumbling": (stream(R.tumbling), WIN),
-    "stream_sliding": (stream(R.sliding), "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS start FROM events) GROUP BY 1"),
-    "stream_sessions": (stream(R.sessions), "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"),
-    "stream_latest": (stream(R.latest), "SELECT user_id, ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
+    "stream_tumbling": (stream(R.tumbling, "update", "start", "event_type"), WIN),
+    "stream_sliding": (stream(R.sliding, "update", "start"), "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS start FROM events) GROUP BY 1"),
+    "stream_sessions": (stream(R.sessions, "complete"), "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"),
+    "stream_latest": (stream(R.latest, "update", "user_id"), "SELECT user_id, ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
     "stream_once": (stream(lambda e: R.once(e).select("event_id"), "append"), "SELECT DISTINCT event_id FROM events"),
 }

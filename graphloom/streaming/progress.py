@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -35,17 +36,36 @@ def once(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def latest(events: DataFrame) -> DataFrame:
-    """The last event of each user: a keyed state that an update-mode sink merges."""
+    """The last event of each user: one row of state per user, whatever the number of events; in update mode."""
     return events.groupBy("user_id").agg(F.max_by(F.struct("event_type", "value"), F.struct("ts", "event_id")).alias("e"), F.max("ts").alias("ts")).select("user_id", "ts", "e.event_type", "e.value")
 
 
-def run(result: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Work off what is there into an in-memory table, and return it."""
-    q = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run(result: DataFrame, folder: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Work off what is there into Parquet under a shared folder, and return the rows that stand in the end.
+
+    Each batch has a folder of its own, which a repeated batch writes anew, and state that
+    the watermark closes is given up in the modes append and update. Of updates the last
+    batch of each key counts; of complete results the last batch.
+    """
+    spark = result.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    q = result.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
         if q.exception():
             raise q.exception()
     finally:
         q.stop()
-    return result.sparkSession.table(name)
+    spark.createDataFrame([], result.schema).write.mode("ignore").parquet(f"{folder}/rows/batch=-1")  # also where no file had come
+    numbered = StructType([*result.schema.fields, StructField("batch", LongType())])
+    rows = spark.read.schema(numbered).parquet(f"{folder}/rows")
+    if mode == "append":
+        return rows.drop("batch")
+    if mode == "complete":
+        return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
+    values = [c for c in result.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*[F.col(c if c in keys else f"last.{c}").alias(c) for c in result.columns])
