@@ -124,7 +124,7 @@ def kg_node_size(spark, sf):
 
 
 def kg_graph_summary(spark, sf):
-    t = K.infer(valid(spark, sf).filter("ord < 2000000000"))
+    t = K.infer(valid(spark, sf))
     nodes = t.select("subject").union(t.select("object")).distinct().agg(F.count("*").alias("nodes"))
     e = t.agg(F.count("*").alias("edges"), F.count_if(~F.col("inferred")).alias("original"), F.count_distinct(F.when(F.col("inferred"), F.struct("subject", "object"))).alias("inferred_pairs"))
     return nodes.crossJoin(e)
@@ -177,11 +177,11 @@ QUERIES = {
     "kg_unique_entities": (lambda s, d: valid(s, d).select(F.col("subject").alias("name")).union(valid(s, d).select("object")).distinct(), SQL + " SELECT subject AS name FROM valid UNION SELECT object FROM valid"),
     "kg_predicate_top": (lambda s, d: triples(s, d).groupBy("predicate").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "predicate").limit(5), SQL + " SELECT predicate, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5"),
     "kg_transitive": (lambda s, d: K.transitive(valid(s, d)), SQL + TRANSITIVE + " SELECT *, true AS inferred, 0.7::DOUBLE AS confidence FROM trans"),
-    "kg_lexical": (lambda s, d: K.lexical(valid(s, d).filter("ord < 2000000000 OR ord % 7 = 0")), (SQL + LEXICAL + " SELECT *, true AS inferred, 0.4::DOUBLE AS confidence FROM lex").replace("trim(object) <> '')", "trim(object) <> '' AND (ord < 2000000000 OR ord % 7 = 0))")),
+    "kg_lexical": (lambda s, d: K.lexical(valid(s, d)), (SQL + LEXICAL + " SELECT *, true AS inferred, 0.4::DOUBLE AS confidence FROM lex")),
     "kg_dedupe": (kg_dedupe, SQL + " SELECT predicate, count(*) AS n, 0::BIGINT AS inferred, min(ord) AS first FROM (SELECT subject, predicate, object, min(ord) AS ord FROM valid GROUP BY 1, 2, 3) GROUP BY 1"),
     "kg_infer": (
-        lambda s, d: K.infer(valid(s, d).filter("ord < 2000000000")).select("subject", "predicate", "object", "inferred"),
-        (SQL + TRANSITIVE + LEXICAL + ", x AS (SELECT subject, predicate, object, false AS inferred FROM valid UNION SELECT subject, predicate, object, true FROM trans UNION SELECT subject, predicate, object, true FROM lex) SELECT subject, predicate, object, bool_and(inferred) AS inferred FROM x GROUP BY 1, 2, 3").replace("trim(object) <> '')", "trim(object) <> '' AND ord < 2000000000)"),
+        lambda s, d: K.infer(valid(s, d)).select("subject", "predicate", "object", "inferred"),
+        (SQL + TRANSITIVE + LEXICAL + ", x AS (SELECT subject, predicate, object, false AS inferred FROM valid UNION SELECT subject, predicate, object, true FROM trans UNION SELECT subject, predicate, object, true FROM lex) SELECT subject, predicate, object, bool_and(inferred) AS inferred FROM x GROUP BY 1, 2, 3"),
     ),
     "kg_components": (kg_components, (SQL + UNDIRECTED + ", both_ AS (SELECT a, b FROM u UNION SELECT b, a FROM u), reach AS (SELECT a AS node, a AS c FROM both_ UNION SELECT b.a, r.c FROM reach r JOIN both_ b ON b.b = r.node WHERE r.c < b.a) SELECT node, min(c) AS component FROM reach GROUP BY 1")),
     "kg_degree": (lambda s, d: K.degree(K.undirected(valid(s, d))), SQL + DEGREE + " SELECT * FROM d"),
@@ -190,7 +190,7 @@ QUERIES = {
     "kg_community_fallback": (lambda s, d: K.degree(K.undirected(valid(s, d))).select("node", (F.col("degree") % 8).alias("community")), SQL + DEGREE + " SELECT node, degree % 8 AS community FROM d"),
     "kg_betweenness": (lambda s, d: K.betweenness(K.undirected(valid(s, d))).select("node", F.round("betweenness", 6).alias("betweenness")), None),
     "kg_eigenvector": (lambda s, d: K.eigenvector(K.undirected(valid(s, d))).select("node", F.round("eigenvector", 6).alias("eigenvector")), None),
-    "kg_graph_summary": (kg_graph_summary, (SQL + TRANSITIVE + LEXICAL + ", x AS (SELECT subject, predicate, object, false AS inferred FROM valid UNION SELECT subject, predicate, object, true FROM trans UNION SELECT subject, predicate, object, true FROM lex), y AS (SELECT subject, predicate, object, bool_and(inferred) AS inferred FROM x GROUP BY 1, 2, 3) SELECT (SELECT count(*) FROM (SELECT subject FROM y UNION SELECT object FROM y)) AS nodes, count(*) AS edges, count(*) FILTER (NOT inferred) AS original, count(DISTINCT CASE WHEN inferred THEN subject || chr(1) || object END) AS inferred_pairs FROM y").replace("trim(object) <> '')", "trim(object) <> '' AND ord < 2000000000)")),
+    "kg_graph_summary": (kg_graph_summary, (SQL + TRANSITIVE + LEXICAL + ", x AS (SELECT subject, predicate, object, false AS inferred FROM valid UNION SELECT subject, predicate, object, true FROM trans UNION SELECT subject, predicate, object, true FROM lex), y AS (SELECT subject, predicate, object, bool_and(inferred) AS inferred FROM x GROUP BY 1, 2, 3) SELECT (SELECT count(*) FROM (SELECT subject FROM y UNION SELECT object FROM y)) AS nodes, count(*) AS edges, count(*) FILTER (NOT inferred) AS original, count(DISTINCT CASE WHEN inferred THEN subject || chr(1) || object END) AS inferred_pairs FROM y")),
     "kg_infer_cross_llm": (candidates_cross, None),
     "kg_infer_within_llm": (candidates_within, None),
     "kg_pipeline": (entry_summary, None),
