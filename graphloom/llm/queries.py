@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm import bpe, embeddings, jaccard, licenses, packing, quality, rules, substring, tokenfile, toxicity
+from graphloom.llm import bpe, embeddings, jaccard, licenses, packing, periodic, quality, rules, substring, tokenfile, toxicity
 from graphloom.llm.common import held_out, new_path, raw, small_batches
 
 #: The public tokenizer of the token queries, and the ids of its end markers.
@@ -96,8 +98,35 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.duplicates(table(spark, sf_dir, "documents"), within=False)
 
 
+@F.arrow_udf(T.BinaryType())
+def _with_planted_period(texts: pa.Array, h: pa.Array) -> pa.Array:
+    """The contract's texts: with a hash that 10 divides, the words from a on repeat a period of p words."""
+    out = []
+    for text, x in zip(texts, h.to_pylist()):
+        text = text.as_py()
+        if x is not None and x % 10 == 0 and (words := text.split()):
+            n, g = len(words), x // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            text = b" ".join([*words[:a], *(words[a + i % p] for i in range(n - a))])
+        out.append(text)
+    return pa.array(out, pa.binary())
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each text (periods planted as the contract says; a null doc_id plants none), the strongest, and digests of all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _with_planted_period(raw("text"), F.crc32(F.col("doc_id").cast("string").cast("binary"))).alias("text"))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return periodic.runs(docs).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_embedding_dedup, op4_quality_rules, op5_ngram_jaccard, op6_bpe, op7_token_files, op8_packing, op9_license_scan, op10_substring_dedup)
+    f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_embedding_dedup, op4_quality_rules, op5_ngram_jaccard, op6_bpe, op7_token_files, op8_packing, op9_license_scan, op10_substring_dedup, op12_periodic_runs)
 }
 
 #: Words as the contracts have them: runs of anything but ASCII white space.
