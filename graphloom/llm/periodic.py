@@ -32,6 +32,8 @@ from graphloom.llm.common import TEXT_BYTES, by_bytes, bytes_of, hash_words, raw
 
 #: Words and periods of a run, as queries use them; words of an interval that is compared lag by lag (`times` is 2 or more).
 LEAST, TIMES, LEAF = 6, 4, 128
+#: Values of a Z-function that are found for all places at once; lags that a stretch within a run is compared at instead of being halved.
+SHORT, LAGS = 8, 64
 
 RESULT = "struct<runs: array<struct<start: bigint, length: bigint, period: bigint>>, collapsed: binary>"
 
@@ -117,28 +119,37 @@ def agree(s: np.ndarray, i: int, j: int) -> int:
 def z_function(s: np.ndarray) -> np.ndarray:
     """For each place, how many words from there on equal those from the start on.
 
-    Within the stretch known to equal the start, values are copied from the start as one
-    slice, up to the first place whose value reaches the stretch's end.
+    Values under SHORT come from comparing all places word by word. Of the others, within
+    the stretch known to equal the start, values are copied from the start as one slice,
+    up to the first place whose value reaches the stretch's end.
     """
     n = len(s)
     z = np.zeros(n, np.int64)
     if not n:
         return z
-    z[0] = n
-    heads = np.flatnonzero(s == s[0])
-    i, known, k = (int(heads[1]) if len(heads) > 1 else n), 0, 1
+    heads, k = np.flatnonzero(s == s[0])[1:], 1
+    while len(heads) and k < SHORT:
+        z[heads] = k
+        heads = heads[heads < n - k]
+        heads = heads[s[heads + k] == s[k]]
+        k += 1
+    z[0], place = n, np.arange(n)
+    i, known = (int(heads[0]) if len(heads) else n), 0
     while i < n:
         size = known + (agree(s, i + known, known) if i + known < n else 0)
         z[i] = size
-        inner = z[1:size]
-        reach = inner >= np.arange(size - 1, 0, -1)
-        stop = int(reach.argmax()) if len(reach) else 0
-        if len(reach) and reach[stop]:
-            z[i + 1 : i + 1 + stop] = inner[:stop]
-            i, known = i + 1 + stop, size - 1 - stop
-        else:
-            z[i + 1 : i + size] = inner
-            k = int(np.searchsorted(heads, i + max(size, 1)))
+        at, step, stop = 1, 32, size  # the first value that reaches the end, by slices of growing size
+        while at < size and stop == size:
+            to = min(size, at + step)
+            reach = z[at:to] >= size - place[at:to]
+            first = int(reach.argmax())
+            if reach[first]:
+                stop = at + first
+            at, step = to, step * 4
+        z[i + 1 : i + stop] = z[1:stop]
+        i, known = i + max(stop, 1), size - stop
+        if known < SHORT:
+            k = int(np.searchsorted(heads, i))
             i, known = (int(heads[k]) if k < len(heads) else n), 0
     return z
 
@@ -165,10 +176,10 @@ def crossing(s: np.ndarray, middle: int, least: int = LEAST, times: int = TIMES)
     return out
 
 
-def lags(s: np.ndarray, least: int = LEAST, times: int = TIMES) -> list[tuple[int, int, int]]:
-    """(start, end, period) of the stretches of a short sequence, by comparing it with itself at each lag."""
+def lags(s: np.ndarray, most: int, least: int = LEAST, times: int = TIMES) -> list[tuple[int, int, int]]:
+    """(start, end, period) of the stretches with periods up to `most`, by comparing the sequence with itself at each lag."""
     out = []
-    for q in range(1, len(s) // times + 1):
+    for q in range(1, min(most, len(s) // times) + 1):
         same = np.concatenate([[False], s[q:] == s[:-q], [False]])
         edge = np.flatnonzero(same[1:] != same[:-1])
         for low, high in zip(edge[::2].tolist(), edge[1::2].tolist()):
@@ -187,12 +198,18 @@ def find_runs(ids: np.ndarray, back: np.ndarray, roots=None, least: int = LEAST,
             continue
         s = ids[low:high]
         if high - low <= LEAF:
-            rows = lags(s, least, times)
+            rows = lags(s, high - low, least, times)
         else:
-            middle = (high - low) // 2
-            rows = crossing(s, middle, least, times)
-            for a, b in ((low, low + middle), (low + middle, high)):
-                stack += [(max(a, a + x), a + y) for x, y in stretches(back[a:b], least, times)]
+            middle, rows = (high - low) // 2, []
+            across = crossing(s, middle, least, times)
+            for a, b in ((0, middle), (middle, high - low)):
+                within = min((q for x, y, q in across if x <= a and b <= y), default=None)
+                if within is not None and within // (times - 1) <= LAGS:
+                    # two periods can't share as many words as both have: other runs in here have less than within / (times - 1)
+                    rows += [(a + x, a + y, q) for x, y, q in lags(s[a:b], (within - 1) // (times - 1), least, times)]
+                else:
+                    stack += [(low + max(a, a + x), low + a + y) for x, y in stretches(back[low + a : low + b], least, times)]
+            rows += across
         for a, b, q in rows:
             a, b = a + low, b + low
             if (a and ids[a - 1] == ids[a - 1 + q]) or (b < n and ids[b] == ids[b - q]):
