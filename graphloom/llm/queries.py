@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm import bpe, embeddings, jaccard, licenses, packing, periodic, quality, rules, substring, tokenfile, toxicity
+from graphloom.llm import bpe, embeddings, jaccard, licenses, negatives, neighbours, packing, periodic, quality, rules, substring, tokenfile, toxicity
 from graphloom.llm.common import held_out, new_path, raw, small_batches
 
 #: The public tokenizer of the token queries, and the ids of its end markers.
@@ -98,6 +98,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.duplicates(table(spark, sf_dir, "documents"), within=False)
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other vectors of each vector whose id 100 divides."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), 10, F.col("id") % 100 == 0)
+
+
 @F.arrow_udf(T.BinaryType())
 def _with_planted_period(texts: pa.Array, h: pa.Array) -> pa.Array:
     """The contract's texts: with a hash that 10 divides, the words from a on repeat a period of p words."""
@@ -125,8 +130,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hard negatives for each of five positives of each vector whose id 100 divides; labels planted as the contract says."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("id") % 100 == 0, positives=5, negatives=5, per_cent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_embedding_dedup, op4_quality_rules, op5_ngram_jaccard, op6_bpe, op7_token_files, op8_packing, op9_license_scan, op10_substring_dedup, op12_periodic_runs)
+    f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_embedding_dedup, op4_quality_rules, op5_ngram_jaccard, op6_bpe, op7_token_files, op8_packing, op9_license_scan, op10_substring_dedup, op11_nearest_neighbours, op12_periodic_runs, op13_hard_negatives)
 }
 
 #: Words as the contracts have them: runs of anything but ASCII white space.
@@ -157,6 +168,20 @@ links AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id =
 SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM (SELECT x AS doc_id, min(c) AS c FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)"""
 
 
+_FINITE = "embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)), false)"
+_NEAREST_SQL = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT a.vec_id AS query_id, b.vec_id, sqrt(list_reduce(list_transform(list_zip(a.e, b.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda x, y: x + y)) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10"""
+_NEGATIVES_SQL = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, list_dot_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE alike) WHERE k <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT s.alike AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
 def _licenses_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     rows = [(name, licenses.class_length(len(s)), len(s), g) for name, t in licenses.TEMPLATES for s in [licenses.template_shingles(t)] for g in s]
@@ -175,4 +200,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": _RULES_SQL,
     "op5_ngram_jaccard": _JACCARD_SQL,
     "op9_license_scan": _licenses_sql(),
+    "op11_nearest_neighbours": _NEAREST_SQL,
+    "op13_hard_negatives": _NEGATIVES_SQL,
 }
