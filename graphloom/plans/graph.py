@@ -129,15 +129,6 @@ def g_quality_sample(spark, sf):
     return edges(spark, sf).filter("type = 'APPROVED_BY'").select("src", "type", "dst").orderBy("src", "dst").limit(10)
 
 
-def g_link(spark, sf):
-    """Mentions linked to names: exact match first, else the shortest of ten names that contain the mention."""
-    n = nodes(spark, sf).select("id", "name").filter("id LIKE 'pt:%' OR id LIKE 'na:%'")
-    m = spark.createDataFrame([("RING",), ("NATION_1",), ("small ring 1",), ("nothing",)], "mention string")
-    hit = n.join(F.broadcast(m), F.lower("name").contains(F.lower("mention")))  # the few mentions go to the names
-    best = F.min(F.struct((F.lower("name") != F.lower("mention")).cast("int").alias("k"), F.length("name").alias("l"), "name")).alias("b")
-    return hit.groupBy("mention").agg(best).select("mention", F.col("b.name").alias("name"), (F.col("b.k") == 0).alias("exact"))
-
-
 def g_sanitized_merge(spark, sf):
     """Edges upserted by (src, type, dst), with counts of rows processed and merged away per type."""
     e = edges(spark, sf)
@@ -172,7 +163,6 @@ QUERIES = {name: _pattern(name) for name in patterns.PATTERNS} | {
     "g_doc_relationships": (g_doc_relationships, _MENTIONS_SQL + " SELECT a.entity, b.entity AS other, count(*) AS n, count(DISTINCT a.doc_id) AS docs FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.chunk = b.chunk AND a.entity < b.entity GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10"),
     "g_doc_chunks": (g_doc_chunks, "SELECT doc_id, count(*) AS chunks, round(avg(len(list_filter(string_split(line, ' '), lambda w: w <> ''))), 6) AS avg_words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1"),
     "g_quality_sample": (g_quality_sample, GRAPH_SQL + " SELECT src, type, dst FROM edges WHERE type = 'APPROVED_BY' ORDER BY 1, 3 LIMIT 10"),
-    "g_link": (g_link, GRAPH_SQL + ", m AS (SELECT * FROM (VALUES ('RING'), ('NATION_1'), ('small ring 1'), ('nothing')) v(mention)), h AS (SELECT mention, name, lower(name) <> lower(mention) AS k, row_number() OVER (PARTITION BY mention ORDER BY lower(name) <> lower(mention), length(name), name) AS r FROM m JOIN nodes ON contains(lower(name), lower(mention)) WHERE id LIKE 'pt:%' OR id LIKE 'na:%') SELECT mention, name, NOT k AS exact FROM h WHERE r = 1"),
     "g_sanitized_merge": (g_sanitized_merge, GRAPH_SQL + " SELECT type, sum(k)::BIGINT AS processed, count(*) AS stored, (sum(k) - count(*))::BIGINT AS merged FROM (SELECT type, src, dst, count(*) AS k FROM edges GROUP BY 1, 2, 3) GROUP BY 1"),
     "src_neo4j_scan": (
         lambda s, d: nodes(s, d).filter(F.array_contains("labels", "Vendor")).select("id", "name"),

@@ -56,17 +56,6 @@ def g_doc_summary(spark, sf):
     return lines.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.size(X.words(F.col("line")))).alias("words"), F.sum(F.size(F.regexp_extract_all("line", F.lit("[A-Z][a-z]{3,}"), 0))).alias("mentions"))
 
 
-def linked(spark, sf, exact):
-    n = nodes(spark, sf).filter("id LIKE 'pt:%'").select("name")
-    m = F.broadcast(spark.createDataFrame([("SMALL RING 1",), ("ring 7",)], "mention string"))  # two rows
-    low = F.lower("name")
-    return n.join(m, (low == F.lower("mention")) if exact else low.contains(F.lower("mention"))).groupBy("mention").agg(F.min(F.struct(F.length("name").alias("l"), "name")).alias("b"), F.count("*").alias("n")).select("mention", F.col("b.name").alias("name"), "n")
-
-
-def link_sql(condition):
-    return GRAPH_SQL + f" SELECT mention, arg_min(name, lpad(length(name)::VARCHAR, 9, '0') || name) AS name, count(*) AS n FROM nodes JOIN (VALUES ('SMALL RING 1'), ('ring 7')) m(mention) ON {condition} WHERE id LIKE 'pt:%' GROUP BY 1"
-
-
 def q_parse_examples(spark, sf):
     """Question and query pairs read from a text of 'Question:' and 'Cypher:' lines."""
     block = generated(spark, sf).join(questions(spark, sf), "qid").select("qid", F.concat(F.lit("Question: "), "question", F.lit("\nCypher: "), "query", F.lit("\n")).alias("b"))
@@ -108,8 +97,6 @@ QUERIES = {
     "json_fix": (lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(F.regexp_replace(F.concat(F.left("props", F.length("props") - 1), F.lit(",}")), r",\s*}", "}"), "$.k").cast("long").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
     "schema_truncate": (schema_truncate, f"SELECT doc_id, CASE WHEN length(text) <= {CUT} THEN text WHEN e > {0.8 * CUT} THEN left(text, e) ELSE left(text, {CUT}) END AS text FROM (SELECT doc_id, text, {CUT} - instr(reverse(left(text, {CUT})), chr(10)) AS x, CASE WHEN contains(left(text, {CUT}), chr(10)) THEN {CUT} - instr(reverse(left(text, {CUT})), chr(10)) ELSE -1 END AS e FROM documents)"),
     "g_doc_summary": (g_doc_summary, "SELECT doc_id, count(*) AS chunks, sum(len(list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\v\\f]+'), lambda w: w <> '')))::BIGINT AS words, sum(len(regexp_extract_all(line, '[A-Z][a-z]{3,}')))::BIGINT AS mentions FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1"),
-    "g_link_exact": (lambda s, d: linked(s, d, True), link_sql("lower(name) = lower(mention)")),
-    "g_link_contains": (lambda s, d: linked(s, d, False), link_sql("contains(lower(name), lower(mention))")),
     "q_confidence": (
         lambda s, d: generated(s, d).select("qid", F.round(0.3 * F.when(F.size(Q.query_warnings(F.col("query"))) == 0, 1.0).otherwise(0.7) + 0.25 + 0.2 * F.when(F.length("query") > 50, 1.0).otherwise(0.5) + 0.15 * 0.9 + 0.1 * (1 - Q.query_complexity(F.col("query"))), 6).alias("confidence")),
         f"SELECT qid, round((0.3 * CASE WHEN contains(u, 'LIMIT') THEN 1.0 ELSE 0.7 END + 0.25 + 0.2 * CASE WHEN length(query) > 50 THEN 1.0 ELSE 0.5 END + 0.15 * 0.9 + 0.1 * (1 - least(1.0, 0.1 * len(regexp_extract_all(u, 'MATCH')) + 0.05 * len(regexp_extract_all(u, '\\bAND\\b|\\bOR\\b')) + 0.05 * len(regexp_extract_all(u, 'COLLECT|COUNT')))))::DOUBLE, 6) AS confidence FROM (SELECT qid, query, upper(query) AS u FROM ({GENERATED_SQL}))",

@@ -121,7 +121,6 @@ QUERIES = {
     "txt_chunk_structure": (exploded(C.chunk_structure), None),
     "txt_chunk_intelligent": (exploded(C.chunk_intelligent), None),
     "json_extract": (lambda s, d: table(s, d, "events").select("event_id", C.json_extract(F.concat(F.lit("Answer: ```json\n["), "props", F.lit(",]\n``` done"))).alias("j")).select("event_id", F.get_json_object("j", "$[0].k").cast("long").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
-    "g_link_fuzzy": (lambda s, d: table(s, d, "nation").select("n_name", C.fuzzy(F.col("n_name"), F.lit("nation 1")).alias("score")), None),
     "kg_extract_llm": (kg_extract_llm, None),
     "v_embed": (lambda s, d: docs(s, d).select("doc_id", F.round(F.aggregate(G.embed(F.col("text")), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm")), "SELECT doc_id, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM documents"),
     "stream_tumbling": (stream(R.tumbling, "update", "start", "event_type"), WIN),

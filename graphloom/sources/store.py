@@ -10,6 +10,8 @@ new graph.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ INPUTS = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 #: Between the labels of a node in the name of its folder.
 BETWEEN = "-"
 
-_written: dict[tuple, tuple[str, str]] = {}
+_written: dict[tuple, object] = {}
 
 
 def _state(spark: SparkSession, path: str) -> tuple[int, int, int]:
@@ -32,16 +34,25 @@ def _state(spark: SparkSession, path: str) -> tuple[int, int, int]:
     return summary.getLength(), summary.getFileCount(), fs.getFileStatus(p).getModificationTime()
 
 
+def once(spark: SparkSession, sf_dir: str, what: str, inputs: Sequence[str], make: Callable[[], object]):
+    """What `make` writes, made once per session and state of the input tables."""
+    key = (what, spark.sparkContext.applicationId, sf_dir, *(_state(spark, f"{sf_dir}/{n}.parquet") for n in inputs))
+    if key not in _written:
+        _written[key] = make()
+    return _written[key]
+
+
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """nodes (id, name, labels) and edges (src, dst, type, when, status), with the rows of `tables`."""
-    key = (spark.sparkContext.applicationId, sf_dir, *(_state(spark, f"{sf_dir}/{n}.parquet") for n in INPUTS))
-    if key not in _written:
+
+    def write() -> tuple[str, str]:
         n, e = shared_path(spark, "graph-nodes"), shared_path(spark, "graph-edges")
         kinds = tables.nodes(spark, sf_dir).select("id", "name", F.array_join("labels", BETWEEN).alias("kind"))
         kinds.sortWithinPartitions("kind", "id").write.partitionBy("kind").parquet(n)
         tables.edges(spark, sf_dir).sortWithinPartitions("type", "src").write.partitionBy("type").parquet(e)
-        _written[key] = n, e
-    n, e = _written[key]
+        return n, e
+
+    n, e = once(spark, sf_dir, "graph", INPUTS, write)
     nodes = spark.read.schema("id string, name string, kind string").parquet(n)
     edges = spark.read.schema("src string, dst string, when string, status string, type string").parquet(e)
     return nodes.select("id", "name", F.split("kind", BETWEEN).alias("labels")), edges.select("src", "dst", "type", "when", "status")
