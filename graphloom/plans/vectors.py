@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.operators import cells as I
 from graphloom.operators import vectors as V
 from graphloom.plans.text import ENTITIES_SQL, METHOD, METHOD_SQL, W
+from graphloom.sources.store import once
 from graphloom.sources.tables import table
 
 
@@ -43,14 +45,32 @@ def top_sql(where="true", k=10, source="embeddings"):
     return f"SELECT vec_id, round(s, 5) AS similarity, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM (SELECT vec_id, {COS.format(0)} AS s FROM {source} WHERE {where}) ORDER BY s DESC, vec_id LIMIT {k}"
 
 
+def index(spark, sf) -> I.Cells:
+    """The vectors with their labels by cells, stored once per session and state of the table."""
+    return once(spark, sf, "cells", ["embeddings"], lambda: I.write_index(items(spark, sf), keep=["label"]))
+
+
+def v_topk(spark, sf):
+    """The ten vectors most like vector 0."""
+    return rounded(I.nearest(index(spark, sf), query_vector(spark, sf), 10))
+
+
+def v_topk_filtered(spark, sf):
+    """The ten vectors of three labels that are most like vector 0."""
+    return rounded(I.nearest(index(spark, sf), query_vector(spark, sf), 10, F.col("label").isin(1, 2, 3)))
+
+
 def v_topk_batch(spark, sf):
+    """The five vectors most like each whose number 100 divides."""
     qs = items(spark, sf).filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return rounded(V.top_k_batch(items(spark, sf), qs, 5))
+    return rounded(I.nearest_batch(index(spark, sf), qs, 5))
 
 
 def v_context_search(spark, sf):
-    best = V.top_k(meta(spark, sf), query_vector(spark, sf, 3), 3)
-    return best.join(table(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id")).select("rank", "vec_id", X.truncate(F.col("text"), 100).alias("preview"))
+    """Previews of the three documents whose vectors are most like vector 3."""
+    docs = table(spark, sf, "documents")
+    best = I.nearest(index(spark, sf), query_vector(spark, sf, 3), 3, within=docs.select(F.col("doc_id").alias("vec_id")))
+    return best.join(docs, F.col("vec_id") == F.col("doc_id")).select("rank", "vec_id", X.truncate(F.col("text"), 100).alias("preview"))
 
 
 def multi_filter(df, quality=None, types=None, methods=None, entity_types=None):
@@ -92,8 +112,8 @@ def v_hybrid(spark, sf):
 
 
 QUERIES = {
-    "v_topk": (lambda s, d: rounded(V.top_k(items(s, d), query_vector(s, d), 10)), top_sql()),
-    "v_topk_filtered": (lambda s, d: rounded(V.top_k(items(s, d), query_vector(s, d), 10, F.col("label").isin(1, 2, 3))), top_sql("label IN (1, 2, 3)")),
+    "v_topk": (v_topk, top_sql()),
+    "v_topk_filtered": (v_topk_filtered, top_sql("label IN (1, 2, 3)")),
     "v_topk_batch": (v_topk_batch, "SELECT * FROM (SELECT query_id, vec_id, round(s, 5) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 5"),
     "v_context_search": (v_context_search, f"WITH b AS (SELECT vec_id, {COS.format(3)} AS s FROM {META} ORDER BY s DESC, vec_id LIMIT 3) SELECT row_number() OVER (ORDER BY s DESC, vec_id) AS rank, vec_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS preview FROM b JOIN documents ON vec_id = doc_id"),
     "v_by_entity_type": (lambda s, d: meta(s, d).filter(F.size("wells") > 0).select("vec_id", F.array_join("wells", "|").alias("wells")), f"SELECT vec_id, names AS wells FROM embeddings JOIN {ENT} ON vec_id = doc_id WHERE entity_type = 'wells'"),
