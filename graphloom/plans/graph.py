@@ -168,8 +168,4 @@ QUERIES = {name: _pattern(name) for name in patterns.PATTERNS} | {
         lambda s, d: nodes(s, d).filter(F.array_contains("labels", "Vendor")).select("id", "name"),
         GRAPH_SQL + " SELECT id, name FROM nodes WHERE list_contains(labels, 'Vendor')",
     ),
-    "sink_graph_merge": (
-        lambda s, d: edges(s, d).groupBy("src", "type", "dst").agg(F.max("when").alias("when")).groupBy("type").agg(F.count("*").alias("n"), F.count("when").alias("dated")),
-        GRAPH_SQL + ' SELECT type, count(*) AS n, count("when") AS dated FROM (SELECT src, type, dst, max("when") AS "when" FROM edges GROUP BY 1, 2, 3) GROUP BY 1',
-    ),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("graph", "text", "triples", "vectors", "questions", "operations", "sources", "more", "orchestration", "linking")
+FAMILIES = ("graph", "text", "triples", "vectors", "questions", "operations", "sources", "more", "orchestration", "linking", "stores")
 
 
 def _all() -> dict:

@@ -65,14 +65,6 @@ def sink_excel(spark, sf):
     return S.flatten(d, "structured", "data_")
 
 
-def sink_document_meta(spark, sf):
-    """Rows of the document, chunk and mention tables, counted."""
-    d, c = docs(spark, sf), doc_chunk_words(spark, sf)
-    e = d.select("doc_id", F.explode(X.entities(F.col("text"))).alias("kind", "names")).select("doc_id", "kind", F.explode("names").alias("name"))
-    n = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("part"), "n")
-    return n(d, "documents").union(n(c, "chunks")).union(n(e.select("name", "kind").distinct(), "entities")).union(n(e, "mentions"))
-
-
 def exploded(column):
     def run(spark, sf):
         return docs(spark, sf).select("doc_id", F.posexplode(column(F.col("text"))).alias("chunk", "text"))
@@ -109,8 +101,6 @@ QUERIES = {
     "sink_job_json": (lambda s, d: written(s, table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")), "jobs", "json"), "SELECT user_id, count(*) AS n FROM events GROUP BY 1"),
     "sink_ocr_archive": (lambda s, d: written(s, docs(s, d).select("doc_id", F.sha2("text", 256).alias("hash"), "text"), "archive", "parquet").select("doc_id", "hash", F.length("text").cast("long").alias("chars")), "SELECT doc_id, sha256(text) AS hash, length(text) AS chars FROM documents"),
     "sink_excel": (sink_excel, "SELECT doc_id, left(text, 1000) AS head, lang AS data_lang, source AS data_source FROM documents"),
-    "sink_document_meta": (sink_document_meta, None),
-    "sink_vectors": (lambda s, d: docs(s, d).select("doc_id", F.size(G.embed(F.col("text"))).alias("dimensions")), "SELECT doc_id, 64 AS dimensions FROM documents"),
     "sink_fewshot_json": (lambda s, d: written(s, table(s, d, "conversations").filter("role = 'user'").select("conv_id", "turn"), "examples", "json").orderBy(F.desc("conv_id"), F.desc("turn")).limit(25), "SELECT conv_id, turn FROM conversations WHERE role = 'user' ORDER BY conv_id DESC, turn DESC LIMIT 25"),
     "doc_export_vector": (export_vector, f"SELECT doc_id, {METHOD_SQL} AS method, coalesce((SELECT string_agg(printf('chunk_%06d', chunk_index), ',' ORDER BY chunk_index) FROM ({CHUNKS_SQL}) c WHERE c.doc_id = d.doc_id), '') AS chunk_ids FROM documents d"),
     "doc_summary": (lambda s, d: docs(s, d).groupBy("lang", METHOD().alias("method")).agg(F.count("*").alias("n"), F.sum(F.size(X.words(F.col("text")))).alias("words")), f"SELECT lang, {METHOD_SQL} AS method, count(*) AS n, sum(len({W}))::BIGINT AS words FROM documents GROUP BY 1, 2"),

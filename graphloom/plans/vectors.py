@@ -95,13 +95,6 @@ def v_collection_stats(spark, sf):
     return m.groupBy("document_type", "method").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("quality") > 0, F.col("quality"))), 6).alias("avg_quality"), F.min("quality").alias("min_quality"), F.max("quality").alias("max_quality"))
 
 
-def v_upsert(spark, sf):
-    """Old and new rows by id, the last write wins."""
-    old = items(spark, sf).select("vec_id", "label", F.lit(0).alias("v"))
-    new = old.filter("vec_id % 3 = 0").select("vec_id", (F.col("label") + 100).alias("label"), F.lit(1).alias("v"))
-    return old.unionByName(new).groupBy("vec_id").agg(F.max_by("label", "v").alias("label"))
-
-
 def v_hybrid(spark, sf):
     near = V.top_k(items(spark, sf), query_vector(spark, sf), 20)
     docs = table(spark, sf, "documents")
@@ -125,7 +118,6 @@ QUERIES = {
         lambda s, d: V.entity_statistics(meta(s, d), ["wells", "formations"]),
         f"WITH n AS (SELECT entity_type AS kind, vec_id, unnest(string_split(names, '|')) AS value FROM embeddings JOIN {ENT} ON vec_id = doc_id WHERE entity_type IN ('wells', 'formations')), c AS (SELECT kind, value, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, value) AS r FROM n GROUP BY 1, 2), k AS (SELECT unnest(['wells', 'formations']) AS kind) SELECT kind, (SELECT count(DISTINCT vec_id) FROM n WHERE n.kind = k.kind) AS items_with, (SELECT count(*) FROM n WHERE n.kind = k.kind) AS mentions, (SELECT count(*) FROM c WHERE c.kind = k.kind) AS \"unique\", round((SELECT count(DISTINCT vec_id) FROM n WHERE n.kind = k.kind) * 100.0::DOUBLE / (SELECT count(*) FROM {META}), 4) AS coverage_percent, coalesce((SELECT string_agg(value || ':' || n, '|' ORDER BY r) FROM c WHERE c.kind = k.kind AND r <= 10), '') AS top FROM k",
     ),
-    "v_upsert": (v_upsert, "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings"),
     "v_count": (lambda s, d: items(s, d).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM embeddings"),
     "v_exact": (lambda s, d: table(s, d, "documents").filter(F.lower("text").contains("idiot")).select("doc_id"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'idiot')"),
     "v_hybrid": (v_hybrid, f"WITH a AS (SELECT vec_id, row_number() OVER (ORDER BY {COS.format(0)} DESC, vec_id) AS rank FROM embeddings), b AS (SELECT doc_id AS vec_id, row_number() OVER (ORDER BY len(regexp_extract_all(lower(text), 'the')) DESC, doc_id) AS rank FROM documents WHERE contains(lower(text), 'the')), u AS (SELECT vec_id, 1.0::DOUBLE / (60 + rank) AS s FROM a WHERE rank <= 20 UNION ALL SELECT vec_id, 1.0::DOUBLE / (60 + rank) FROM b WHERE rank <= 20) SELECT vec_id, round(sum(s), 6) AS score FROM u GROUP BY 1 ORDER BY sum(s) DESC, vec_id LIMIT 10"),
