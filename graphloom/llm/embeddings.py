@@ -3,14 +3,19 @@
 Vectors of unit length with cosine >= c lie within e = sqrt(2 - 2c) of each other. The
 vectors are sorted in grid order: by the cells of width e of their coordinates on the
 leading principal axes, lexicographically, so that near vectors come near in the
-sequence. The sequence is cut into blocks by a range partitioning; blocks whose bounding
-boxes are further apart than e are skipped, and the others are joined by recursion on
-intervals: an interval pair whose boxes are too far apart ends, a large one is halved,
-a small one is compared exactly by a product in double precision. The axes are fitted on
-a bounded sample and only affect what is skipped: any rotation gives the same links.
-
-Bit-identical vectors are one row with a count. A task returns one row per vector with a
-link (links counted, and its root in a forest of the links), never the pairs.
+sequence. The sequence is cut into blocks by a range partitioning. Blocks are skipped if
+their bounding boxes or their balls are further apart than e; a box has a further side
+for the length of what the axes leave of a vector, as the distance of two vectors is at
+least that of their projections together with the difference of these lengths. The others are
+joined by recursion on intervals: an interval pair whose boxes are too far apart ends, a
+large one is halved, a small one is compared exactly by a product in double precision.
+The axes are fitted on a bounded sample and only affect what is skipped: any rotation
+gives the same links. Vectors spread evenly over many dimensions leave nothing to skip;
+vectors in groups let most blocks be skipped.
+
+Bit-identical vectors are one class with a count, and links are between classes, so ids
+play no part in them. A task returns one row per class with a link (links counted, and
+its root in a forest of the links), never the pairs.
 
 Defined results: vectors that are null, zero or hold null or non-finite components link
 with nothing; vectors of fewer dimensions than the longest count as filled up with
@@ -34,6 +39,8 @@ from graphloom.llm.common import components, forget, materialize, roots, shuffle
 AXES, SAMPLE = 8, 4096
 #: Vectors of a block, and of an interval that is compared at once.
 BLOCK, LEAF = 4096, 256
+#: Axes whose cell a block that is half full doesn't go beyond.
+CUT = 3
 #: Relative room for rounding in the distance bounds, so that no link is skipped.
 ROOM = 1e-9
 
@@ -69,6 +76,13 @@ def principal_axes(x: np.ndarray, axes: int = AXES) -> np.ndarray:
     return v[:, ::-1][:, :axes]
 
 
+def placed(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates on the axes, and the length of the rest: nothing is nearer in them than it is."""
+    y = x @ axes
+    rest = np.sqrt(np.maximum((x * x).sum(1) - (y * y).sum(1), 0))
+    return np.concatenate([y, rest[:, None]], axis=1)
+
+
 # --- joining intervals ----------------------------------------------------------
 def _boxes(y: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     return y[low:high].min(0), y[low:high].max(0)
@@ -126,31 +140,34 @@ def block_links(xa, xb, ya, yb, counts_a, counts_b, same: bool, cosine: float):
     return la, lb, r
 
 
-BLOCKS = "block long, n int, reps binary, counts binary, units binary, low binary, high binary"
+BLOCKS = "block long, n int, classes binary, counts binary, units binary, low binary, high binary, ball binary"
 
 
 def _blocker(axes: np.ndarray):
     def run(batches):
-        reps, counts, units = [], [], []
+        ids, counts, units, last = [], [], [], b""
         number = TaskContext.get().partitionId() << 24
 
         def block():
             x = np.frombuffer(b"".join(units)).reshape(len(units), -1)
-            low, high = _boxes(x @ axes, 0, len(x))
-            row = [number, len(x), np.array(reps, "<i8").tobytes(), np.array(counts, "<i8").tobytes(), x.tobytes(), low.tobytes(), high.tobytes()]
-            types = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+            low, high = _boxes(placed(x, axes), 0, len(x))
+            centre = x.mean(0)
+            ball = np.append(centre, np.sqrt(((x - centre) ** 2).sum(1).max()))
+            row = [number, len(x), np.array(ids, "<i8").tobytes(), np.array(counts, "<i8").tobytes(), *[v.tobytes() for v in (x, low, high, ball)]]
+            types = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            for rep, count, value in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                reps.append(rep)
-                counts.append(count)
-                units.append(value)
-                if len(reps) == BLOCK:
+            for one, count, value, cell in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if len(ids) == BLOCK or 2 * len(ids) >= BLOCK and cell[:CUT] != last:
                     yield block()
                     number += 1
-                    reps, counts, units = [], [], []
-        if reps:
+                    ids, counts, units = [], [], []
+                ids.append(one)
+                counts.append(count)
+                units.append(value)
+                last = cell[:CUT]
+        if ids:
             yield block()
 
     return run
@@ -163,24 +180,53 @@ def _joiner(axes: np.ndarray, cosine: float):
                 r = batch.slice(k, 1).to_pylist()[0]
                 same = r["a_block"] == r["b_block"]
                 open_ = lambda s: (
-                    np.frombuffer(r[s + "_reps"], "<i8"),
+                    np.frombuffer(r[s + "_classes"], "<i8"),
                     np.frombuffer(r[s + "_counts"], "<i8"),
                     np.frombuffer(r[s + "_units"]).reshape(r[s + "_n"], -1),
                 )
                 (ra, ca, xa), (rb, cb, xb) = open_("a"), open_("b")
-                la, lb, root = block_links(xa, xb, xa @ axes, xb @ axes, ca, cb, same, cosine)
+                la, lb, root = block_links(xa, xb, placed(xa, axes), placed(xb, axes), ca, cb, same, cosine)
                 if same:
-                    reps, links, root = ra, la + lb, root[: len(ra)]
+                    ids, links, root = ra, la + lb, root[: len(ra)]
                 else:
-                    reps, links = np.concatenate([ra, rb]), np.concatenate([la, lb])
+                    ids, links = np.concatenate([ra, rb]), np.concatenate([la, lb])
                 live = links > 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(reps[live]), pa.array(links[live]), pa.array(reps[root][live])], names=["rep", "links", "root"]
+                    [pa.array(ids[live]), pa.array(links[live]), pa.array(ids[root][live])], names=["class", "links", "root"]
                 )
 
     return run
 
 
+def block_pairs(blocks: DataFrame, cosine: float) -> DataFrame:
+    """block, other (block <= other): pairs of blocks that meet in a cell of the first axis or a neighbouring one, and that bounds don't rule out."""
+    width = float(np.sqrt(2 - 2 * cosine))
+    reach = width * width * (1 + ROOM) + ROOM
+
+    @F.arrow_udf("array<int>")
+    def first_cells(low: pa.Array, high: pa.Array) -> pa.Array:
+        span = lambda v: int(np.floor(np.frombuffer(v.as_py())[0] / width))
+        return pa.array([list(range(span(a), span(b) + 1)) for a, b in zip(low, high)], pa.list_(pa.int32()))
+
+    @F.arrow_udf("boolean")
+    def near(a: pa.Array, b: pa.Array) -> pa.Array:
+        def one(x, y) -> bool:
+            f = {k: (np.frombuffer(x[k]), np.frombuffer(y[k])) for k in ("low", "high", "ball")}
+            if box_gap((f["low"][0], f["high"][0]), (f["low"][1], f["high"][1])) > reach:
+                return False
+            p, q = f["ball"]
+            gap = np.sqrt(((p[:-1] - q[:-1]) ** 2).sum()) - p[-1] - q[-1]
+            return bool(gap <= 0 or gap * gap <= reach)
+
+        return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())])
+
+    bounds = F.struct("low", "high", "ball")
+    own = blocks.select("block", bounds.alias("a"), F.explode(first_cells("low", "high")).alias("cell"))
+    wide = own.select(F.col("block").alias("other"), F.col("a").alias("b"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    pairs = own.join(wide, "cell").filter("block <= other").dropDuplicates(["block", "other"])
+    return pairs.filter(near("a", "b")).select("block", "other")
+
+
 def join(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """vec_id long, n_links long, component_id long, kept boolean: one row per vector."""
     spark = vectors.sparkSession
@@ -191,7 +237,7 @@ def join(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cos
     ready = materialize(rows.select("vec_id", filled.alias("v")).mapInArrow(_prepare, "vec_id long, same binary, unit binary"), "vectors")
     known = ready.filter("vec_id is not null and unit is not null")
     classes = known.groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
-    classes = materialize(classes, "vector-classes")
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "vector-classes")  # numbers stay, as they are written
     total = classes.count()
     sample = classes.orderBy("same").limit(SAMPLE).select("unit").collect()  # a bounded sample
     axes = principal_axes(np.array([np.frombuffer(r[0]) for r in sample]).reshape(len(sample), longest))
@@ -203,46 +249,27 @@ def join(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cos
         c = np.floor(x @ axes / width).astype(np.int64) + 128
         return pa.array([row.tobytes() for row in c.astype(np.uint8)], pa.binary())  # bytes compare like the cells
 
-    order = classes.select("rep", "copies", "unit", cells("unit").alias("cells"))
+    order = classes.select("class", "copies", "unit", cells("unit").alias("cells"))
     n = max(1, -(-total // BLOCK))
-    ordered = order.repartitionByRange(n, "cells", "rep").sortWithinPartitions("cells", "rep").select("rep", "copies", "unit")
+    ordered = order.repartitionByRange(n, "cells", "class").sortWithinPartitions("cells", "class").select("class", "copies", "unit", "cells")
     blocks = materialize(ordered.mapInArrow(_blocker(axes), BLOCKS), "vector-blocks")
-
-    # pairs of blocks that meet in a cell of the first axis or a neighbouring one, and whose boxes are near
-    @F.arrow_udf("array<int>")
-    def first_cells(low: pa.Array, high: pa.Array) -> pa.Array:
-        span = lambda v: int(np.floor(np.frombuffer(v.as_py())[0] / width))
-        return pa.array([list(range(span(a), span(b) + 1)) for a, b in zip(low, high)], pa.list_(pa.int32()))
-
-    reach = width * width * (1 + ROOM) + ROOM
-
-    @F.arrow_udf("boolean")
-    def near(a_low: pa.Array, a_high: pa.Array, b_low: pa.Array, b_high: pa.Array) -> pa.Array:
-        f = lambda v: np.frombuffer(v.as_py())
-        return pa.array([box_gap((f(a), f(b)), (f(c), f(d))) <= reach for a, b, c, d in zip(a_low, a_high, b_low, b_high)])
-
-    boxes = blocks.select("block", "low", "high", F.explode(first_cells("low", "high")).alias("cell"))
-    wide = boxes.select(
-        F.col("block").alias("other"), F.col("low").alias("o_low"), F.col("high").alias("o_high"),
-        F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"),
-    )
-    pairs = boxes.join(wide, "cell").filter("block <= other").dropDuplicates(["block", "other"])
-    pairs = materialize(pairs.filter(near("low", "high", "o_low", "o_high")).select("block", "other"), "vector-pairs")
+    pairs = materialize(block_pairs(blocks, cosine), "vector-pairs")
 
     def side(s: str, on: str) -> DataFrame:
-        return blocks.select(F.col("block").alias(on), F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "reps", "counts", "units")])
+        return blocks.select(F.col("block").alias(on), F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "classes", "counts", "units")])
 
     joined = pairs.join(side("a", "block"), "block").join(side("b", "other"), "other").drop("block", "other")
-    found = joined.repartition(shuffle_partitions(spark), "a_block", "b_block").mapInArrow(_joiner(axes, cosine), "rep long, links long, root long")
+    found = joined.repartition(shuffle_partitions(spark), "a_block", "b_block").mapInArrow(_joiner(axes, cosine), "class long, links long, root long")
     found = materialize(found, "vector-links")
     forget(blocks, pairs)
 
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    tops = components(found.select("rep", "root"), "vector-components")
-    named = classes.select("same", "rep", "copies").join(linked, "rep", "left").join(tops, F.col("rep") == F.col("node"), "left")
-    named = named.select(
-        "same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("root", "rep").alias("root")
-    )
+    linked = found.groupBy("class").agg(F.sum("links").alias("links"))
+    tops = components(found.select("class", "root"), "vector-components").withColumnRenamed("node", "class")
+    named = classes.select("same", "class", "rep", "copies").join(linked, "class", "left").join(tops, "class", "left")
+    named = named.select("same", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "rep", F.coalesce("root", "class").alias("top"))
+    named = materialize(named, "vector-members")
+    first = named.groupBy("top").agg(F.min("rep").alias("root"))  # the smallest id of each component
+    named = named.join(first, "top").select("same", "links", "root")
     named = materialize(named, "vector-named")
     forget(classes, found, tops)
     out = ready.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("same")).alias("same")).join(named, "same", "left").select(

@@ -99,6 +99,32 @@ def test_empty_tables(spark):
     assert embeddings.join(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_one_id_keep_their_own_links(spark):
+    x, near, y = [1.0, 0.0, 0.0], [0.99, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, x, 1), (5, y, 1), (7, near, 1), (9, [0.0, 1.0, 0.0], 1), (9, y, 1)]
+    got = embeddings.join(spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links int")).collect()
+    assert sorted(map(tuple, got)) == [(5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (9, 0, 9, True), (9, 1, 5, False)]
+
+
+def test_grouped_vectors_skip_most_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 32))
+    x = np.repeat(base, 64, 0) + rng.normal(size=(2560, 32)) * 0.05
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    axes = embeddings.principal_axes(x)
+    cells = (np.floor((x @ axes) / np.sqrt(0.2)) + 128).astype(np.uint8)
+    rows = sorted((cells[i].tobytes(), i) for i in range(len(x)))
+    rows = spark.createDataFrame([(i, 1, x[i].tobytes(), c) for c, i in rows], "class long, copies long, unit binary, cells binary").coalesce(1)
+    blocks = rows.mapInArrow(embeddings._blocker(axes), embeddings.BLOCKS)
+    n = blocks.count()
+    assert 40 <= n < 80 and embeddings.block_pairs(blocks, 0.9).count() < 0.5 * n * (n + 1) / 2
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert embeddings.join(vectors).agg(F.min("n_links"), F.count_distinct("component_id")).first()[:] == (63, 40)
+
+
 def test_embedding_join_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(30, 16))
