@@ -301,9 +301,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     opened = sides.join(members, "grp").select("pair", "side", "doc", "shingles")
     opened = opened.repartition(n, "pair").sortWithinPartitions("pair", "side", "doc")
     links = materialize(opened.mapInArrow(_opener(per_cent), "a long, b long"), "jaccard-links")
+    # rows of one id are one document, whatever their texts: its classes belong together
+    ends = F.struct("h1", "h2")
+    several = known.groupBy("doc").agg(F.min(ends).alias("x"), F.max(ends).alias("y")).filter("x <> y").select("doc")
+    owned = known.join(several, "doc", "left_semi").select("doc", "h1", "h2").distinct().join(classes, ["h1", "h2"])
+    own = owned.filter("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     forget(often, shared, sets, rare, shared_rare, first, sizes, held, leads, chosen, counts, matrix, sides, members, opened_groups)
 
-    roots = components(links, "jaccard-components")
+    roots = components(links.unionByName(own), "jaccard-components")
     named = materialize(
         classes.join(roots, classes["rep"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id")),
         "jaccard-named",

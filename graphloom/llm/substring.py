@@ -31,8 +31,8 @@ unit with the length of the repetition, so that they don't multiply.
 
 Words are compared by 16-bit fingerprints here; hashes of windows and paragraphs are of
 64 bits. With `within`, repeats inside one document count too; a copy that overlaps its
-own first keeps `run` words of it. remove() leaves the last line of a document that would
-else be empty, if it is under MIN_WORDS words and the line before it is not.
+own first keeps `run` words of it. remove() takes out whatever repeats; documents of which
+nothing is left go.
 
 Defined results: null and blank texts have no passages; rows with one id and different
 texts are different documents; a null id is an id like any other and comes last; very
@@ -234,9 +234,18 @@ def _names(schema: str) -> list[str]:
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(d, k, text): id, a null as the largest number; hash of the text; its bytes."""
-    data = raw(text)
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("d"), F.xxhash64(data).alias("k"), data.alias("text"))
+    """(d, k, text): id, a null as the largest number; hash of the text, odd for a null id; its bytes."""
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("d"), _text_hash(key, text).alias("k"), raw(text).alias("text"))
+
+
+def _text_hash(key: str, text: str) -> Column:
+    """63 bits of the text's hash, and a bit that tells a null id from the largest one."""
+    return F.xxhash64(raw(text)).bitwiseAND(F.lit(-2).cast("long")) + F.col(key).isNull().cast("long")
+
+
+def _id(d: str, k: str) -> Column:
+    """The id of a row (d, k)."""
+    return F.when((F.col(d) != NULL_ID) | (F.col(k).bitwiseAND(F.lit(1).cast("long")) == 0), F.col(d))
 
 
 def sketches(docs: DataFrame, key: str, text: str, run: int) -> DataFrame:
@@ -516,10 +525,9 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RU
     sketched = sketches(docs, key, text, run)
     both = repeated_windows(sketched, run, within).unionByName(repeated_paragraphs(sketched, run, within))
     forget(sketched)
-    known = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
     return both.select(
-        known("d").alias("doc_id"), F.col("k").alias("text_hash"), F.col("start").alias("first_word"), (F.col("stop") - F.col("start")).alias("n_words"),
-        known("fd").alias("group_doc_id"), F.col("fk").alias("group_text_hash"), F.col("fstart").alias("group_first_word"), "removed",
+        _id("d", "k").alias("doc_id"), F.col("k").alias("text_hash"), F.col("start").alias("first_word"), (F.col("stop") - F.col("start")).alias("n_words"),
+        _id("fd", "fk").alias("group_doc_id"), F.col("fk").alias("group_text_hash"), F.col("fstart").alias("group_first_word"), "removed",
     )
 
 
@@ -540,7 +548,7 @@ def _with_text(docs: DataFrame, spans: DataFrame, key: str, text: str) -> tuple[
     """(docs with d and k, one row of spans for each document that has some): `s` holds the spans."""
     spans = spans.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__d"), F.col("text_hash").alias("__k"))
     spans = materialize(spans.agg(F.collect_list(F.struct("first_word", "n_words", "group_doc_id", "group_text_hash", "group_first_word", "removed")).alias("__s")), "substring-spans")
-    named = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)), "__hash": F.xxhash64(raw(text))})
+    named = docs.withColumns({"__id": F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)), "__hash": _text_hash(key, text)})
     return named, spans
 
 
@@ -562,7 +570,7 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", run: in
     rows = named.filter(may_hold(spans, "__k", "__hash")).select(F.col("__id").alias("__d"), F.col("__hash").alias("__k"), raw(text).alias("t")).join(spans.hint("merge"), ["__d", "__k"])
     rows = rows.dropDuplicates(["__d", "__k"]).select("__d", "__k", F.explode(F.arrays_zip(places("t", "__s").alias("p"), F.col("__s").alias("s"))).alias("x"))
     return rows.select(
-        F.nullif(F.col("__d"), F.lit(NULL_ID)).alias("doc_id"), F.col("__k").alias("text_hash"), "x.p.line", "x.p.start", "x.p.length", "x.s.*"
+        _id("__d", "__k").alias("doc_id"), F.col("__k").alias("text_hash"), "x.p.line", "x.p.start", "x.p.length", "x.s.*"
     )
 
 
@@ -575,12 +583,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
             begun = start
         at = max(at, stop + (text[stop : stop + 1] == "\n" and text[begun - 1 : begun] in ("", "\n")))
     head, tail = "".join(kept), text[at:]
-    left = head + tail if tail else head.removesuffix("\n")
-    if not left.strip():
-        lines = text.rstrip("\n").split("\n")
-        if len(lines) > 1 and len(lines[-1].split()) < MIN_WORDS <= len(lines[-2].split()):
-            return lines[-1]
-    return left
+    return head + tail if tail else head.removesuffix("\n")
 
 
 def remove(docs: DataFrame, repeats: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
