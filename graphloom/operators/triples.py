@@ -7,14 +7,14 @@ stems; there is no cross join. Loops cut their lineage with checkpoint().
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.sources.files import own_folder
-from graphloom.sources.store import stored
+from graphloom.sources.store import forget, stored
 
 #: Pairs of types that may be related, in either order (fixed values).
 TYPE_PAIRS = [
@@ -189,86 +189,95 @@ def degree(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def eigenvector(pairs: DataFrame, rounds: int = 1000, tolerance: float = 1e-6, at_once: int = 1_000_000) -> DataFrame:
+#: Power iterations of one job; rows (source, node) of a betweenness block.
+STEPS, ROWS_AT_ONCE = 8, 200_000_000
+
+
+def eigenvector(pairs: DataFrame, rounds: int = 1000, tolerance: float = 1e-6) -> DataFrame:
     """node, eigenvector: power iteration on A + I from equal weights; raises if it doesn't settle.
 
-    Graphs of up to `at_once` edges are iterated on the driver, larger ones by a join per round.
+    STEPS iterations are one job of joins and sums, whose result is scaled and stored; it
+    has settled when these together move a node by less than `tolerance` in the mean.
     """
-    both = checkpoint(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    if both.count() <= at_once:
-        return _small_eigenvector(both, rounds, tolerance)
-    x = checkpoint(both.select(F.col("a").alias("node")).distinct().withColumn("x", F.lit(1.0)))
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().withColumn("w", F.lit(1.0))
+    own = both.select("a", F.col("a").alias("b")).distinct().withColumn("w", F.lit(1.0))
+    links = stored(both.unionByName(own).groupBy("a", "b").agg(F.sum("w").alias("w")), "eigenvector-links")
+    x = stored(own.select(F.col("a").alias("node"), F.lit(1.0).alias("x")), "eigenvector")
     n = x.count()
-    for _ in range(rounds):
-        y = both.join(x, both["b"] == x["node"]).groupBy("a").agg(F.sum("x").alias("y"))
-        raw = x.join(y, x["node"] == y["a"], "left").select("node", "x", (F.col("x") + F.coalesce("y", F.lit(0.0))).alias("z"))
-        raw = checkpoint(raw)
-        norm = raw.agg(F.sqrt(F.sum(F.col("z") * F.col("z")))).first()[0] or 1.0
-        moved = raw.agg(F.sum(F.abs(F.col("z") / norm - F.col("x")))).first()[0]
-        x = raw.select("node", (F.col("z") / norm).alias("x"))
-        if moved < n * tolerance:
+    for _ in range(0, rounds, STEPS):
+        z = x
+        for _ in range(STEPS):
+            z = links.join(z, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+        z = stored(z, "eigenvector-steps")
+        norm = z.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+        new = stored(z.select("node", (F.col("x") / norm).alias("x")), "eigenvector")
+        moved = new.join(x.withColumnRenamed("x", "old"), "node").agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] or 0.0
+        forget(x, z)
+        x = new
+        if moved <= n * tolerance:
+            forget(links)
             return x.select("node", F.col("x").alias("eigenvector"))
     raise ValueError(f"the eigenvector has not settled after {rounds} rounds")
 
 
-def _small_eigenvector(both: DataFrame, rounds: int, tolerance: float) -> DataFrame:
-    edges = both.toArrow()
-    nodes, at = np.unique(np.concatenate([edges.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]).astype(str), return_inverse=True)
-    a, b, x = at[: edges.num_rows], at[edges.num_rows :], np.ones(len(nodes))
-    for _ in range(rounds):
-        z = x + np.bincount(a, x[b], len(nodes))
-        z /= np.sqrt((z * z).sum()) or 1.0
-        moved, x = np.abs(z - x).sum(), z
-        if moved <= len(nodes) * tolerance:
-            return both.sparkSession.createDataFrame(pa.table({"node": pa.array(nodes.tolist(), pa.string()), "eigenvector": pa.array(x, pa.float64())}))
-    raise ValueError(f"the eigenvector has not settled after {rounds} rounds")
-
-
-def betweenness(pairs: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
-    """node, betweenness (normalised): shortest paths from every node, the sources dealt to the tasks.
-
-    Every source needs the whole graph, so the adjacency goes to the tasks; graphs of more
-    than `most_edges` edges are refused instead of exhausting the executors.
+def _levels(links: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """Of each distance, stored: s, v, paths: the shortest paths from the sources s to the nodes v that far away."""
+    levels = [stored(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")), "betweenness-level")]
+    while True:
+        step = levels[-1].join(links, F.col("v") == F.col("f")).groupBy("s", F.col("t").alias("v")).agg(F.sum("paths").alias("paths"))
+        for seen in levels[-2:]:  # a neighbour of a node is at its distance, or one nearer or further
+            step = step.join(seen.select("s", "v"), ["s", "v"], "left_anti")
+        step = stored(step, "betweenness-level")
+        if step.isEmpty():
+            forget(step)
+            return levels
+        levels.append(step)
+
+
+def _gains(links: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """v, gain: the shares of shortest paths from all sources that go through v, collected from the furthest nodes back."""
+    found, behind = [], levels[-1].withColumn("gain", F.lit(0.0))
+    for level in reversed(levels[1:-1]):
+        share = behind.select("s", F.col("v").alias("f"), ((1 + F.col("gain")) / F.col("paths")).alias("q"))
+        share = share.join(links, "f").groupBy("s", F.col("t").alias("v")).agg(F.sum("q").alias("q"))
+        behind = level.join(share, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("q", F.lit(0.0))).alias("gain"))
+        behind = stored(behind, "betweenness-gain")
+        found.append(behind)
+    none = levels[0].select("v", F.lit(0.0).alias("gain")).limit(0)
+    total = reduce(DataFrame.unionByName, [f.select("v", "gain") for f in found], none).groupBy("v").agg(F.sum("gain").alias("gain"))
+    total = stored(total, "betweenness-block")
+    forget(*found)
+    return total
+
+
+def betweenness(pairs: DataFrame, sources: int | None = None) -> DataFrame:
+    """node, betweenness (normalised): Brandes' sums, level by level as joins over (source, node, paths).
+
+    Sources are worked off in blocks, so that a block has at most ROWS_AT_ONCE rows (or one
+    source). With `sources`, the paths from so many nodes only, the first by a hash, stand for
+    all: an estimate for graphs whose every pair is too much.
     """
-    spark = pairs.sparkSession
-    p = pairs.filter("a <> b")
-    if p.count() > most_edges:
-        raise ValueError(f"betweenness holds the graph in each task: more than {most_edges} edges")
-    links = [(r["a"], r["b"]) for r in p.collect()]
-    adjacent: dict = {}
-    for a, b in links:
-        adjacent.setdefault(a, []).append(b)
-        adjacent.setdefault(b, []).append(a)
-    held = spark.sparkContext.broadcast(adjacent)
-
-    def run(batches):
-        graph, total = held.value, {}
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                order, parents, paths, dist = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in graph[v]:
-                        if w not in dist:
-                            dist[w], paths[w], parents[w] = dist[v] + 1, 0.0, []
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] += paths[v]
-                            parents[w].append(v)
-                gain = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in parents[w]:
-                        gain[v] += paths[v] / paths[w] * (1 + gain[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + gain[w]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(np.array(list(total.values()), float))], names=["node", "b"])
-
-    nodes = degree(pairs).select(F.col("node").cast("string").alias("node"))
-    n = len(adjacent)
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    sums = nodes.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "node string, b double").groupBy("node").agg(F.sum("b").alias("b"))
-    return nodes.join(sums, "node", "left").select("node", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+    nodes = stored(degree(pairs).select("node").withColumn("id", F.monotonically_increasing_id()), "betweenness-nodes")
+    number = lambda c, to: nodes.select(F.col("node").alias(c), F.col("id").alias(to))
+    one = pairs.filter("a <> b").join(number("a", "f"), "a").join(number("b", "t"), "b").select("f", "t")
+    links = stored(one.union(one.select("t", "f")), "betweenness-links")
+    linked = links.select(F.col("f").alias("id")).distinct()
+    n = linked.count()
+    if sources is not None and sources < n:
+        linked = linked.orderBy(F.xxhash64("id"), "id").limit(sources)
+    asked = stored(linked, "betweenness-sources")
+    k = asked.count()
+    blocks = max(1, -(-k * n // ROWS_AT_ONCE))
+    parts = []
+    for i in range(blocks):
+        levels = _levels(links, asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i))
+        parts.append(_gains(links, levels))
+        forget(*levels)
+    sums = reduce(DataFrame.unionByName, parts).groupBy(F.col("v").alias("id")).agg(F.sum("gain").alias("gain"))
+    scale = (n / k if k else 1.0) / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    out = stored(nodes.join(sums, "id", "left").select("node", (F.coalesce("gain", F.lit(0.0)) * scale).alias("betweenness")), "betweenness")
+    forget(nodes, links, asked, *parts)
+    return out
 
 
 def node_size(metrics: DataFrame) -> DataFrame:
@@ -327,8 +336,10 @@ def communities(pairs: DataFrame, least: float = 1e-6) -> DataFrame:
             if not wanting:
                 break
             if q > quality + least:
+                forget(own)
                 own, quality, gained, idle = new, q, True, 0
             else:
+                forget(new)
                 idle += 1
         if not gained:
             break
@@ -336,6 +347,8 @@ def communities(pairs: DataFrame, least: float = 1e-6) -> DataFrame:
         member = stored(member.join(part, "c", "left").select("node", F.coalesce("to", "c").alias("c")), "community-members")
         ends = lambda end: part.select(F.col("c").alias(end), F.col("to").alias(f"to_{end}"))
         merged = links.join(ends("a"), "a").join(ends("b"), "b").groupBy("to_a", "to_b").agg(F.sum("w").alias("w"))  # noqa: B023
-        links = stored(merged.select(F.col("to_a").alias("a"), F.col("to_b").alias("b"), "w"), "community-links")
+        coarser = stored(merged.select(F.col("to_a").alias("a"), F.col("to_b").alias("b"), "w"), "community-links")
+        forget(links, own)
+        links = coarser
     names = member.groupBy("c").agg(F.min("node").alias("community"))
     return member.join(names, "c").select("node", "community")
