@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.sources.store import stored
@@ -237,11 +237,31 @@ def _union(column: str) -> Column:
     return F.array_distinct(F.flatten(F.collect_list(column)))
 
 
+def _first(p: Pattern) -> list[Column]:
+    """The order of a pattern's rows, completed by the remaining columns."""
+    columns = [c for c, _, _ in p.out]
+    first = [F.col(c).desc_nulls_first() if down else F.col(c).asc_nulls_last() for c, down in p.order]
+    return first + [F.col(c).asc_nulls_last() for c in columns if c not in dict(p.order)]
+
+
 def run(p: Pattern, nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     """The pattern's answer for nodes whose name contains `value`, whatever the case."""
     low = F.lower("name")
     asked = reduce(lambda a, b: a | b, [low.contains(F.lower(F.lit(w))) for w in (value, *p.words)])
-    rows = _named(_labelled(nodes, p.labels).filter(asked), p.start)
+    rows = _walk(p, nodes, edges, _named(_labelled(nodes, p.labels).filter(asked), p.start), [])
+    return rows if p.limit is None else rows.orderBy(*_first(p)).limit(p.limit)
+
+
+def run_all(p: Pattern, nodes: DataFrame, edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """ask, rank and the pattern's columns: the first `most` rows for each of many asks at once, from the nodes of `starts` (ask, id)."""
+    begun = _named(_labelled(nodes, p.labels), p.start).join(starts.select("ask", F.col("id").alias(f"{p.start}_id")).distinct(), f"{p.start}_id")
+    rows = _walk(p, nodes, edges, begun, ["ask"])
+    rank = F.row_number().over(Window.partitionBy("ask").orderBy(*_first(p)))
+    return rows.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= min(most, p.limit or most))
+
+
+def _walk(p: Pattern, nodes: DataFrame, edges: DataFrame, rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The pattern's columns, and those to keep, from rows of its start nodes."""
     folds, folded = [], set()
     for h in p.hops:
         if h.at in folded or _foldable(p, h):
@@ -270,22 +290,35 @@ def run(p: Pattern, nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame
         values = _union(f"{node}_{FOLDED[kind]}")
         return F.size(values).cast("long") if kind == "count" else F.array_join(F.array_sort(values), "|")
 
-    plain = [_column(k, n).alias(c) for c, k, n in p.out if k not in GROUPED]
+    plain = [*map(F.col, keep), *[_column(k, n).alias(c) for c, k, n in p.out if k not in GROUPED]]
     if any(k in GROUPED for _, k, _ in p.out):
         rows = rows.groupBy(*plain).agg(*[grouped(k, n).alias(c) for c, k, n in p.out if k in GROUPED])
     else:
         rows = rows.select(*plain)
-    columns = [c for c, _, _ in p.out]
-    rows = rows.select(*columns)
-    if p.limit is None:
-        return rows
-    first = [F.col(c).desc_nulls_first() if down else F.col(c).asc_nulls_last() for c, down in p.order]
-    rest = [F.col(c).asc_nulls_last() for c in columns if c not in dict(p.order)]
-    return rows.orderBy(*first, *rest).limit(p.limit)
+    return rows.select(*keep, *[c for c, _, _ in p.out])
 
 
 def sql(p: Pattern, value: str) -> str:
     """The pattern as SQL over CTEs nodes(id, name, labels) and edges(src, dst, type, when, status)."""
+    ctes, body = _sql(p, value, "")
+    if p.limit is not None:
+        body = f"SELECT * FROM ({body}) ORDER BY {_order_sql(p)} LIMIT {p.limit}"
+    return ((", " + ", ".join(ctes)) if ctes else "") + " " + body
+
+
+def sql_all(p: Pattern, asks: str, most: int, name: str) -> tuple[list[str], str]:
+    """(CTEs with names of their own, rows of run_all()) for a relation asks(ask)."""
+    ctes, body = _sql(p, None, name, asks)
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY ask ORDER BY {_order_sql(p)}) AS rank FROM ({body})"
+    return ctes, f"SELECT * FROM ({ranked}) WHERE rank <= {min(most, p.limit or most)}"
+
+
+def _order_sql(p: Pattern) -> str:
+    order = [f"{c} {'DESC NULLS FIRST' if down else 'ASC NULLS LAST'}" for c, down in p.order]
+    return ", ".join(order + [f"{c} ASC NULLS LAST" for c, _, _ in p.out if c not in dict(p.order)])
+
+
+def _sql(p: Pattern, value: str | None, name: str, asks: str = "") -> tuple[list[str], str]:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     has = lambda v, labels: " AND list_has_any({}.labels, [{}])".format(v, ", ".join(map(q, labels))) if labels else ""
     ctes, joins = [], []
@@ -299,8 +332,8 @@ def sql(p: Pattern, value: str) -> str:
             body.append(f"SELECT x.{a}, y.{b}, x.type || '|' || y.type, 2, y.\"when\", y.status FROM {step} x JOIN {step} y ON x.{b} = y.{a} WHERE {other('x', 'y')}")
         if h.reach >= 3:
             body.append(f"SELECT x.{a}, z.{b}, x.type || '|' || y.type || '|' || z.type, 3, z.\"when\", z.status FROM {step} x JOIN {step} y ON x.{b} = y.{a} JOIN {step} z ON y.{b} = z.{a} WHERE {other('x', 'y')} AND {other('x', 'z')} AND {other('y', 'z')}")
-        ctes.append(f"s{i} AS (SELECT s.*, n.name, n.labels FROM ({' UNION ALL '.join(body)}) s JOIN nodes n ON n.id = s.t{has('n', h.labels)})")
-        joins.append(f"{'LEFT ' if h.optional else ''}JOIN s{i} AS {h.to} ON {h.to}.f = {h.at}.{'id' if h.at == p.start else 't'}")
+        ctes.append(f"{name}s{i} AS (SELECT s.*, n.name, n.labels FROM ({' UNION ALL '.join(body)}) s JOIN nodes n ON n.id = s.t{has('n', h.labels)})")
+        joins.append(f"{'LEFT ' if h.optional else ''}JOIN {name}s{i} AS {h.to} ON {h.to}.f = {h.at}.{'id' if h.at == p.start else 't'}")
     one = lambda n: n + (".id" if n == p.start else ".t")
     text = {
         "name": "{n}.name", "type": "{n}.type", "when": '{n}."when"', "status": "{n}.status", "depth": "{n}.depth::BIGINT",
@@ -311,12 +344,13 @@ def sql(p: Pattern, value: str) -> str:
     }
     exprs = [(c, k, text[k].format(n=n, id=one(n))) for c, k, n in p.out]
     group = [e for _, k, e in exprs if k not in GROUPED]
-    asked = " OR ".join(f"contains(lower({p.start}.name), {q(w.lower())})" for w in (value, *p.words))
-    body = f"SELECT {', '.join(f'{e} AS {c}' for c, _, e in exprs)} FROM nodes AS {p.start} {' '.join(joins)} WHERE ({asked}){has(p.start, p.labels)}"
+    words = [q(w.lower()) for w in ((value,) if value is not None else ()) + p.words] + (["lower(asks.ask)"] if asks else [])
+    asked = " OR ".join(f"contains(lower({p.start}.name), {w})" for w in words)
+    if asks:
+        group, exprs = ["asks.ask", *group], [("ask", "name", "asks.ask"), *exprs]
+    source = f"{asks} AS asks JOIN nodes AS {p.start} ON {asked}" if asks else f"nodes AS {p.start}"
+    where = "true" if asks else asked
+    body = f"SELECT {', '.join(f'{e} AS {c}' for c, _, e in exprs)} FROM {source} {' '.join(joins)} WHERE ({where}){has(p.start, p.labels)}"
     if len(group) < len(exprs):
         body += " GROUP BY " + ", ".join(group)
-    if p.limit is not None:
-        order = [f"{c} {'DESC NULLS FIRST' if down else 'ASC NULLS LAST'}" for c, down in p.order]
-        order += [f"{c} ASC NULLS LAST" for c, _, _ in p.out if c not in dict(p.order)]
-        body = f"SELECT * FROM ({body}) ORDER BY {', '.join(order)} LIMIT {p.limit}"
-    return ((", " + ", ".join(ctes)) if ctes else "") + " " + body
+    return ctes, body

@@ -1,4 +1,4 @@
-"""Question orchestration, industry switches, few-shot import and single-file input, with the SQL that gives the same rows."""
+"""Industry switches, few-shot import and single-file input, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -7,41 +7,14 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.more import INDUSTRIES, q_industry
 from graphloom.plans.more import QUERIES as MORE
-from graphloom.plans.questions import GENERATED_SQL, MATCH_SQL, QUESTIONS_SQL, SELECT_SQL, generated, q_match2, q_select_pattern, questions
+from graphloom.plans.questions import GENERATED_SQL, QUESTIONS_SQL, generated, questions
 from graphloom.sources import files as S
 from graphloom.sources.tables import table
 
-#: Score above which a pattern answers a question; below it, the closest example does.
-SURE = 0.5
 #: Fields that an imported example must have.
 REQUIRED = ("question", "cypher", "database", "llm")
 
 
-def answers(selected: DataFrame, matched: DataFrame, asked: DataFrame) -> DataFrame:
-    """One row per question: by its pattern if that scores above SURE, else by the closest example, else by nothing."""
-    best = matched.groupBy("qid").agg(F.max_by(F.struct("pattern", "score"), F.struct("score", -F.col("pattern"))).alias("base"))
-    both = asked.select("qid").join(selected.select("qid", "pattern", "score"), "qid", "left").join(best, "qid", "left")
-    sure = F.coalesce(F.col("score") > SURE, F.lit(False))
-    way = F.when(sure, "pattern").when(F.col("base").isNotNull(), "base").otherwise("none")
-    return both.select(
-        "qid", way.alias("way"), F.when(sure, F.col("pattern")).otherwise(F.col("base.pattern")).cast("long").alias("chosen"),
-        F.coalesce(F.when(sure, F.col("score")).otherwise(F.col("base.score")), F.lit(0.0)).cast("double").alias("confidence"),
-    )
-
-
-def q_universal_answer(spark, sf):
-    return answers(q_select_pattern(spark, sf), q_match2(spark, sf), questions(spark, sf))
-
-
-UNIVERSAL_SQL = f"""
-WITH s AS ({SELECT_SQL}), m AS ({MATCH_SQL}),
-b AS (SELECT qid, pattern, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pattern) AS k FROM m) WHERE k = 1)
-SELECT a.qid, CASE WHEN s.score > {SURE} THEN 'pattern' WHEN b.qid IS NOT NULL THEN 'base' ELSE 'none' END AS way,
-  (CASE WHEN s.score > {SURE} THEN s.pattern ELSE b.pattern END)::BIGINT AS chosen,
-  coalesce(CASE WHEN s.score > {SURE} THEN s.score ELSE b.score END, 0)::DOUBLE AS confidence
-FROM {QUESTIONS_SQL} a LEFT JOIN s ON s.qid = a.qid LEFT JOIN b ON b.qid = a.qid"""
-
-
 def switched(detected: DataFrame, asked: DataFrame) -> DataFrame:
     """asked, industry: the one asked for if it is known, else the one detected (one row)."""
     known = F.lower("asked").isin(*INDUSTRIES, "generic")
@@ -100,7 +73,6 @@ def src_cli_file(spark, sf):
 CLI_SQL = "SELECT length(coalesce(text, '')) AS chars, count(*) AS n FROM documents GROUP BY 1"
 
 QUERIES = {
-    "q_universal_answer": (q_universal_answer, UNIVERSAL_SQL),
     "q_switch_industry": (q_switch_industry, SWITCH_SQL),
     "q_fewshot_import": (q_fewshot_import, IMPORT_SQL),
     "src_cli_file": (src_cli_file, CLI_SQL),
