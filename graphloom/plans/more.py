@@ -89,7 +89,6 @@ QUERIES = {
     "src_sqlite": (lambda s, d: files(s, d).filter("status = 'Failed'").select("event_id", "file_name"), f"SELECT event_id, file_name FROM {FILES_SQL} WHERE status = 'Failed'"),
     "src_pg": (lambda s, d: table(s, d, "conversations").filter("role = 'user'").select("conv_id", "turn"), "SELECT conv_id, turn FROM conversations WHERE role = 'user'"),
     "src_pdf_image": (lambda s, d: table(s, d, "pages").select("page_id", G.ask(X.strip_tags(F.col("html")), [G.Silent(), G.Echo()])["method"].alias("method")), None),
-    "doc_entities_ner": (lambda s, d: docs(s, d).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}"), 0)).cast("long").alias("dates"), F.size(F.regexp_extract_all("text", F.lit(r"\$ ?[0-9][0-9,.]*"), 0)).cast("long").alias("amounts")), "SELECT doc_id, len(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}')) AS dates, len(regexp_extract_all(text, '\\$ ?[0-9][0-9,.]*')) AS amounts FROM documents"),
     "txt_coref": (lambda s, d: docs(s, d).select("doc_id", F.sha2(F.coalesce(G.ask(F.col("text"), [G.Echo()])["answer"], F.lit("")), 256).alias("hash")), "SELECT doc_id, sha256(CASE WHEN trim(text) = '' THEN '' ELSE text END) AS hash FROM documents"),
     "txt_sanitize_llm": (lambda s, d: docs(s, d).select("doc_id", G.ask(X.clean_ocr(F.col("text")), [G.Silent(), G.Echo()])["method"].alias("method")), None),
     "json_fix": (lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(F.regexp_replace(F.concat(F.left("props", F.length("props") - 1), F.lit(",}")), r",\s*}", "}"), "$.k").cast("long").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
