@@ -68,11 +68,6 @@ def q_context(spark, sf):
     return e.select(F.concat_ws(" ", F.lit("WO-7"), F.lower(F.replace("type", F.lit("_"), F.lit(" "))), "name").alias("fact")).distinct().orderBy("fact").limit(15)
 
 
-def reply(c):
-    return F.when(c.rlike("invalid|idiot|worthless"), 0.3).when(c.contains("the"), 0.9).otherwise(0.8)
-
-
-SCORE = "CASE WHEN regexp_matches(lower(text), 'invalid|idiot|worthless') THEN 0.3 WHEN contains(lower(text), 'the') THEN 0.9 ELSE 0.8 END::DOUBLE"
 LABELS = "SELECT DISTINCT unnest(labels) AS label FROM nodes"
 CUT = 2000
 
@@ -90,7 +85,6 @@ QUERIES = {
     "src_pg": (lambda s, d: table(s, d, "conversations").filter("role = 'user'").select("conv_id", "turn"), "SELECT conv_id, turn FROM conversations WHERE role = 'user'"),
     "src_pdf_image": (lambda s, d: table(s, d, "pages").select("page_id", G.ask(X.strip_tags(F.col("html")), [G.Silent(), G.Echo()])["method"].alias("method")), None),
     "txt_coref": (lambda s, d: docs(s, d).select("doc_id", F.sha2(F.coalesce(G.ask(F.col("text"), [G.Echo()])["answer"], F.lit("")), 256).alias("hash")), "SELECT doc_id, sha256(CASE WHEN trim(text) = '' THEN '' ELSE text END) AS hash FROM documents"),
-    "txt_sanitize_llm": (lambda s, d: docs(s, d).select("doc_id", G.ask(X.clean_ocr(F.col("text")), [G.Silent(), G.Echo()])["method"].alias("method")), None),
     "json_fix": (lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(F.regexp_replace(F.concat(F.left("props", F.length("props") - 1), F.lit(",}")), r",\s*}", "}"), "$.k").cast("long").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
     "schema_truncate": (schema_truncate, f"SELECT doc_id, CASE WHEN length(text) <= {CUT} THEN text WHEN e > {0.8 * CUT} THEN left(text, e) ELSE left(text, {CUT}) END AS text FROM (SELECT doc_id, text, {CUT} - instr(reverse(left(text, {CUT})), chr(10)) AS x, CASE WHEN contains(left(text, {CUT}), chr(10)) THEN {CUT} - instr(reverse(left(text, {CUT})), chr(10)) ELSE -1 END AS e FROM documents)"),
     "g_doc_summary": (g_doc_summary, "SELECT doc_id, count(*) AS chunks, sum(len(list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\v\\f]+'), lambda w: w <> '')))::BIGINT AS words, sum(len(regexp_extract_all(line, '[A-Z][a-z]{3,}')))::BIGINT AS mentions FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1"),
@@ -111,8 +105,6 @@ QUERIES = {
     "q_fewshot_generate": (lambda s, d: generated(s, d).join(questions(s, d), "qid").select("qid", F.concat_ws("\n", F.concat(F.lit("Q: "), "question"), F.concat(F.lit("A: "), "query")).alias("example")), f"SELECT qid, 'Q: ' || question || chr(10) || 'A: ' || query AS example FROM ({GENERATED_SQL}) JOIN {QUESTIONS_SQL} USING (qid)"),
     "q_domain_context": (lambda s, d: edges(s, d).groupBy(role(F.col("type"), EDGE_ROLES).alias("role")).agg(F.count_distinct("type").alias("types"), F.count("*").alias("edges")), GRAPH_SQL + f" SELECT {role_sql('type', EDGE_ROLES)} AS role, count(DISTINCT type) AS types, count(*) AS edges FROM edges GROUP BY 1"),
     "doc_batch_ocr": (lambda s, d: docs(s, d).select("source", G.ask(F.col("text"), [G.Silent(), G.Echo()])["method"].alias("m")).groupBy("source").agg(F.count("*").alias("files"), F.count("m").alias("succeeded")), "SELECT source, count(*) AS files, count(*) FILTER (trim(text) <> '') AS succeeded FROM documents GROUP BY 1"),
-    "kg_quality_reply": (lambda s, d: table(s, d, "conversations").select("conv_id", "turn", reply(F.lower("text")).alias("score")), f"SELECT conv_id, turn, {SCORE} AS score FROM conversations"),
-    "kg_llm_enrich": (lambda s, d: table(s, d, "supplier").select("s_suppkey", F.concat(F.lit("About "), "s_name").alias("enrichment"), (F.col("s_acctbal") > 0).alias("enriched")), "SELECT s_suppkey, 'About ' || s_name AS enrichment, s_acctbal > 0 AS enriched FROM supplier"),
     "a_file_start": (lambda s, d: files(s, d).groupBy("job_id", "file_name").agg(F.min("ts").alias("started")).withColumn("status", F.lit("Processing")), f"SELECT job_id, file_name, min(ts) AS started, 'Processing' AS status FROM {FILES_SQL} GROUP BY 1, 2"),
     "a_job_update": (lambda s, d: O.with_updates(jobs(s, d).select("job_id", F.lit("Running").alias("status"), "files"), jobs(s, d).filter("failed > 0").select("job_id", O.job_status(F.col("done"), F.col("failed")).alias("status")), "job_id"), f"SELECT job_id, CASE WHEN failed > 0 THEN {STATUS_SQL} ELSE 'Running' END AS status, files FROM {JOBS_SQL}"),
     "a_failed_files": (lambda s, d: files(s, d).filter("error is not null").select("event_id", O.failure_class(F.col("error")).alias("failure")), f"SELECT event_id, {CLASS_SQL} AS failure FROM {FILES_SQL} WHERE error IS NOT NULL"),

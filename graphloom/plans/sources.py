@@ -72,10 +72,6 @@ def exploded(column):
     return run
 
 
-def kg_extract_llm(spark, sf):
-    return G.extract_triples(docs(spark, sf)).groupBy("predicate").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("subjects"))
-
-
 def stream(result, mode="update", *keys):
     def run(spark, sf):
         return R.run(result(R.source(spark, sf)), S.shared_path(spark, "stream"), mode, keys)
@@ -104,14 +100,12 @@ QUERIES = {
     "sink_fewshot_json": (lambda s, d: written(s, table(s, d, "conversations").filter("role = 'user'").select("conv_id", "turn"), "examples", "json").orderBy(F.desc("conv_id"), F.desc("turn")).limit(25), "SELECT conv_id, turn FROM conversations WHERE role = 'user' ORDER BY conv_id DESC, turn DESC LIMIT 25"),
     "doc_export_vector": (export_vector, f"SELECT doc_id, {METHOD_SQL} AS method, coalesce((SELECT string_agg(printf('chunk_%06d', chunk_index), ',' ORDER BY chunk_index) FROM ({CHUNKS_SQL}) c WHERE c.doc_id = d.doc_id), '') AS chunk_ids FROM documents d"),
     "doc_summary": (lambda s, d: docs(s, d).groupBy("lang", METHOD().alias("method")).agg(F.count("*").alias("n"), F.sum(F.size(X.words(F.col("text")))).alias("words")), f"SELECT lang, {METHOD_SQL} AS method, count(*) AS n, sum(len({W}))::BIGINT AS words FROM documents GROUP BY 1, 2"),
-    "doc_extract": (lambda s, d: docs(s, d).filter("doc_id % 2 = 0").select("doc_id", F.lit("text").alias("way")).union(docs(s, d).filter("doc_id % 2 = 1").select("doc_id", F.lit("image"))), "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'text' ELSE 'image' END AS way FROM documents"),
     "doc_failed": (lambda s, d: docs(s, d).filter(F.length("text") < 40).select("doc_id", F.lit(False).alias("success"), F.lit(0.0).alias("confidence")), "SELECT doc_id, false AS success, 0.0::DOUBLE AS confidence FROM documents WHERE length(text) < 40"),
     "txt_chunk_recursive": (exploded(C.chunk_recursive), None),
     "txt_chunk_tokens": (exploded(C.chunk_tokens), None),
     "txt_chunk_structure": (exploded(C.chunk_structure), None),
     "txt_chunk_intelligent": (exploded(C.chunk_intelligent), None),
     "json_extract": (lambda s, d: table(s, d, "events").select("event_id", C.json_extract(F.concat(F.lit("Answer: ```json\n["), "props", F.lit(",]\n``` done"))).alias("j")).select("event_id", F.get_json_object("j", "$[0].k").cast("long").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
-    "kg_extract_llm": (kg_extract_llm, None),
     "v_embed": (lambda s, d: docs(s, d).select("doc_id", F.round(F.aggregate(G.embed(F.col("text")), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm")), "SELECT doc_id, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM documents"),
     "stream_tumbling": (stream(R.tumbling, "update", "start", "event_type"), WIN),
     "stream_sliding": (stream(R.sliding, "update", "start"), "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS start FROM events) GROUP BY 1"),

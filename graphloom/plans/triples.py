@@ -143,14 +143,6 @@ def entry_summary(spark, sf):
     return g.groupBy("predicate", "inferred").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("subjects"))
 
 
-def candidates_cross(spark, sf):
-    """Pairs of the three largest components, for relations to be asked for."""
-    c = K.components(K.undirected(valid(spark, sf))).groupBy("component").agg(F.count("*").alias("n"))
-    top = c.orderBy(F.desc("n"), "component").limit(3)
-    o = top.select(F.col("component").alias("other"))
-    return top.join(o, F.col("component") < F.col("other")).select("component", "other").orderBy("component", "other").limit(5)  # three rows
-
-
 def candidates_within(spark, sf):
     """Unlinked pairs with a shared word inside the two largest components of five nodes or more."""
     t = valid(spark, sf)
@@ -191,21 +183,12 @@ QUERIES = {
     "kg_betweenness": (lambda s, d: K.betweenness(K.undirected(valid(s, d))).select("node", F.round("betweenness", 6).alias("betweenness")), None),
     "kg_eigenvector": (lambda s, d: K.eigenvector(K.undirected(valid(s, d))).select("node", F.round("eigenvector", 6).alias("eigenvector")), None),
     "kg_graph_summary": (kg_graph_summary, (SQL + TRANSITIVE + LEXICAL + ", x AS (SELECT subject, predicate, object, false AS inferred FROM valid UNION SELECT subject, predicate, object, true FROM trans UNION SELECT subject, predicate, object, true FROM lex), y AS (SELECT subject, predicate, object, bool_and(inferred) AS inferred FROM x GROUP BY 1, 2, 3) SELECT (SELECT count(*) FROM (SELECT subject FROM y UNION SELECT object FROM y)) AS nodes, count(*) AS edges, count(*) FILTER (NOT inferred) AS original, count(DISTINCT CASE WHEN inferred THEN subject || chr(1) || object END) AS inferred_pairs FROM y")),
-    "kg_infer_cross_llm": (candidates_cross, None),
     "kg_infer_within_llm": (candidates_within, None),
     "kg_pipeline": (entry_summary, None),
     "kg_efficiency": (
         lambda s, d: valid(s, d).groupBy((F.col("ord") / 1000).cast("long").alias("chunk")).agg(F.count("*").alias("n")).agg(F.round(F.avg("n"), 6).alias("triples_per_chunk")),
         SQL + " SELECT round(avg(n), 6) AS triples_per_chunk FROM (SELECT ord // 1000 AS chunk, count(*) AS n FROM valid GROUP BY 1)",
     ),
-    "kg_llm_resolve": (
-        lambda s, d: K.entity_details(valid(s, d)).orderBy(F.desc("mentions"), "name").limit(100).select("name", "mentions"),
-        SQL + " SELECT name, mentions FROM details ORDER BY mentions DESC, name LIMIT 100",
-    ),
-    "kg_llm_validate": (
-        lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.when(F.lower("text").rlike("the|que"), 0.3).otherwise(0.8).alias("confidence")),
-        "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'the|que') THEN 0.3 ELSE 0.8 END::DOUBLE AS confidence FROM conversations",
-    ),
     "synonym_map": (
         lambda s, d: table(s, d, "part").join(F.broadcast(s.createDataFrame([("small ring", "ring"), ("large ring", "ring")], "variant string, canonical string")), F.trim(F.lower("p_name")) == F.col("variant"), "left").select("p_partkey", F.coalesce("canonical", "p_name").alias("name")),
         "SELECT p_partkey, CASE trim(lower(p_name)) WHEN 'small ring' THEN 'ring' WHEN 'large ring' THEN 'ring' ELSE p_name END AS name FROM part",
