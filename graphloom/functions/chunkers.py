@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from difflib import SequenceMatcher
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -83,43 +84,81 @@ def intelligent(text: str, size: int = 400) -> list[str]:
     return [c for p in by_structure(text) for c in (by_tokens(p, size) if tokens(p) > size else [p])]
 
 
-def salvage_json(text: str):
-    """The first balanced array or object in a text, repaired if need be; null if there is none.
-
-    Code fences go; typographic quotes, trailing commas and single bare keys are repaired;
-    else the flat objects that parse are kept.
-    """
-    bare = re.sub(r"```[a-z]*", "", text)
-    start = min((i for i in (bare.find("["), bare.find("{")) if i >= 0), default=-1)
+def _span(text: str) -> tuple[int, int, bool] | None:
+    """(start, end, whole) of the first array or object; not whole if the text ends before it does."""
+    start = min((i for i in (text.find("["), text.find("{")) if i >= 0), default=-1)
     if start < 0:
         return None
-    depth, quoted, end = 0, False, len(bare)
-    for i in range(start, len(bare)):
-        c = bare[i]
-        if c == '"' and bare[i - 1 : i] != "\\":
+    depth, quoted = 0, False
+    for i in range(start, len(text)):
+        c = text[i]
+        if c == '"' and text[i - 1 : i] != "\\":
             quoted = not quoted
         elif not quoted and c in "[{":
             depth += 1
         elif not quoted and c in "]}":
             depth -= 1
             if not depth:
-                end = i + 1
-                break
+                return start, i + 1, True
+    return start, len(text), False
+
+
+def completed(text: str) -> str:
+    """A text that breaks off, with its open string, value, objects and arrays closed."""
+    open_, quoted = [], False
+    for i, c in enumerate(text):
+        if c == '"' and text[i - 1 : i] != "\\":
+            quoted = not quoted
+        elif not quoted and c in "[{":
+            open_.append("]" if c == "[" else "}")
+        elif not quoted and c in "]}" and open_:
+            open_.pop()
+    out = text + ('"' if quoted else "")
+    out = re.sub(r"[,\s]+$", "", out)
+    return out + (" null" if out.endswith(":") else "") + "".join(reversed(open_))
+
+
+def _readings(piece: str, whole: bool):
+    """A piece repaired step by step."""
+    fixed = piece.translate({0x201C: '"', 0x201D: '"', 0x201E: '"', 0x2018: "'", 0x2019: "'"})
+    yield re.sub(r",\s*([\]}])", r"\1", fixed)
+    keyed = re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', fixed)
+    for one in (keyed, re.sub(r"'([^'\"]*)'", r'"\1"', keyed)):
+        yield re.sub(r",\s*([\]}])", r"\1", one)
+        while not whole and one:  # close it, else without its last, broken part
+            yield completed(one)
+            one = one[: max(one.rfind(","), 0)]
+
+
+def _parsed(text: str):
+    """(value,) of JSON, else nothing."""
+    try:
+        return (json.loads(text),)
+    except ValueError:
+        return ()
+
+
+def salvage_json(text: str):
+    """The first array or object in a text, repaired if need be; null if there is none.
+
+    Code fences go. Of an array that breaks off, the flat objects that are whole are kept.
+    Else typographic and single quotes, trailing commas and bare keys are repaired, and
+    what breaks off is closed; where all that fails, the flat objects that parse are kept.
+    """
+    bare = re.sub(r"```[a-z]*", "", text)
+    span = _span(bare)
+    if not span:
+        return None
+    start, end, whole = span
     piece = bare[start:end]
-    fixed = re.sub(r",\s*([\]}])", r"\1", piece.replace("“", '"').replace("”", '"'))
-    fixed = re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', fixed)
-    for attempt in (piece, fixed):
-        try:
-            return json.dumps(json.loads(attempt), ensure_ascii=False, sort_keys=True)
-        except ValueError:
-            pass
-    found = []
-    for m in re.findall(r"\{[^{}]*\}", fixed):
-        try:
-            found.append(json.loads(m))
-        except ValueError:
-            pass
-    return json.dumps(found, ensure_ascii=False, sort_keys=True) if found else None
+    readings = chain([piece], _readings(piece, whole))
+    first = list(islice(readings, 3))
+    flat = [v for r in first if (found := re.findall(r"\{[^{}]*\}", r)) for v in [[x for f in found for x in _parsed(f)]] if v]
+    kept = max(flat, key=len, default=None)
+    if not whole and piece[0] == "[" and kept:
+        return json.dumps(kept, ensure_ascii=False, sort_keys=True)
+    value = next((v[0] for v in map(_parsed, chain(first, readings)) if v), kept)
+    return None if value is None else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
 def ratio(a: str, b: str) -> int:

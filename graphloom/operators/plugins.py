@@ -76,8 +76,8 @@ def hash_embedding(text: str, size: int = 64) -> list[float]:
     """Unit vector of hashed words: the stand-in for an embedding model."""
     v = np.zeros(size)
     for w in text.lower().split():
-        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-        v[h % size] += 1 if h >> 63 else -1
+        h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+        v[h % size] += 1 if h >> 31 else -1
     n = np.sqrt((v * v).sum())
     return (v / n if n else v).tolist()
 

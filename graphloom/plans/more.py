@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import chunkers as C
 from graphloom.functions import questions as Q
 from graphloom.functions import text as X
 from graphloom.operators import operations as O
@@ -80,12 +81,23 @@ def schema_truncate(spark, sf):
     return docs(spark, sf).select("doc_id", F.when(F.length("text") <= CUT, F.col("text")).otherwise(cut).alias("text"))
 
 
+#: Ways in which replies spoil JSON: what comes before, the key, what comes after.
+SPOILT = [("", '"k"', ",}"), ("Answer: ", "'k'", "}"), ("", "k", ", }"), ("", '"k"', ', "rest": "cut of'), ("```json\n", '"k"', ', "half'), ("", "\u201ck\u201d", ", \u201cnote\u201d: [1, 2")]
+
+
+def json_fix(spark, sf):
+    """Properties spoilt in six ways and repaired."""
+    value = F.get_json_object("props", "$.k")
+    spoilt = [F.concat(F.lit(before + "{" + key + ": "), value, F.lit(after)) for before, key, after in SPOILT]
+    e = table(spark, sf, "events").select("event_id", F.get(F.array(*spoilt), (F.col("event_id") % len(SPOILT)).cast("int")).alias("spoilt"))
+    return e.select("event_id", F.get_json_object(C.json_extract(F.col("spoilt")), "$.k").cast("long").alias("k"))
+
+
 QUERIES = {
     "src_sqlite": (lambda s, d: files(s, d).filter("status = 'Failed'").select("event_id", "file_name"), f"SELECT event_id, file_name FROM {FILES_SQL} WHERE status = 'Failed'"),
     "src_pg": (lambda s, d: table(s, d, "conversations").filter("role = 'user'").select("conv_id", "turn"), "SELECT conv_id, turn FROM conversations WHERE role = 'user'"),
-    "src_pdf_image": (lambda s, d: table(s, d, "pages").select("page_id", G.ask(X.strip_tags(F.col("html")), [G.Silent(), G.Echo()])["method"].alias("method")), None),
     "txt_coref": (lambda s, d: docs(s, d).select("doc_id", F.sha2(F.coalesce(G.ask(F.col("text"), [G.Echo()])["answer"], F.lit("")), 256).alias("hash")), "SELECT doc_id, sha256(CASE WHEN trim(text) = '' THEN '' ELSE text END) AS hash FROM documents"),
-    "json_fix": (lambda s, d: table(s, d, "events").select("event_id", F.get_json_object(F.regexp_replace(F.concat(F.left("props", F.length("props") - 1), F.lit(",}")), r",\s*}", "}"), "$.k").cast("long").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
+    "json_fix": (json_fix, "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
     "schema_truncate": (schema_truncate, f"SELECT doc_id, CASE WHEN length(text) <= {CUT} THEN text WHEN e > {0.8 * CUT} THEN left(text, e) ELSE left(text, {CUT}) END AS text FROM (SELECT doc_id, text, {CUT} - instr(reverse(left(text, {CUT})), chr(10)) AS x, CASE WHEN contains(left(text, {CUT}), chr(10)) THEN {CUT} - instr(reverse(left(text, {CUT})), chr(10)) ELSE -1 END AS e FROM documents)"),
     "g_doc_summary": (g_doc_summary, "SELECT doc_id, count(*) AS chunks, sum(len(list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\v\\f]+'), lambda w: w <> '')))::BIGINT AS words, sum(len(regexp_extract_all(line, '[A-Z][a-z]{3,}')))::BIGINT AS mentions FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1"),
     "q_confidence": (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("graph", "text", "triples", "vectors", "questions", "operations", "sources", "more", "orchestration", "linking", "stores", "textindex", "answers", "entities", "models")
+FAMILIES = ("graph", "text", "triples", "vectors", "questions", "operations", "sources", "more", "orchestration", "linking", "stores", "textindex", "answers", "entities", "models", "images")
 
 
 def _all() -> dict:

@@ -35,12 +35,13 @@ def src_text(spark, sf):
 
 
 def src_triples_json(spark, sf):
-    """Triples written as JSON by hash, read back, and the unique chunks of them."""
-    chunks = doc_chunk_words(spark, sf).select(X.chunk_id(F.col("chunk_text")).alias("chunk_id"), "chunk_text")
-    rows = chunks.select(F.lit("s").alias("subject"), F.lit("t").alias("subject_type"), F.lit("p").alias("predicate"), F.lit("o").alias("object"), F.lit("t").alias("object_type"), "chunk_id", "chunk_text", F.lit(False).alias("inferred"), F.lit(1.0).alias("confidence"))
+    """Triples of each document written as one JSON array over several lines, read back, and the unique chunks of them."""
+    chunks = doc_chunk_words(spark, sf).select("doc_id", X.chunk_id(F.col("chunk_text")).alias("chunk_id"), "chunk_text")
+    triple = F.struct(*[F.lit(v).alias(c) for c, v in (("subject", "s"), ("subject_type", "t"), ("predicate", "p"), ("object", "o"), ("object_type", "t"))], "chunk_id", "chunk_text", F.lit(False).alias("inferred"), F.lit(1.0).alias("confidence"))
+    arrays = chunks.groupBy("doc_id").agg(F.to_json(F.collect_list(triple), {"pretty": "true"}).alias("value"))
     path = S.shared_path(spark, "triples")
-    S.write_json(rows, path)
-    return S.unique_chunks(spark.read.schema(S.TRIPLE).json(path))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)  # one file per document, as the cache has it
+    return S.unique_chunks(S.read_triples(spark, path))
 
 
 def cache_probe(spark, sf):
@@ -72,6 +73,22 @@ def exploded(column):
     return run
 
 
+def chunks_in_context(spark, sf):
+    """Chunks by structure and length, each with the context of its document (its first lines)."""
+    return docs(spark, sf).select("doc_id", X.document_context(F.col("text")).alias("context"), F.posexplode(C.chunk_intelligent(F.col("text"))).alias("chunk", "text"))
+
+
+def v_embed(spark, sf):
+    """The vectors of all documents, as their numbers that aren't zero."""
+    return docs(spark, sf).select("doc_id", F.posexplode(G.embed(F.col("text"))).alias("place", "value")).filter("value <> 0").select("doc_id", F.col("place").cast("long").alias("place"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+EMBED_SQL = r"""
+WITH h AS (SELECT doc_id, ('0x' || md5(w)[1:8])::BIGINT AS h FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\v\f]+'), lambda x: x <> '')) AS w FROM documents)),
+s AS (SELECT doc_id, h % 64 AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS v FROM h GROUP BY 1, 2)
+SELECT doc_id, place, round((v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS value FROM s QUALIFY v <> 0"""
+
+
 def stream(result, mode="update", *keys):
     def run(spark, sf):
         return R.run(result(R.source(spark, sf)), S.shared_path(spark, "stream"), mode, keys)
@@ -104,9 +121,9 @@ QUERIES = {
     "txt_chunk_recursive": (exploded(C.chunk_recursive), None),
     "txt_chunk_tokens": (exploded(C.chunk_tokens), None),
     "txt_chunk_structure": (exploded(C.chunk_structure), None),
-    "txt_chunk_intelligent": (exploded(C.chunk_intelligent), None),
+    "txt_chunk_intelligent": (chunks_in_context, None),
     "json_extract": (lambda s, d: table(s, d, "events").select("event_id", C.json_extract(F.concat(F.lit("Answer: ```json\n["), "props", F.lit(",]\n``` done"))).alias("j")).select("event_id", F.get_json_object("j", "$[0].k").cast("long").alias("k")), "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
-    "v_embed": (lambda s, d: docs(s, d).select("doc_id", F.round(F.aggregate(G.embed(F.col("text")), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("norm")), "SELECT doc_id, CASE WHEN trim(text) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM documents"),
+    "v_embed": (v_embed, EMBED_SQL),
     "stream_tumbling": (stream(R.tumbling, "update", "start", "event_type"), WIN),
     "stream_sliding": (stream(R.sliding, "update", "start"), "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS start FROM events) GROUP BY 1"),
     "stream_sessions": (stream(R.sessions, "complete"), "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"),

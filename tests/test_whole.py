@@ -2,6 +2,7 @@
 
 import pytest
 
+from graphloom.functions import chunkers as C
 from graphloom.operators import triples as K
 from graphloom.plans import registry
 from graphloom.plans.triples import valid
@@ -80,3 +81,38 @@ def test_node_sizes_and_their_parts_equal_brute_force(spark, sf):
     size = {v: 10 + 20 * (0.5 * degree[v] / top[0] + 0.3 * between[v] / top[1] + 0.2 * x[v] / top[2]) for v in nodes}
     got = {r["node"]: r["size"] for r in QUERIES["kg_node_size"](spark, sf).collect()}
     assert got.keys() == size.keys() and all(abs(got[v] - size[v]) < 0.05 for v in nodes)
+
+
+@pytest.mark.parametrize("name,plain", [("txt_chunk_recursive", C.recursive), ("txt_chunk_tokens", C.by_tokens), ("txt_chunk_structure", C.by_structure), ("txt_chunk_intelligent", C.intelligent)])
+def test_chunks_hold_the_text_in_order(spark, sf, name, plain):
+    """The chunks of each document are those of its text alone, none is blank or too long, and no word is lost."""
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    got = {}
+    for r in QUERIES[name](spark, sf).collect():
+        got.setdefault(r["doc_id"], {})[r["chunk"]] = r["text"]
+    for k, text in texts.items():
+        chunks = [c for _, c in sorted(got.get(k, {}).items())]
+        assert chunks == plain(text) and all(c.strip() for c in chunks)
+        if name == "txt_chunk_recursive":
+            assert all(len(c) <= 500 for c in chunks)
+        if name != "txt_chunk_structure":
+            at, words = 0, text.split()
+            for c in chunks if name == "txt_chunk_tokens" else []:
+                own = c.split()
+                begin = next(i for i in range(max(0, at - len(own)), at + 1) if words[i : i + len(own)] == own)  # with an overlap at most
+                at = begin + len(own)
+            assert name != "txt_chunk_tokens" or at == len(words)
+
+
+def test_chunks_have_their_documents_context(spark, sf):
+    want = {r["doc_id"]: r["context"] for r in QUERIES["txt_doc_context"](spark, sf).collect()}
+    got = {(r["doc_id"], r["context"]) for r in QUERIES["txt_chunk_intelligent"](spark, sf).collect()}
+    assert len(got) > 100 and all(want[k] == c for k, c in got)
+
+
+@pytest.mark.parametrize("text,want", [
+    ('{"a": 1,}', '{"a": 1}'), ("so: {'a': 'x', b: [1, 2,]}", '{"a": "x", "b": [1, 2]}'), ('[{"a": 1}, {"b": "cut', '[{"a": 1}]'), ('{"a": 1, "half', '{"a": 1}'),
+    ('{"a": {"b": [1, {"c":', '{"a": {"b": [1, {"c": null}]}}'), ("\u201ca\u201d {\u201ca\u201d: 2}", '{"a": 2}'), ("no", None), ("[", "[]"), ('{"q": "it\'s"}', '{"q": "it\'s"}'),
+])
+def test_spoilt_json_is_repaired(text, want):
+    assert C.salvage_json(text) == want
