@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.operators.linking import SIZE, grams
 from graphloom.sources.files import own_folder
 from graphloom.sources.store import forget, stored
 
@@ -72,23 +73,62 @@ def compatible(a: Column, b: Column) -> Column:
     return (F.size(a) == 0) | (F.size(b) == 0) | F.exists(a, lambda x: F.exists(b, lambda y: ok(x, y)))
 
 
+def _by_frequency(sets: DataFrame, column: str) -> DataFrame:
+    """name and the values of an array column, the rarest first."""
+    long = sets.select("name", F.explode(column).alias("k"))
+    counted = long.join(long.groupBy("k").agg(F.count("*").alias("n")), "k")
+    return counted.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "k"))), lambda x: x["k"]).alias(column))
+
+
+def _other(sets: DataFrame) -> DataFrame:
+    return sets.select(*[F.col(c).alias("o_" + c) for c in sets.columns])
+
+
+def subset_candidates(sets: DataFrame) -> DataFrame:
+    """Rows of sets (name, words, ...) with those (o_...) that have the name's rarest word, as every superset has."""
+    probe = sets.select("*", F.get("words", F.lit(0)).alias("k"))
+    return probe.join(_other(sets).select("*", F.explode("o_words").alias("k")), "k").drop("k")
+
+
+def overlap_candidates(sets: DataFrame) -> DataFrame:
+    """Rows of sets with two stems or more, with those that can share more than half of the smaller set's stems.
+
+    Of the smaller set of m stems, more than half of them shared, one of the rarest m - m // 2 is.
+    """
+    many = sets.filter(F.size("stems") > 1)
+    probe = many.select("*", F.explode(F.slice("stems", F.lit(1), F.size("stems") - F.floor(F.size("stems") / 2).cast("int"))).alias("k"))
+    pairs = probe.join(_other(many).select("*", F.explode("o_stems").alias("k")), "k").filter((F.size("stems") <= F.size("o_stems")) & (F.col("name") != F.col("o_name")))
+    return pairs.drop("k").dropDuplicates(["name", "o_name"])
+
+
 def subset_merges(standards: DataFrame) -> DataFrame:
     """name, target: a standard whose words are a part of a longer one's, or whose stems overlap by more than half.
 
-    standards has name and types. Candidates share a word or a 4-letter stem. When several
-    targets fit, the last in (length, code point) order wins.
+    standards has name and types. When several targets fit, the last in (length, code
+    point) order wins. Supersets are met at a name's rarest word and overlaps at the rarer
+    half of the smaller set. A set of one stem overlaps with all that have it: of these
+    only the last of each list of types is looked at, so a stem that all names have costs
+    a row for each name.
     """
-    w = standards.select("name", "types", X.words(F.col("name")).alias("w"))
-    w = w.withColumn("stems", F.array_distinct(F.transform(F.filter("w", lambda x: F.length(x) > 4), lambda x: F.left(x, F.lit(4)))))
-    keyed = w.select("*", F.explode(F.array_distinct(F.concat("w", "stems"))).alias("k"))
-    other = keyed.select("k", *[F.col(c).alias("o_" + c) for c in ("name", "types", "w", "stems")])
-    longer = (F.length("o_name") > F.length("name")) | ((F.length("o_name") == F.length("name")) & (F.col("o_name") > F.col("name")))
-    pairs = keyed.join(other, "k").filter(longer).dropDuplicates(["name", "o_name"])
-    subset = F.size(F.array_except("w", "o_w")) == 0
-    least = F.least(F.size("stems"), F.size("o_stems"))
-    stems = (least > 0) & (F.size(F.array_intersect("stems", "o_stems")) > 0.5 * least)
-    fit = pairs.filter((subset | stems) & compatible(F.col("types"), F.col("o_types")))
-    return fit.groupBy("name").agg(F.max_by("o_name", F.struct(F.length("o_name"), "o_name")).alias("target"))
+    w = standards.select("name", "types", F.array_distinct(X.words(F.col("name"))).alias("words"))
+    w = w.withColumn("stems", F.array_distinct(F.transform(F.filter("words", lambda x: F.length(x) > 4), lambda x: F.left(x, F.lit(4)))))
+    empty = F.array().cast("array<string>")
+    sets = w.select("name", "types").join(_by_frequency(w, "words"), "name", "left").join(_by_frequency(w, "stems"), "name", "left")
+    sets = stored(sets.select("name", "types", F.coalesce("words", empty).alias("words"), F.coalesce("stems", empty).alias("stems")), "name-sets")
+    longer = lambda a, b: (F.length(a) > F.length(b)) | ((F.length(a) == F.length(b)) & (F.col(a) > F.col(b)))
+    fits = compatible(F.col("types"), F.col("o_types"))
+
+    inside = subset_candidates(sets).filter(longer("o_name", "name") & (F.size(F.array_except("words", "o_words")) == 0) & fits).select("name", F.col("o_name").alias("target"))
+    shared = overlap_candidates(sets).filter((2 * F.size(F.array_intersect("stems", "o_stems")) > F.size("stems")) & fits)
+    up = longer("o_name", "name")
+    shared = shared.select(F.when(up, F.col("name")).otherwise(F.col("o_name")).alias("name"), F.when(up, F.col("o_name")).otherwise(F.col("name")).alias("target"))
+
+    stems = sets.select("name", "types", F.size("stems").alias("n"), F.explode("stems").alias("k"))
+    last = lambda rows: rows.groupBy("k", F.col("types").alias("o_types")).agg(F.max(F.struct(F.length("name").alias("l"), "name")).alias("m")).select("k", "o_types", F.col("m.name").alias("o_name"))
+    ones = stems.filter("n = 1")
+    alone = ones.join(last(stems), "k").unionByName(stems.join(last(ones), "k")).filter(longer("o_name", "name") & fits).select("name", F.col("o_name").alias("target"))
+    fit = inside.unionByName(shared).unionByName(alone)
+    return fit.groupBy("name").agg(F.max_by("target", F.struct(F.length("target"), "target")).alias("target"))
 
 
 def fixpoint(merges: DataFrame) -> DataFrame:
@@ -133,7 +173,7 @@ def lexical(triples: DataFrame) -> DataFrame:
 
     Names that contain each other but share no word are found through the shorter name's
     words being parts of the longer one's text: candidates share the first three letters
-    of any position, by an equi-join on 3-letter grams of which every contained name has its first.
+    (or all there are) at any place, by an equi-join on the runs of one to three letters.
     """
     names = triples.select(F.lower("subject").alias("n")).unionByName(triples.select(F.lower("object").alias("n"))).distinct()
     linked = triples.select(F.lower("subject").alias("a"), F.lower("object").alias("b"))
@@ -141,9 +181,9 @@ def lexical(triples: DataFrame) -> DataFrame:
     w = names.select("n", F.explode(F.array_distinct(X.words(F.col("n")))).alias("k"))
     shared = w.join(w.withColumnRenamed("n", "m"), "k").filter("n < m").select(F.col("n").alias("a"), F.col("m").alias("b")).distinct()
     shared = shared.join(linked, ["a", "b"], "left_anti")
-    grams = names.filter(F.length("n") > 3).select(F.col("n").alias("long"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") - 2), lambda i: F.substring(F.col("n"), i, F.lit(3))))).alias("g"))
-    short = names.filter(F.length("n") >= 3).select(F.col("n").alias("short"), F.left("n", F.lit(3)).alias("g"))
-    inside = grams.join(short, "g").filter((F.col("long") != F.col("short")) & F.col("long").contains(F.col("short"))).select("long", "short").distinct()
+    long = names.select(F.col("n").alias("long"), F.explode(grams(F.col("n"))).alias("g"))
+    short = names.filter("n <> ''").select(F.col("n").alias("short"), F.left("n", F.lit(SIZE)).alias("g"))
+    inside = long.join(short, "g").filter((F.col("long") != F.col("short")) & F.col("long").contains(F.col("short"))).select("long", "short").distinct()
     keyed = inside.select("long", "short", F.least("long", "short").alias("a"), F.greatest("long", "short").alias("b"))
     inside = keyed.join(linked, ["a", "b"], "left_anti").join(shared, ["a", "b"], "left_anti")
     out = shared.select(F.col("a").alias("subject"), F.lit("related to").alias("predicate"), F.col("b").alias("object"))

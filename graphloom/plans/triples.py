@@ -50,8 +50,8 @@ LEXICAL = """, nm AS (SELECT DISTINCT lower(subject) AS n FROM valid UNION SELEC
 linked AS (SELECT DISTINCT least(lower(subject), lower(object)) AS a, greatest(lower(subject), lower(object)) AS b FROM valid),
 pairs AS (SELECT x.n AS a, y.n AS b, list_has_any(list_filter(string_split(x.n, ' '), lambda w: w <> ''), list_filter(string_split(y.n, ' '), lambda w: w <> '')) AS shared FROM nm x JOIN nm y ON x.n < y.n WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.a = x.n AND l.b = y.n)),
 lex AS (SELECT a AS subject, 'related to' AS predicate, b AS object FROM pairs WHERE shared
-UNION ALL SELECT a, 'is type of', b FROM pairs WHERE NOT shared AND contains(a, b) AND length(a) > length(b) AND length(b) >= 3
-UNION ALL SELECT b, 'is type of', a FROM pairs WHERE NOT shared AND contains(b, a) AND length(b) > length(a) AND length(a) >= 3)"""
+UNION ALL SELECT a, 'is type of', b FROM pairs WHERE NOT shared AND contains(a, b) AND length(a) > length(b) AND b <> ''
+UNION ALL SELECT b, 'is type of', a FROM pairs WHERE NOT shared AND contains(b, a) AND length(b) > length(a) AND a <> '')"""
 UNDIRECTED = ", u AS (SELECT DISTINCT least(subject, object) AS a, greatest(subject, object) AS b FROM valid)"
 DEGREE = UNDIRECTED + ", d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM u UNION ALL SELECT b FROM u) GROUP BY 1)"
 
