@@ -12,6 +12,7 @@ from graphloom.plans.triples import SQL as TRIPLES_SQL
 from graphloom.plans.triples import triples
 from graphloom.sources import files as S
 from graphloom.sources.tables import table
+from graphloom.streaming import jobs as J
 from graphloom.streaming import progress as R
 
 
@@ -96,6 +97,21 @@ def stream(result, mode="update", *keys):
     return run
 
 
+def stream_jobs(spark, sf):
+    """Runs of jobs by the stateful stream: ended ones finished or stale, the others active."""
+    rows = J.run(spark, R.source(spark, sf), S.shared_path(spark, "jobs"))
+    return rows.select("job_id", F.unix_millis("started").alias("started_ms"), F.unix_millis("last").alias("last_ms"), "files", "final_files", "state")
+
+
+JOBS_STREAM_SQL = f"""
+WITH e AS (SELECT user_id AS job_id, event_id % 10 AS file, event_type, event_id, epoch_ms(ts) AS ms FROM events),
+n AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY job_id ORDER BY ms, event_id) < 21600000 THEN 0 ELSE 1 END AS new FROM e),
+r AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ms, event_id) AS run FROM n),
+f AS (SELECT job_id, run, file, arg_max(event_type, (ms, event_id)) AS stage, min(ms) AS a, max(ms) AS b FROM r GROUP BY 1, 2, 3),
+j AS (SELECT job_id, run, min(a) AS started_ms, max(b) AS last_ms, count(*) AS files, count(*) FILTER (stage IN ({", ".join(f"'{x}'" for x in J.FINAL)})) AS final_files FROM f GROUP BY 1, 2)
+SELECT job_id, started_ms, last_ms, files, final_files, CASE WHEN run = max(run) OVER (PARTITION BY job_id) AND last_ms + 21600000 > (SELECT max(ms) - 86400000 FROM e) THEN 'active' WHEN files = final_files THEN 'finished' ELSE 'stale' END AS state FROM j"""
+
+
 def export_vector(spark, sf):
     c = doc_chunk_words(spark, sf).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("chunk_%06d", "chunk_index"))), ",").alias("chunk_ids"))
     return docs(spark, sf).join(c, "doc_id", "left").select("doc_id", METHOD().alias("method"), F.coalesce("chunk_ids", F.lit("")).alias("chunk_ids"))
@@ -128,5 +144,6 @@ QUERIES = {
     "stream_sliding": (stream(R.sliding, "update", "start"), "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS start FROM events) GROUP BY 1"),
     "stream_sessions": (stream(R.sessions, "complete"), "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"),
     "stream_latest": (stream(R.latest, "update", "user_id"), "SELECT user_id, ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
+    "stream_jobs": (stream_jobs, JOBS_STREAM_SQL),
     "stream_once": (stream(lambda e: R.once(e).select("event_id"), "append"), "SELECT DISTINCT event_id FROM events"),
 }
