@@ -104,7 +104,7 @@ def stream_jobs(spark, sf):
 
 
 JOBS_STREAM_SQL = f"""
-WITH e AS (SELECT user_id AS job_id, event_id % 10 AS file, event_type, event_id, epoch_ms(ts) AS ms FROM events),
+WITH e AS (SELECT user_id AS job_id, event_id % 10 AS file, event_type, event_id, epoch_us(ts) // 1000 AS ms FROM events),
 n AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY job_id ORDER BY ms, event_id) < 21600000 THEN 0 ELSE 1 END AS new FROM e),
 r AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ms, event_id) AS run FROM n),
 f AS (SELECT job_id, run, file, arg_max(event_type, (ms, event_id)) AS stage, min(ms) AS a, max(ms) AS b FROM r GROUP BY 1, 2, 3),
