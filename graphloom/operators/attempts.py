@@ -14,7 +14,6 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from graphloom.functions.chunkers import salvage_json
 from graphloom.operators.plugins import Provider

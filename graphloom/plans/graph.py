@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import patterns
-from graphloom.sources.store import graph
-from graphloom.sources.tables import GRAPH_SQL, edges, nodes, table
+from graphloom.sources.store import edges, graph, nodes
+from graphloom.sources.tables import GRAPH_SQL, table
 
 #: Search values of the pattern queries, over the names of the tables at hand.
 VALUES = {

@@ -14,7 +14,7 @@ from graphloom.operators import plugins as G
 from graphloom.operators import triples as K
 from graphloom.plans.stores import TRIPLE
 from graphloom.plans.text import CHUNKS_SQL, doc_chunk_words
-from graphloom.plans.triples import DEGREE, SQL, triples, valid
+from graphloom.plans.triples import DEGREE, SQL, valid
 from graphloom.sources.tables import table
 
 #: Names that a model is asked to resolve; words of a chunk that is cleaned; nodes that stand for a component, and triples that show their context.

@@ -12,7 +12,8 @@ from graphloom.operators import plugins as G
 from graphloom.plans.operations import CLASS_SQL, FILES_SQL, JOBS_SQL, STATUS_SQL, files, jobs
 from graphloom.plans.questions import GENERATED_SQL, QUESTIONS_SQL, SELECT_SQL, generated, q_select_pattern, questions
 from graphloom.plans.text import q
-from graphloom.sources.tables import GRAPH_SQL, edges, nodes, table
+from graphloom.sources.store import edges, nodes
+from graphloom.sources.tables import GRAPH_SQL, table
 
 # --- fixed values: words of industries, roles of labels and of edge types ---
 INDUSTRIES = {

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.functions import text as X
 from graphloom.operators import triples as K
 from graphloom.plans.text import NSTOPS, STOPS, q
 from graphloom.sources.tables import table

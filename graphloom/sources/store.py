@@ -58,6 +58,14 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes.select("id", "name", F.split("kind", BETWEEN).alias("labels")), edges.select("src", "dst", "type", "when", "status")
 
 
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph(spark, sf_dir)[0]
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph(spark, sf_dir)[1]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table of its own in the shared folder: plans that read it twice make it once and know its size."""
     path = shared_path(df.sparkSession, name)
