@@ -1,9 +1,9 @@
 """Names of a table found in texts by Aho-Corasick automata: one pass over each text finds all names.
 
-Up to AT_ONCE names are one automaton that every task gets. More are dealt, by a hash of
-their first characters, to automata of about that size; a text then goes to the automata
-of the characters that it has, and to no others, in a shuffle that brings each
-automaton's names ahead of its texts.
+Up to AT_ONCE names are one automaton that every task gets. Of more, every task gets only
+the first characters that names have and the lengths that go with them: from each free
+place of a text, stretches that begin and measure like a name and end free are looked up
+among the names by an equi-join. Names that all begin alike are no harder than others.
 
 A name counts where no letter, digit or underscore stands next to it, as it is written
 (upper and lower case differ). Where names overlap, the one that begins first counts, and
@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.plugins import Provider
+from graphloom.sources.store import stored
 
-#: Names of an automaton; first characters that names are dealt by.
+#: Names of an automaton; first characters that tell where a name may begin.
 AT_ONCE, HEAD = 200_000, 3
 FOUND = "array<struct<label: string, name: string, start: int>>"
 _ROW = pa.list_(pa.struct([("label", pa.string()), ("name", pa.string()), ("start", pa.int32())]))
@@ -81,42 +82,43 @@ def tag(docs: DataFrame, names: DataFrame, key: str, text: str, at_once: int = A
             return _pieces(places(a, t.as_py()) for t in texts)
 
         return docs.select(key, found(F.col(text)).alias("found"))
-    return _dealt(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), known, -(-n // at_once)).withColumnRenamed("key", key)
+    return _joined(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), known).withColumnRenamed("key", key)
 
 
-def _dealt(docs: DataFrame, names: DataFrame, groups: int) -> DataFrame:
+def _stretches(shapes: dict[str, list[int]], text: str | None):
+    """(start, stretch): what begins like a name, is as long as one that begins so, and has free ends."""
+    text = text or ""
+    heads = sorted({len(h) for h in shapes})
+    for start in range(len(text)):
+        if start and _inner(text[start - 1]):
+            continue
+        for n in heads:
+            for size in shapes.get(text[start : start + n], ()):
+                stop = start + size
+                if stop <= len(text) and not (stop < len(text) and _inner(text[stop])):
+                    yield start, text[start:stop]
+
+
+def _joined(docs: DataFrame, names: DataFrame) -> DataFrame:
     kind = docs.schema["key"].dataType.simpleString()
-    group = lambda head: F.pmod(F.xxhash64(head), F.lit(groups)).cast("int")
-    dealt = names.select(group(F.left("name", F.lit(HEAD))).alias("group"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("row"), "label", F.col("name").alias("text"))
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    size = lambda k: F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring(F.col("text"), i, F.lit(k)))
-    heads = F.array_distinct(F.concat(*[size(k) for k in range(1, HEAD + 1)]))  # shorter names are dealt by all they have
-    asked = rows.filter("text <> ''").select(F.explode(F.array_distinct(F.transform(heads, group))).alias("group"), F.lit(1).alias("side"), "row", F.lit(None).cast("string").alias("label"), "text")
-
-    def run(batches):
-        current, held, a = None, [], None
-        for batch in batches:
-            out = []
-            for g, side, row, label, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if g != current:
-                    current, held, a = g, [], None
-                if side == 0:
-                    held.append((label, text))
-                    continue
-                a = automaton(held) if a is None else a
-                out += [(row, *hit) for hit in _hits(a, text)]
-            cells = list(zip(*out)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, [pa.int64(), pa.string(), pa.string(), pa.int32()])], names=["row", "label", "name", "start"])
-
-    laid = dealt.unionByName(asked).repartition(groups, "group").sortWithinPartitions("group", "side")
-    hits = laid.mapInArrow(run, "row long, label string, name string, start int")
+    one = names.groupBy("name").agg(F.min("label").alias("label"))
+    shapes: dict[str, list[int]] = {}
+    for head, size in one.select(F.left("name", F.lit(HEAD)), F.length("name")).distinct().collect():  # a few beginnings and lengths, not names
+        shapes.setdefault(head, []).append(size)
+
+    @F.arrow_udf("array<struct<start: int, name: string>>")
+    def met(texts: pa.Array) -> pa.Array:
+        return pa.array([[{"start": s, "name": x} for s, x in _stretches(shapes, t.as_py())] for t in texts], pa.list_(pa.struct([("start", pa.int32()), ("name", pa.string())])))
+
+    rows = stored(docs.select(F.col("key").cast(kind).alias("key"), met("text").alias("met")).withColumn("row", F.monotonically_increasing_id()), "names-met")
+    hits = rows.select("row", F.inline("met")).join(one, "name")
 
     @F.arrow_udf(FOUND)
     def settle(found: pa.Array) -> pa.Array:
         return _pieces(_settled([(h["label"], h["name"], h["start"]) for h in row or []]) for row in found.to_pylist())
 
     listed = hits.groupBy("row").agg(F.collect_list(F.struct("label", "name", "start")).alias("hits"))
-    return rows.join(listed, "row", "left").select(F.col("key").cast(kind).alias("key"), settle(F.coalesce("hits", F.expr(f"cast(array() as {FOUND})"))).alias("found"))
+    return rows.join(listed, "row", "left").select("key", settle(F.coalesce("hits", F.expr(f"cast(array() as {FOUND})"))).alias("found"))
 
 
 class NameTagger(Provider):

@@ -41,3 +41,13 @@ def test_the_tagger_is_a_provider(spark, sf):
     names = [(r["label"], r["name"]) for r in entities.business_names(spark, sf).collect()]
     rows = entities.letters(spark, sf).filter("doc_id < 20").select("doc_id", "text").withColumn("a", ask("text", [G.NameTagger(names)])["answer"]).collect()
     assert all((r["a"] or "").split("\n")[0] == "\t".join(G.brute(names, r["text"])[0][:2] if G.brute(names, r["text"]) else ()) for r in rows)
+
+
+def test_names_that_begin_alike_are_not_one_task(spark):
+    """Of 300 names with one beginning, each text brings what it names to the join, not itself to all names' task."""
+    names = [("PERSON", f"Customer#{i:09d}") for i in range(300)]
+    docs = spark.createDataFrame([(i, f"To Customer#{i:09d}, about Customer#{i + 500:09d}.") for i in range(300)], "id long, t string")
+    found = G.tag(docs, spark.createDataFrame(names, "label string, name string"), "id", "t", 10)
+    assert sorted((r["id"], [x["name"] for x in r["found"]]) for r in found.collect()) == [(i, [names[i][1]]) for i in range(300)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "hashpartitioning(name" in plan or "BroadcastHashJoin" in plan
