@@ -10,7 +10,8 @@ least that of their projections together with the difference of these lengths. T
 joined by recursion on intervals: an interval pair whose boxes are too far apart ends, a
 large one is halved, a small one is compared exactly by a product in double precision.
 The axes are fitted on a bounded sample and only affect what is skipped: any rotation
-gives the same links. Vectors spread evenly over many dimensions leave nothing to skip;
+gives the same links. Blocks travel by groups of neighbours: a task gets two groups and
+joins the pairs of their blocks. Vectors spread evenly over many dimensions leave nothing to skip;
 vectors in groups let most blocks be skipped.
 
 Bit-identical vectors are one class with a count, and links are between classes, so ids
@@ -39,6 +40,8 @@ from graphloom.llm.common import components, forget, materialize, roots, shuffle
 AXES, SAMPLE = 8, 4096
 #: Vectors of a block, and of an interval that is compared at once.
 BLOCK, LEAF = 4096, 256
+#: Bytes of the vectors of a group of blocks, of which a task holds two.
+GROUP_BYTES = 32 << 20
 #: Axes whose cell a block that is half full doesn't go beyond.
 CUT = 3
 #: Relative room for rounding in the distance bounds, so that no link is skipped.
@@ -174,30 +177,52 @@ def _blocker(axes: np.ndarray):
 
 
 def _joiner(axes: np.ndarray, cosine: float):
+    """Links of the pairs of two groups of blocks, whose blocks come ahead of them."""
+
+    def linked(x, y, same: bool) -> pa.RecordBatch:
+        (ra, ca, xa), (rb, cb, xb) = x, y
+        la, lb, root = block_links(xa, xb, placed(xa, axes), placed(xb, axes), ca, cb, same, cosine)
+        if same:
+            ids, links, root = ra, la + lb, root[: len(ra)]
+        else:
+            ids, links = np.concatenate([ra, rb]), np.concatenate([la, lb])
+        live = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(ids[live]), pa.array(links[live]), pa.array(ids[root][live])], names=["class", "links", "root"])
+
     def run(batches):
+        current, held = None, {}
         for batch in batches:
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1).to_pylist()[0]
-                same = r["a_block"] == r["b_block"]
-                open_ = lambda s: (
-                    np.frombuffer(r[s + "_classes"], "<i8"),
-                    np.frombuffer(r[s + "_counts"], "<i8"),
-                    np.frombuffer(r[s + "_units"]).reshape(r[s + "_n"], -1),
-                )
-                (ra, ca, xa), (rb, cb, xb) = open_("a"), open_("b")
-                la, lb, root = block_links(xa, xb, placed(xa, axes), placed(xb, axes), ca, cb, same, cosine)
-                if same:
-                    ids, links, root = ra, la + lb, root[: len(ra)]
+                if (r["g"], r["h"]) != current:
+                    current, held = (r["g"], r["h"]), {}
+                if r["side"] == 0:
+                    held[r["block"]] = np.frombuffer(r["classes"], "<i8"), np.frombuffer(r["counts"], "<i8"), np.frombuffer(r["units"]).reshape(r["n"], -1)
                 else:
-                    ids, links = np.concatenate([ra, rb]), np.concatenate([la, lb])
-                live = links > 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[live]), pa.array(links[live]), pa.array(ids[root][live])], names=["class", "links", "root"]
-                )
+                    yield linked(held[r["block"]], held[r["other"]], r["block"] == r["other"])
 
     return run
 
 
+def met(blocks: DataFrame, pairs: DataFrame, group: int) -> DataFrame:
+    """g, h, side, block, other, n, classes, counts, units: for each two groups of `group` neighbouring blocks with a pair, the blocks of their pairs (side 0), then the pairs (side 1).
+
+    A block goes once to a group that it meets, not once to each block of that group.
+    """
+    of = lambda c: F.floor(F.shiftright(c, 24) / group).cast("long")
+    asked = pairs.select(F.least(of("block"), of("other")).alias("g"), F.greatest(of("block"), of("other")).alias("h"), "block", "other")
+    data = [F.col(c) for c in ("n", "classes", "counts", "units")]
+    needed = asked.select("g", "h", "block").union(asked.select("g", "h", "other")).distinct()
+    sent = needed.join(blocks, "block").select("g", "h", F.lit(0).alias("side"), "block", F.lit(None).cast("long").alias("other"), *data)
+    none = [F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in ("n", "classes", "counts", "units")]
+    return sent.unionByName(asked.select("g", "h", F.lit(1).alias("side"), "block", "other", *none))
+
+
+def group_size(n: int, tasks: int, width: int) -> int:
+    """Blocks of a group: GROUP_BYTES at most, and few enough for each task to have two groups to join."""
+    return max(1, min(GROUP_BYTES // max(1, BLOCK * width * 8), n // max(1, int(np.sqrt(2 * tasks)))))
+
+
 def block_pairs(blocks: DataFrame, cosine: float) -> DataFrame:
     """block, other (block <= other): pairs of blocks that meet in a cell of the first axis or a neighbouring one, and that bounds don't rule out."""
     width = float(np.sqrt(2 - 2 * cosine))
@@ -255,11 +280,9 @@ def join(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cos
     blocks = materialize(ordered.mapInArrow(_blocker(axes), BLOCKS), "vector-blocks")
     pairs = materialize(block_pairs(blocks, cosine), "vector-pairs")
 
-    def side(s: str, on: str) -> DataFrame:
-        return blocks.select(F.col("block").alias(on), F.col("block").alias(f"{s}_block"), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "classes", "counts", "units")])
-
-    joined = pairs.join(side("a", "block"), "block").join(side("b", "other"), "other").drop("block", "other")
-    found = joined.repartition(shuffle_partitions(spark), "a_block", "b_block").mapInArrow(_joiner(axes, cosine), "class long, links long, root long")
+    tasks = shuffle_partitions(spark)
+    laid = met(blocks, pairs, group_size(n, tasks, longest)).repartition(tasks, "g", "h").sortWithinPartitions("g", "h", "side")
+    found = laid.mapInArrow(_joiner(axes, cosine), "class long, links long, root long")
     found = materialize(found, "vector-links")
     forget(blocks, pairs)
 

@@ -369,3 +369,17 @@ def test_license_scan_equals_brute_force(spark):
                 want[d, name] = best
     assert got == pytest.approx(want)
     assert {(100 + i, n) for i, n in enumerate(templates)} | {(200 + i, n) for i, n in enumerate(templates)} <= set(got)
+
+
+def test_blocks_are_sent_to_groups_not_to_each_other_block(spark):
+    from graphloom.llm import embeddings as E
+
+    n, group = 40, 8
+    blocks = spark.createDataFrame([(i << 24, 1, b"", b"", b"") for i in range(n)], "block long, n int, classes binary, counts binary, units binary")
+    pairs = spark.createDataFrame([(i << 24, j << 24) for i in range(n) for j in range(i, n)], "block long, other long")
+    rows = E.met(blocks, pairs, group).select("g", "h", "side", "block", "other").collect()
+    sent = {(r["g"], r["h"], r["block"]) for r in rows if r["side"] == 0}
+    asked = [r for r in rows if r["side"] == 1]
+    assert sum(r["side"] == 0 for r in rows) == len(sent) == n * n // group  # each block once to each group, where it went to 41 blocks
+    assert len(asked) == n * (n + 1) // 2 and all((r["g"], r["h"], b) in sent for r in asked for b in (r["block"], r["other"]))
+    assert E.group_size(150, 24, 64) == 16 and E.group_size(3, 24, 64) == 1
