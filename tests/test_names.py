@@ -47,3 +47,13 @@ def test_short_names_are_contained_too(spark):
     df = spark.createDataFrame(rows, "subject string, subject_type string, predicate string, object string, object_type string, ord long, inferred boolean")
     got = {(r["subject"], r["object"]) for r in K.lexical(df).filter("predicate = 'is type of'").collect()}
     assert got == {("abxc", "ab"), ("zabz", "ab")}  # abxc and x are linked
+
+
+def test_names_of_a_word_are_dealt_to_blocks_and_pairs_come_once(spark):
+    rng = random.Random(8)
+    names = sample(rng, 120) + [f"the unit {i}" for i in range(60)]
+    want = sorted((a, b) for a in names for b in names if a < b and set(a.split()) & set(b.split()))
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    pairs = K.sharing(df, 7)
+    assert sorted(map(tuple, pairs.collect())) == want
+    assert "block" in pairs._jdf.queryExecution().executedPlan().toString()
