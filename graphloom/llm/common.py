@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -106,6 +107,7 @@ def may_hold(ids: DataFrame, of: str, key: Column | str) -> Column:
 
     @F.arrow_udf("boolean")
     def held(h: pa.Array) -> pa.Array:
+        trim()
         return pa.array(key_held(table, h))
 
     return held(filter_place(key))
@@ -142,6 +144,7 @@ def keep_held(hashes: DataFrame, of: str, values: str) -> Column:
 
     @F.arrow_udf("array<long>")
     def kept(arrays: pa.Array) -> pa.Array:
+        trim()
         flat = arrays.flatten().to_numpy(zero_copy_only=False)
         ends = np.asarray(arrays.offsets)
         ok = passes(table, flat)
@@ -273,17 +276,35 @@ def release() -> None:
         return
     _CACHES.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the machine: workers live on through all stages, and what one needed counts in the next."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
+def trimmed(run):
+    """A function over batches that gives back what is free when its task ends."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
 
 
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 #: Bytes of text whose words are hashed at once (a longer text is read whole).
-TEXT_BYTES = 1 << 21
+TEXT_BYTES = 1 << 20
 
 
 def split_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -392,7 +413,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     n = shuffle_partitions(links.sparkSession)
     old: list[DataFrame] = []
     while True:
-        trees = materialize(cur.repartition(n, "node").mapInArrow(_contract, "node long, root long"), name)
+        trees = materialize(cur.repartition(n, "node").mapInArrow(trimmed(_contract), "node long, root long"), name)
         for t in old:
             forget(t)
         stats = trees.agg(F.count("*").alias("rows"), F.count_distinct("node").alias("nodes")).first()

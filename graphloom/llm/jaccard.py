@@ -57,6 +57,7 @@ from graphloom.llm.common import (
     shingle_sets,
     shuffle_partitions,
     slices,
+    trimmed,
 )
 
 #: Documents of a group's block; bounds what a task opens at once.
@@ -240,14 +241,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc"), raw(text).alias("text"))
-    signed = materialize(rows.mapInArrow(_signer(size, per_cent), "doc long, n long, h1 long, h2 long, tokens array<long>"), "jaccard-sets")
+    signed = materialize(rows.mapInArrow(trimmed(_signer(size, per_cent)), "doc long, n long, h1 long, h2 long, tokens array<long>"), "jaccard-sets")
     known = signed.filter("doc is not null and n > 0")
     classes = materialize(known.groupBy("h1", "h2").agg(F.min("doc").alias("rep")), "jaccard-classes")
 
     # tokens that at least two classes have; a class goes by its first hash
     tokens = known.filter(F.size("tokens") > 0).select(F.col("h1").alias("cls"), "tokens")
     # most tokens are single: no partial sums in hash maps, but each batch's are merged, which takes the frequent ones
-    ends = tokens.mapInArrow(_token_ends, "token long, low long, high long").repartition(4 * n, "token")
+    ends = tokens.mapInArrow(trimmed(_token_ends), "token long, low long, high long").repartition(4 * n, "token")
     ends = ends.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     often = materialize(ends.filter("low <> high").select("token"), "jaccard-often")
     fewer = tokens.select("cls", F.explode(keep_held(often, "token", "tokens")).alias("token")).distinct()
@@ -296,11 +297,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3
     opened_groups = opened_groups.join(classes, opened_groups["cls"] == classes["h1"]).select(F.col("rep").alias("doc"), "grp")
     opened_groups = materialize(opened_groups, "jaccard-opened")
     asked = rows.select("doc", "text", filter_place("doc").alias("place")).filter("place is not null")
-    members = asked.mapInArrow(_members(key_filter(opened_groups, "doc"), size), "doc long, shingles binary").join(opened_groups, "doc")
+    members = asked.mapInArrow(trimmed(_members(key_filter(opened_groups, "doc"), size)), "doc long, shingles binary").join(opened_groups, "doc")
     members = materialize(members.dropDuplicates(["doc", "shingles"]), "jaccard-members")
     opened = sides.join(members, "grp").select("pair", "side", "doc", "shingles")
     opened = opened.repartition(n, "pair").sortWithinPartitions("pair", "side", "doc")
-    links = materialize(opened.mapInArrow(_opener(per_cent), "a long, b long"), "jaccard-links")
+    links = materialize(opened.mapInArrow(trimmed(_opener(per_cent)), "a long, b long"), "jaccard-links")
     # rows of one id are one document, whatever their texts: its classes belong together
     ends = F.struct("h1", "h2")
     several = known.groupBy("doc").agg(F.min(ends).alias("x"), F.max(ends).alias("y")).filter("x <> y").select("doc")

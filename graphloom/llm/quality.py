@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import LOWER, TEXT_BYTES, by_bytes, bytes_of, hash_words, held_out, raw, shingle_hashes, split_words
+from graphloom.llm.common import LOWER, TEXT_BYTES, by_bytes, bytes_of, hash_words, held_out, raw, shingle_hashes, split_words, trim
 from graphloom.llm.rules import NOT_FIRST, SPACE, SYMBOLS, repeated_words
 
 #: Bound on the labelled rows of a fit.
@@ -212,6 +212,7 @@ def score(model: Discriminant, text: Column | str = "text") -> Column:
 
     @F.arrow_udf("double")
     def quality_score(texts: pa.Array) -> pa.Array:
+        trim()
         x = table_of(texts).astype(float)
         return pa.array(model.score(x) if len(x) else np.empty(0))
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import cache, held_out, raw
+from graphloom.llm.common import cache, held_out, raw, trim
 from graphloom.llm.quality import training_rows
 
 FIT_POSITIVES, FIT_UNLABELLED = 3_000, 6_000
@@ -46,7 +46,7 @@ PUNCTUATION = b".,;:!?\"'()[]{}<>|*#$%&-_"
 class Buckets(dict):
     """word (bytes) -> its buckets, remembered up to a bound."""
 
-    LIMIT = 150_000
+    LIMIT = 75_000
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         import xxhash
@@ -165,6 +165,7 @@ def score(model: Linear, text: Column | str = "text") -> Column:
 
     @F.arrow_udf("double")
     def toxicity_score(texts: pa.Array) -> pa.Array:
+        trim()
         return pa.array(model.score([words(t.as_py()) for t in texts]))
 
     return toxicity_score(raw(text))

@@ -9,6 +9,7 @@ pytest.importorskip("public_tokenizers")
 import corpus_pipeline as C  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
+from graphloom.llm import common  # noqa: E402
 from graphloom.llm.queries import tokenizer_path  # noqa: E402
 
 
@@ -120,3 +121,14 @@ def test_rows_that_share_an_id_are_told_apart(spark, tmp_path):
     texts = sorted(((r["doc_id"], r["text"]) for r in cut.collect()), key=str)
     want = [r for k, r in enumerate(rows) if k not in (2, 3, 5, 8, 11)] + [(11, rows[11][1].split("\n")[0])]  # the row without an id is a copy of 7
     assert texts == sorted(want, key=str)
+
+
+def test_tasks_give_free_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "trim", lambda: given.append(1))
+    task = common.trimmed(lambda batches: (b + 1 for b in batches))
+    assert list(task(iter([1, 2]))) == [2, 3] and given == [1]  # at the end, else what a stage needed counts in the next ones
+    whole = task(iter([1, 2]))
+    next(whole)
+    whole.close()
+    assert given == [1, 1]
