@@ -38,9 +38,14 @@ def both(spark, folder, name, texts):
     return sorted(map(tuple, got), key=repr), sorted(found.fetchall(), key=repr)
 
 
-@pytest.mark.parametrize("name", ["sink_document_meta", "sink_vectors_meta", "v_by_entity_type"])
+@pytest.mark.parametrize("name", ["sink_document_meta", "sink_vectors_meta", "v_multi_filter_entities", "v_by_entity_type"])
 def test_names_beside_accented_letters_count_in_the_query(spark, tmp_path, name):
     """Only edges beyond ASCII: where Java's word edges hold, these documents have no name, or another one."""
     texts = ["j'\u00e9tai 44", "d\u00e9gel\u00e9e\u00e8ai 93 \u00e0", "\u00e9\u00e9 Sand \u00e9t\u00e9t Sand", "\u00fcWell\tX9", "rien", "", None]
     got, want = both(spark, tmp_path, name, list(enumerate(texts)))
     assert got == want and want
+
+
+def test_a_vector_of_two_documents_comes_once(spark, tmp_path):
+    got, want = both(spark, tmp_path, "v_multi_filter_entities", [(7, "W-12"), (7, "the Bakken Shale"), (8, "W-13"), (9, "nothing")])
+    assert got == want == [(7,), (8,)]
